@@ -355,22 +355,20 @@ CTES = {
     "v_state": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project "
                "ORDER BY updated_at DESC, event_id DESC) AS rn FROM v_states) WHERE rn = 1",
 }
-ORDER = list(CTES)
-
 
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Put the common table expressions that ``body`` needs in front of it, in dependency order."""
-    extra = extra or {}
-    available = {**CTES, **extra}
-    needed: set[str] = set()
-    todo = [body]
-    while todo:
-        text = todo.pop()
+    available = {**CTES, **(extra or {})}
+    chosen: list[str] = []
+
+    def need(text: str) -> None:
         for name, sql in available.items():
-            if name not in needed and _mentions(text, name):
-                needed.add(name)
-                todo.append(sql)
-    chosen = [name for name in [*ORDER, *extra] if name in needed]
+            if name not in chosen and text is not sql and _mentions(text, name):
+                need(sql)
+                if name not in chosen:
+                    chosen.append(name)
+
+    need(body)
     if not chosen:
         return body
     return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({available[name]})" for name in chosen) + "\n" + body

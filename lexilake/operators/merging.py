@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, union_diagnostics
+from lexilake.sources.documents import strict_json
 
 # One conflict block: an opening line, a line of seven equal signs, a closing line.
 _BLOCK = r"(?md)^<<<<<<< [^\n]*\n([\s\S]*?)^=======\n([\s\S]*?)^>>>>>>> [^\n]*(?:\n|\z)"
@@ -33,29 +37,46 @@ def conflict_sections(files: DataFrame) -> DataFrame:
         "conflicted": marked, "malformed": malformed, "left": side("$1"), "right": side("$2")})
 
 
-# Levels of a catalog document: document, section, key, field, placeholder, attribute.
-MAX_DEPTH = 8
+def _number(text: str) -> int | float:
+    value = float(text)
+    return int(value) if value.is_integer() else value
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _nodes(text: str) -> list[dict]:
+    """Every node of one document, parents before children; none if it is no JSON."""
+    try:
+        root = json.loads(text, parse_float=_number, parse_constant=_no_constant)
+    except ValueError:
+        return []
+    found, todo = [], [([], root)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            found.append({"path": path, "kind": "object", "value": None})
+            todo.extend(([*path, name], item) for name, item in value.items())
+        else:
+            flat = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+            found.append({"path": path, "kind": "leaf", "value": flat})
+    return found
+
+
+def _document_nodes(texts: pd.Series) -> pd.Series:
+    return texts.map(_nodes)
 
 
-def flatten_documents(docs: DataFrame, column: str, id_cols: list[str], depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_documents(docs: DataFrame, column: str, id_cols: list[str]) -> DataFrame:
     """Rows (ids, path, kind, value) for every node of a JSON document; unparsable ones give none.
 
-    Objects open up, anything else is a leaf and arrays stay whole.  ``path`` is an array of
-    names; values are compact JSON.
+    Objects open up to any depth, anything else is a leaf and arrays stay whole.  ``path`` is an
+    array of names, values are compact JSON.  The recursion has no column expression, so it is
+    a small function over Arrow batches; everything after it is joins.
     """
-    level = docs.select(*id_cols, F.array().cast("array<string>").alias("path"),
-                        F.try_parse_json(column).alias("v")).filter(F.col("v").isNotNull())
-    nodes = None
-    for step in range(depth):
-        as_object = F.try_variant_get("v", "$", "map<string,variant>")
-        is_object = F.schema_of_variant("v").startswith("OBJECT") if step < depth - 1 else F.lit(False)
-        here = level.select(
-            *id_cols, "path", F.when(is_object, "object").otherwise("leaf").alias("kind"),
-            F.when(~is_object, F.to_json("v")).alias("value"))
-        nodes = here if nodes is None else nodes.unionByName(here)
-        level = level.filter(is_object).select(*id_cols, "path", F.explode(as_object).alias("_k", "v")).select(
-            *id_cols, F.concat("path", F.array("_k")).alias("path"), "v")
-    return nodes
+    nodes = F.pandas_udf(_document_nodes, "array<struct<path:array<string>,kind:string,value:string>>")
+    return docs.select(*id_cols, F.explode(nodes(F.col(column))).alias("n")).select(*id_cols, "n.*")
 
 
 def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +100,7 @@ def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tup
 
 def merge_findings(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Files that could not be merged: broken markers, a side that is no JSON, overlapping edits."""
-    parses = F.try_parse_json("left").isNotNull() & F.try_parse_json("right").isNotNull()
+    parses = strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull()
     unparsable = sections.filter(~F.col("malformed") & ~parses)
     return union_diagnostics(
         diagnose(sections.filter("malformed"), "L10N_E0088", {"reason": F.lit("markers")}),
@@ -89,7 +110,7 @@ def merge_findings(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 def merge_summary(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Files scanned, merged and failed per project."""
-    parses = F.try_parse_json("left").isNotNull() & F.try_parse_json("right").isNotNull()
+    parses = strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull()
     judged = sections.join(conflicts.select("project", "path", F.lit(True).alias("_clash")),
                            ["project", "path"], "left")
     fine = ~F.col("malformed") & parses & F.col("_clash").isNull()

@@ -13,6 +13,7 @@ from lexilake.operators.merging import (
     conflict_sections, flatten_documents, merge_catalogs, merge_findings, merge_summary,
 )
 from lexilake.operators.near import near_duplicates
+from lexilake.sources.documents import strict_json
 
 
 def suggested_groups(near: DataFrame, model_version: str = "minhash") -> DataFrame:
@@ -41,7 +42,7 @@ def merge_conflicted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     docs = files.withColumnRenamed("path", "doc")
     sections = conflict_sections(files)
     torn = conflict_sections(docs).filter(F.col("conflicted") & ~F.col("malformed"))
-    torn = torn.filter(F.try_parse_json("left").isNotNull() & F.try_parse_json("right").isNotNull())
+    torn = torn.filter(strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull())
     merged, conflicts = merge_catalogs(
         flatten_documents(torn, "left", ["project", "doc"]),
         flatten_documents(torn, "right", ["project", "doc"]), ["project", "doc"])

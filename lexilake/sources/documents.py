@@ -17,6 +17,22 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None,
     return files.select(project.alias("project"), "path", "text")
 
 
+# Closes the wrapping array of strict_json; a document cannot fake it by chance.
+_END = '"lexilake:end"'
+
+
+def strict_json(text: Column) -> Column:
+    """The document as a variant, NULL unless the whole text is exactly one JSON value.
+
+    The parser stops after the first value and ignores what follows, so the text is parsed as
+    the first of two array elements, of which the second must come out right.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_END}]")))
+    whole = (F.try_variant_get(wrapped, "$[1]", "string") == _END.strip('"')) & F.try_variant_get(
+        wrapped, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def json_type(v: Column, path: str = "$") -> Column:
     """STRING, BOOLEAN, OBJECT…, ARRAY…, a number type, VOID for null; SQL NULL when absent."""
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))

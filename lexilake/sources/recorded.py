@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.functions.text import classify_failure, js_trim
-from lexilake.sources.documents import is_string, read_documents
+from lexilake.sources.documents import is_string, read_documents, strict_json
 
 RECORDS = (
     "struct<records:array<struct<request:struct<sourceLocale:string,sourceText:string,targetLocale:string>,"
@@ -17,7 +17,7 @@ RECORDS = (
 def final_message(stdout):
     """Text of the last completed agent message; NULL for none or for a line that is no JSON."""
     lines = F.filter(F.transform(F.split(stdout, "\n"), js_trim), lambda l: l != "")
-    events = F.transform(lines, lambda l: F.try_parse_json(l))
+    events = F.transform(lines, lambda l: strict_json(l))
     broken = F.exists(events, lambda e: e.isNull())
     messages = F.filter(events, lambda e: (
         (F.try_variant_get(e, "$.type", "string") == "item.completed")
@@ -36,7 +36,7 @@ def parse_recorded_responses(docs: DataFrame, model_version: str = "recorded") -
         F.col("r.request.sourceText").alias("source_text"), F.col("r.response.exitCode").alias("_exit"),
         classify_failure(F.col("r.response.stderr"), F.col("r.response.stdout")).alias("_failure"),
         final_message(F.col("r.response.stdout")).alias("_message"))
-    payload = F.try_parse_json("_message")
+    payload = strict_json(F.col("_message"))
     text = F.when(is_string(payload, "$.text"), F.try_variant_get(payload, "$.text", "string"))
     failed = F.col("_exit") != 0
     code = F.when(failed, F.col("_failure.code")).when(text.isNull(), F.lit("L10N_E0055"))
