@@ -15,6 +15,7 @@ from lexilake.functions.hashing import history_id, source_hash
 from lexilake.operators.audit import canonical_entries, canonical_source
 from lexilake.plans.catalog import Catalog
 from lexilake.schemas import PLACEHOLDERS
+from lexilake.session import durable
 
 LOCALES_SQL = """
   SELECT * FROM (VALUES (0,'en',true),(0,'de',false),(0,'es',false),(0,'fr',false),(0,'pt-BR',false),(0,'ja',false),
@@ -53,9 +54,9 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
-    def parts(self) -> DataFrame:
-        """One row per part: the source key all projects share."""
+    @staticmethod
+    def parts_of(part: DataFrame) -> DataFrame:
+        """A source key per part, from a table or a stream of parts."""
         k, name = F.col("p_partkey"), F.col("p_name")
         kind = (F.when(k % 29 == 0, "plural").when(k % 5 == 0, "buy").when(k % 7 == 0, "loves").otherwise("plain"))
         key = F.concat(
@@ -77,7 +78,7 @@ class Lake:
             .otherwise(F.create_map().cast(PLACEHOLDERS)))
         expires = F.when(k % 11 == 0, F.create_map(F.lit("expires"), spec(None, "date"))).otherwise(
             F.create_map().cast(PLACEHOLDERS))
-        rows = self.table("part").select(
+        rows = part.select(
             k.alias("pk"), key.alias("key"), text.alias("text"),
             F.when(k % 13 != 0, F.col("p_brand")).alias("description"),
             F.map_concat(by_kind, expires).alias("placeholders"))
@@ -85,10 +86,19 @@ class Lake:
             F.col("text"), F.col("description"), F.col("placeholders")))
 
     @cached_property
-    def source(self) -> DataFrame:
-        return self.parts.select(
+    def parts(self) -> DataFrame:
+        """One row per part: the source key all projects share, stored once as a catalog would be."""
+        return durable(self.parts_of(self.table("part")))
+
+    @staticmethod
+    def source_of(parts: DataFrame) -> DataFrame:
+        return parts.select(
             F.explode(F.array(*[F.lit(p) for p in range(4)])).alias("project"), F.lit("en").alias("locale"), "*")
 
+    @cached_property
+    def source(self) -> DataFrame:
+        return self.source_of(self.parts)
+
     @cached_property
     def versions(self) -> DataFrame:
         locales = F.element_at(F.array(*[F.lit(c) for c in (
@@ -178,21 +188,25 @@ class Lake:
             F.when(F.col("pk") % 25 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"),
             F.lit(None).cast("string").alias("comment"), retyped.alias("placeholders"), "pk")
 
-    @cached_property
-    def history(self) -> DataFrame:
+    @staticmethod
+    def history_of(events: DataFrame) -> DataFrame:
         op = (F.when(F.col("event_type") == "signup", "init").when(F.col("event_type") == "view", "sync")
               .when(F.col("event_type") == "click", "import").when(F.col("event_type") == "purchase", "rename")
               .otherwise("rollback"))
-        return self.table("events").select(
+        return events.select(
             (F.col("user_id") % 4).cast("int").alias("project"), F.col("event_id").alias("line_no"),
             history_id(F.col("ts"), op).alias("id"), op.alias("op"), F.col("user_id").cast("string").alias("actor"),
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
 
     @cached_property
-    def states(self) -> DataFrame:
+    def history(self) -> DataFrame:
+        return self.history_of(self.table("events"))
+
+    @staticmethod
+    def states_of(events: DataFrame) -> DataFrame:
         """Progress reports, several per project; here a project is a user of the event log."""
         done = F.floor("value").cast("int")
-        return self.table("events").select(
+        return events.select(
             F.col("user_id").cast("int").alias("project"), done.alias("completed_translations"),
             (done + F.col("event_id").cast("int") % 7 * 10 - 5).alias("total_translations"),
             F.when(F.col("event_type") == "error", "interrupted").otherwise("running").alias("status"),
@@ -200,6 +214,10 @@ class Lake:
             F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("config_hash"),
             F.concat(F.lit("s"), (F.col("user_id") % 2).cast("string")).alias("source_hash"))
 
+    @cached_property
+    def states(self) -> DataFrame:
+        return self.states_of(self.table("events"))
+
     @cached_property
     def state(self) -> DataFrame:
         """Latest report per project."""

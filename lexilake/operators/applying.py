@@ -9,6 +9,7 @@ from lexilake.diagnostics import diagnose, shape, union_diagnostics
 from lexilake.functions.hashing import source_hash
 from lexilake.functions.text import has_parity, is_blank
 from lexilake.schemas import CACHE_KEY, ENTRY_COLUMNS
+from lexilake.session import durable
 
 
 def first_responses(responses: DataFrame) -> DataFrame:
@@ -52,7 +53,8 @@ def apply_responses(tasks: DataFrame, responses: DataFrame, source: DataFrame, c
     A mismatch is skipped and reported.  With ``strict`` a project with any mismatch gets no
     rows at all: a distributed run has no "first" failure to stop at.
     """
-    done = task_outcomes(tasks, responses, source, source_locale)
+    # Three outputs read the outcomes, so they are stored once.
+    done = durable(task_outcomes(tasks, responses, source, source_locale))
     usable = done.filter(F.col("outcome").isin("cached", "translated"))
     if strict:
         blocked = done.filter(F.col("outcome") == "mismatch").select("project").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, union_diagnostics
+from lexilake.session import durable
 from lexilake.sources.documents import strict_json
 
 # One conflict block: an opening line, a line of seven equal signs, a closing line.
@@ -37,6 +38,13 @@ def conflict_sections(files: DataFrame) -> DataFrame:
         "conflicted": marked, "malformed": malformed, "left": side("$1"), "right": side("$2")})
 
 
+def judged_sections(files: DataFrame) -> DataFrame:
+    """:func:`conflict_sections` with ``parses`` (both sides are JSON), stored once for all its readers."""
+    sections = durable(conflict_sections(files).drop("text"))
+    parses = strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull()
+    return durable(sections.withColumn("parses", F.coalesce(parses, F.lit(False))))
+
+
 def _number(text: str) -> int | float:
     value = float(text)
     return int(value) if value.is_integer() else value
@@ -100,8 +108,7 @@ def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tup
 
 def merge_findings(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Files that could not be merged: broken markers, a side that is no JSON, overlapping edits."""
-    parses = strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull()
-    unparsable = sections.filter(~F.col("malformed") & ~parses)
+    unparsable = sections.filter("not malformed and not parses")
     return union_diagnostics(
         diagnose(sections.filter("malformed"), "L10N_E0088", {"reason": F.lit("markers")}),
         diagnose(unparsable, "L10N_E0088", {"reason": F.lit("json")}),
@@ -110,11 +117,10 @@ def merge_findings(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 def merge_summary(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Files scanned, merged and failed per project."""
-    parses = strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull()
     judged = sections.join(conflicts.select("project", "path", F.lit(True).alias("_clash")),
                            ["project", "path"], "left")
-    fine = ~F.col("malformed") & parses & F.col("_clash").isNull()
+    fine = ~F.col("malformed") & F.col("parses") & F.col("_clash").isNull()
     return judged.groupBy("project").agg(
         F.count(F.lit(1)).alias("files_scanned"),
         F.count_if(F.col("conflicted") & fine).alias("auto_merged"),
-        F.count_if(~F.coalesce(fine, F.lit(False))).alias("failed"))
+        F.count_if(~fine).alias("failed"))

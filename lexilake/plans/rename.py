@@ -15,6 +15,7 @@ from lexilake.operators.renaming import (
     apply_renames, bulk_reference_rewrite, rename_conflicts, rename_key, validate_renames,
 )
 from lexilake.providers import plan_renames, plan_renames_with
+from lexilake.session import durable
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ def plan_and_apply_renames(source: DataFrame, entries: DataFrame, rules: DataFra
     plan = plan_renames(candidates, rules) if planner is None else plan_renames_with(
         batch_candidates(candidates, batch), planner)
     found = validate_renames(plan, source, rules, candidates)
-    blocked = has_errors(found).filter("not ok").select("project")
+    blocked = durable(has_errors(found).filter("not ok").select("project"))
     usable = plan.join(blocked, "project", "left_anti")
     return RenameResult(
         plan=plan, source=apply_renames(source, usable), entries=apply_renames(entries, usable),
@@ -47,7 +48,7 @@ def rename_one(source: DataFrame, entries: DataFrame, rules: DataFrame, project:
     found = union_diagnostics(
         rename_conflicts(source, project, from_, to),
         lint_keys(renamed.filter(F.col("project") == project), rules))
-    blocked = has_errors(found).filter("not ok").select("project")
+    blocked = durable(has_errors(found).filter("not ok").select("project"))
 
     def gated(before: DataFrame, after: DataFrame) -> DataFrame:
         return after.join(blocked, "project", "left_anti").unionByName(before.join(blocked, "project", "left_semi"))

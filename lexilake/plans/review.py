@@ -10,10 +10,9 @@ from lexilake.operators.dedupe import (
     dedupe_summary, exact_duplicates, exact_findings, normalize_dup_groups, semantic_findings,
 )
 from lexilake.operators.merging import (
-    conflict_sections, flatten_documents, merge_catalogs, merge_findings, merge_summary,
+    flatten_documents, judged_sections, merge_catalogs, merge_findings, merge_summary,
 )
 from lexilake.operators.near import near_duplicates
-from lexilake.sources.documents import strict_json
 
 
 def suggested_groups(near: DataFrame, model_version: str = "minhash") -> DataFrame:
@@ -38,13 +37,10 @@ def merge_conflicted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
     ``files`` has project, path (unique in its project) and text.
     """
-    ids = ["project", "path"]
-    docs = files.withColumnRenamed("path", "doc")
-    sections = conflict_sections(files)
-    torn = conflict_sections(docs).filter(F.col("conflicted") & ~F.col("malformed"))
-    torn = torn.filter(strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull())
+    sections = judged_sections(files)
+    torn = sections.filter("conflicted and not malformed and parses").withColumnRenamed("path", "doc")
     merged, conflicts = merge_catalogs(
         flatten_documents(torn, "left", ["project", "doc"]),
         flatten_documents(torn, "right", ["project", "doc"]), ["project", "doc"])
     conflicts = conflicts.withColumnRenamed("doc", "path")
-    return merged, merge_findings(sections, conflicts), merge_summary(sections, conflicts.select(*ids))
+    return merged, merge_findings(sections, conflicts), merge_summary(sections, conflicts)

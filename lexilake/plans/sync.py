@@ -15,6 +15,7 @@ from lexilake.operators.planning import plan_summary, plan_sync
 from lexilake.operators.restoring import restore_as_of
 from lexilake.operators.rows import live_entries, refresh_stale_flags, snapshot_path_guard
 from lexilake.plans.catalog import Catalog
+from lexilake.session import durable
 
 
 def plan_run(c: Catalog) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,8 @@ def apply_sync(c: Catalog, responses: DataFrame, provider_id: str, now: Column,
     """
     entries = configured(c.entries, c.locales)
     before = union_diagnostics(lint_keys(c.source, c.rules), sync_gate(entries, c.source))
-    blocked = has_errors(before).filter("not ok").select("project")
+    # One row per blocked project; the gate is settled before anything is planned.
+    blocked = durable(has_errors(before).filter("not ok").select("project"))
     source = c.source.join(blocked, "project", "left_anti")
     tasks = plan_sync(source, entries, c.locales, c.cache, c.configs)
     new, new_cache, found = apply_responses(
