@@ -11,7 +11,7 @@ from lexilake.functions.locales import valid_locale
 from lexilake.operators.rows import HASH, INSTANT, resume_state_filter
 from lexilake.schemas import PLACEHOLDERS
 from lexilake.sources.documents import (
-    all_values, is_absent, is_integer, is_object, is_string, json_type, members, read_documents, strict_json,
+    all_values, is_absent, is_integer, is_object, is_string, json_type, members, once, read_documents, strict_json,
 )
 
 PLACEHOLDER_TYPES = ["string", "number", "date"]
@@ -48,7 +48,7 @@ def parse_source_catalogs(docs: DataFrame, source_locale: str = "en") -> tuple[D
     version = is_integer(v, "$.version") & (F.try_variant_get(v, "$.version", "double") == 1)
     good = F.coalesce(version & is_object(v, "$.keys") & all_values(members(v, "$.keys"), _good_source_key),
                       F.lit(False))
-    judged = docs.withColumn("v", strict_json(F.col("text"))).withColumn("good", good)
+    judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
     item = "struct<text:string,description:string,placeholders:" + PLACEHOLDERS + ">"
     rows = judged.filter("good").select(
         "project", F.explode(F.from_json("text", f"struct<keys:map<string,{item}>>")["keys"]).alias("key", "_k"))
@@ -80,7 +80,7 @@ def parse_translations(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     locale = is_string(v, "$.locale") & valid_locale(F.try_variant_get(v, "$.locale", "string"))
     good = F.coalesce(version & locale & is_object(v, "$.entries")
                       & all_values(members(v, "$.entries"), _good_entry), F.lit(False))
-    judged = docs.withColumn("v", strict_json(F.col("text"))).withColumn("good", good)
+    judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
     item = ("struct<text:string,reviewed:boolean,stale:boolean,source_hash:string,provider:string,"
             "model_version:string,translated_at:string>")
     rows = judged.filter("good").select(
@@ -114,7 +114,7 @@ def parse_cache(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = F.try_variant_get(v, "$.entries", "array<variant>")
     current = F.coalesce((version == 3) & F.forall(rows, _good_cache_row), F.lit(False))
     state = F.when(current, "current").when(version.isin(1, 2), "legacy").otherwise("broken")
-    judged = docs.withColumn("v", strict_json(F.col("text"))).withColumn("state", state)
+    judged = once(once(docs, "v", strict_json(F.col("text"))), "state", state)
     item = ("struct<source_hash:string,locale:string,config_hash:string,model_version:string,"
             "text:string,cached_at:string>")
     flat = judged.filter("state = 'current'").select("project", F.explode(
@@ -142,7 +142,7 @@ def parse_sync_state(docs: DataFrame, fingerprints: DataFrame) -> tuple[DataFram
     counts = [is_integer(v, f"$.{c}") & (F.try_variant_get(v, f"$.{c}", "double") >= 0) for c in STATE_COUNTS]
     times = [_instant(v, f"$.{c}") for c in ("started_at", "updated_at")]
     good = F.coalesce(counts[0] & counts[1] & times[0] & times[1], F.lit(False))
-    judged = docs.withColumn("v", strict_json(F.col("text"))).withColumn("good", good)
+    judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
     flat = judged.filter("good").select(
         "project", "path",
         *[F.try_variant_get(v, f"$.{c}", "int").alias(c) for c in STATE_COUNTS],

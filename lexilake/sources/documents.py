@@ -17,6 +17,15 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None,
     return files.select(project.alias("project"), "path", "text")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    Filters on a plain column are rewritten in terms of its definition and pushed down, which
+    repeats the definition at every mention.  A generated column stays a value.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 # Closes the wrapping array of strict_json; a document cannot fake it by chance.
 _END = '"lexilake:end"'
 

@@ -10,7 +10,7 @@ from lexilake.functions.text import is_blank
 from lexilake.operators.rows import INSTANT
 from lexilake.schemas import HISTORY
 from lexilake.sources.documents import (
-    all_values, is_integer, is_object, is_string, json_type, members, read_documents, strict_json,
+    all_values, is_integer, is_object, is_string, json_type, members, once, read_documents, strict_json,
 )
 
 # The fields each operation carries besides id, actor and ts.
@@ -55,7 +55,8 @@ def parse_history_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     A last line that cannot be used is dropped with a warning: an append may have been cut
     short.  A bad line before it makes the whole log unusable.
     """
-    judged = is_last_line(lines).withColumn("good", _good_row(strict_json(F.col("line"))))
+    parsed = once(is_last_line(lines), "_v", strict_json(F.col("line")))
+    judged = once(parsed, "good", _good_row(F.col("_v"))).drop("_v")
     bad = judged.filter(~F.col("good") & ~is_blank(F.col("line")) | (is_blank(F.col("line")) & ~F.col("is_last")))
     fatal = bad.filter(~F.col("is_last"))
     usable = judged.filter("good").join(fatal.select("project", "path").distinct(), ["project", "path"], "left_anti")
@@ -85,7 +86,7 @@ def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text_or_null = lambda f: F.schema_of_variant(f).isin("STRING", "VOID")
     good = F.coalesce(is_integer(v, "$.version") & (F.try_variant_get(v, "$.version", "double") == 1)
                       & is_object(v, "$.files") & all_values(members(v, "$.files"), text_or_null), F.lit(False))
-    judged = docs.withColumn("v", strict_json(F.col("text"))).withColumn("good", good)
+    judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
     history_id = F.regexp_extract("path", r"([^/]*?)(?:\.json)?\z", 1)
     rows = judged.filter("good").select(
         history_id.alias("history_id"), "project",

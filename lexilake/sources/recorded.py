@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.functions.text import classify_failure, js_trim
-from lexilake.sources.documents import is_string, read_documents, strict_json
+from lexilake.sources.documents import is_string, once, read_documents, strict_json
 
 RECORDS = (
     "struct<records:array<struct<request:struct<sourceLocale:string,sourceText:string,targetLocale:string>,"
@@ -36,7 +36,8 @@ def parse_recorded_responses(docs: DataFrame, model_version: str = "recorded") -
         F.col("r.request.sourceText").alias("source_text"), F.col("r.response.exitCode").alias("_exit"),
         classify_failure(F.col("r.response.stderr"), F.col("r.response.stdout")).alias("_failure"),
         final_message(F.col("r.response.stdout")).alias("_message"))
-    payload = strict_json(F.col("_message"))
+    ran = once(ran, "_payload", strict_json(F.col("_message")))
+    payload = F.col("_payload")
     text = F.when(is_string(payload, "$.text"), F.try_variant_get(payload, "$.text", "string"))
     failed = F.col("_exit") != 0
     code = F.when(failed, F.col("_failure.code")).when(text.isNull(), F.lit("L10N_E0055"))

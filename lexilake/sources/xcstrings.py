@@ -10,7 +10,7 @@ from lexilake.functions.keys import reverse_key
 from lexilake.functions.text import contains_plural, unique_placeholders
 from lexilake.functions.tokens import IOS_TOKEN, fill_tokens, ios_arg_numbers, ios_tokens, placeholder_type
 from lexilake.schemas import PLACEHOLDERS
-from lexilake.sources.documents import is_object, is_string, read_documents, strict_json
+from lexilake.sources.documents import is_object, is_string, once, read_documents, strict_json
 
 LOCALIZATION = (
     "struct<stringUnit:struct<state:string,value:string>,substitutions:map<string,struct<argNum:int,"
@@ -42,7 +42,7 @@ def parse_xcstrings(docs: DataFrame, key_transform: str = "identity") -> tuple[D
         return is_string(v, path) & (F.length(F.try_variant_get(v, path, "string")) > 0)
 
     good = F.coalesce(filled("$.sourceLanguage") & filled("$.version") & is_object(v, "$.strings"), F.lit(False))
-    judged = docs.withColumn("v", strict_json(F.col("text"))).withColumn("good", good)
+    judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
     entries = judged.filter("good").select(
         "project", "path", F.explode(F.from_json("text", STRINGS)["strings"]).alias("_key", "_entry")).select(
         "project", "path", reverse_key(F.col("_key"), key_transform).alias("key"),
@@ -65,7 +65,7 @@ def parse_xcstrings(docs: DataFrame, key_transform: str = "identity") -> tuple[D
         .when(F.exists(subs, lambda s: F.coalesce(s["given"], F.lit(0)) < 1), "L10N_E0040")
         .when(F.exists("_tokens", lambda t: t.startswith("%#@")), "L10N_E0042")
         .when(F.exists("_args", lambda a: F.size(F.filter(subs, lambda s: s["given"] == a)) == 0), "L10N_E0041"))
-    read = tokens.withColumn("_error", error)
+    read = once(tokens, "_error", error)
     fine = read.filter(F.col("_error").isNull())
     holders = F.transform("_args", mapped)
     text = F.when(F.size("_tokens") > 0, fill_tokens(value, IOS_TOKEN, F.transform(holders, lambda h: h["name"]))
