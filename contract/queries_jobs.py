@@ -56,6 +56,9 @@ APPLY_VIEWS = {**PLAN_VIEWS, "x_responses": RESPONSES, "x_outcomes": OUTCOMES}
 
 def _applied(lake, strict=False):
     tasks = tasks_of(lake)
+    if strict:
+        # Leave one project without the texts that lose a placeholder.
+        tasks = tasks.filter(~((F.col("project") == 3) & F.col("key").rlike("[05]$")))
     return applying.apply_responses(tasks, responses_of(lake, tasks), lake.source, lake.configs, "recorded",
                                     now(), strict)
 
@@ -82,8 +85,9 @@ def apply_responses(lake):
 
 
 @query("apply_responses_strict", """
-  SELECT project, locale, count(*) AS entries FROM x_outcomes WHERE outcome IN ('cached', 'translated')
-    AND project NOT IN (SELECT project FROM x_outcomes WHERE outcome = 'mismatch') GROUP BY ALL""", **APPLY_VIEWS)
+  SELECT project, locale, count(*) AS entries FROM x_open WHERE outcome IN ('cached', 'translated')
+    AND project NOT IN (SELECT project FROM x_open WHERE outcome = 'mismatch') GROUP BY ALL""", **APPLY_VIEWS,
+       x_open="SELECT * FROM x_outcomes WHERE NOT (project = 3 AND regexp_matches(key, '[05]$'))")
 def apply_responses_strict(lake):
     entries, _, _ = _applied(lake, strict=True)
     return entries.groupBy("project", "locale").agg(F.count(F.lit(1)).alias("entries"))

@@ -208,7 +208,7 @@ class Lake:
         done = F.floor("value").cast("int")
         return events.select(
             F.col("user_id").cast("int").alias("project"), done.alias("completed_translations"),
-            (done + F.col("event_id").cast("int") % 7 * 10 - 5).alias("total_translations"),
+            F.greatest(F.lit(0), done + F.col("event_id").cast("int") % 7 * 10 - 5).alias("total_translations"),
             F.when(F.col("event_type") == "error", "interrupted").otherwise("running").alias("status"),
             F.col("ts").alias("updated_at"), F.col("event_id"),
             F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("config_hash"),
@@ -348,7 +348,7 @@ HISTORY = """
 
 STATES = """
   SELECT user_id::INT AS project, floor(value)::INT AS completed_translations,
-    (floor(value)::INT + (event_id % 7)::INT * 10 - 5) AS total_translations,
+    greatest(0, floor(value)::INT + (event_id % 7)::INT * 10 - 5) AS total_translations,
     CASE WHEN event_type = 'error' THEN 'interrupted' ELSE 'running' END AS status, ts AS updated_at, event_id,
     'c' || (event_id % 3) AS config_hash, 's' || (user_id % 2) AS source_hash FROM events"""
 
