@@ -139,6 +139,14 @@ def test_written_catalog_is_canonical_json(spark, tmp_path):
     assert de == json.dumps(loaded, indent=2, ensure_ascii=False) + "\n"
     assert list(loaded["entries"]) == ["a_b", "a.b", "A", "ab", "b"] or list(loaded["entries"]) == ["A", "a_b", "a.b", "ab", "b"]
     es = document(tmp_path / "t" / "project=0" / "locale=es")
+    # A document too large for one task spreads over several files with the same text.
+    from lexilake.sinks.catalogs import render_catalog
+    from lexilake.sinks.documents import write_documents
+
+    write_documents(render_catalog(ent), ["project", "locale"], str(tmp_path / "w"), whole=600)
+    parts = list((tmp_path / "w" / "project=0" / "locale=de").glob("part-*"))
+    assert len(parts) > 1 and document(tmp_path / "w" / "project=0" / "locale=de") == de
+    assert document(tmp_path / "w" / "project=0" / "locale=es") == es
     docs = spark.createDataFrame([(0, "de", de), (0, "es", es), (0, "bad", de + "x")], "project int, path string, text string")
     rows, bad = parse_translations(docs)
     assert rows.count() == 6 and [r.path for r in bad.collect()] == ["bad"]
