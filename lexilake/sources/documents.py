@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 def read_documents(spark: SparkSession, path: str, glob: str | None = None,
                    project_pattern: str | None = None) -> DataFrame:
     """One row per file below ``path``.  ``project_pattern`` captures the project id in the path."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(
+        path, wholetext=True, recursiveFileLookup=True, **({"pathGlobFilter": glob} if glob else {}),
+    ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     project = F.regexp_extract("path", project_pattern, 1).cast("int") if project_pattern else F.lit(0)
     return files.select(project.alias("project"), "path", "text")
 
