@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from contract.queries_core import PAIRS
@@ -13,7 +11,7 @@ from lexilake.functions import escape, keys, locales, text as tx, tokens
 from lexilake.functions.escape import json_string
 from lexilake.functions.hashing import history_id, source_key_json
 from lexilake.operators import audit
-from lexilake.session import durable, ensure_checkpoint_dir
+from lexilake.session import durable, shared_path
 from lexilake.sinks import catalogs as doc_sink, platforms as native
 from lexilake.sources import android, catalogs, corpus, history, ios_strings, recorded, xcstrings
 from lexilake.streaming import streams
@@ -450,8 +448,7 @@ def _stream(lake, table):
 
 def _drain(lake, stream, mode):
     """Run a stream over what there is and give its result as a table in the shared folder."""
-    ensure_checkpoint_dir(lake.spark)
-    home = f"{lake.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    home = shared_path(lake.spark, "stream")
 
     def store(batch, batch_id):
         # Complete mode replaces the table, append mode adds to it; a replayed batch overwrites itself.
@@ -495,8 +492,7 @@ def stalled_runs(lake):
 @query("incremental_staleness", "SELECT project, locale, key, reason, source_hash FROM x_pairs "
                                 "WHERE reason IN ('missing', 'stale')", x_pairs=PAIRS)
 def incremental_staleness(lake):
-    ensure_checkpoint_dir(lake.spark)
-    home = f"{lake.spark.sparkContext.getCheckpointDir()}/tasks-{uuid.uuid4().hex}"
+    home = shared_path(lake.spark, "tasks")
     changes = Lake.source_of(Lake.parts_of(_stream(lake, "part")))
     streams.incremental_staleness(
         changes, lambda: (lake.entries, lake.locales, lake.cache, lake.configs),

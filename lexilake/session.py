@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there on.
+    """Write ``df`` as a table in the shared folder and read it from there on.
 
     The result no longer depends on how it was computed: a lost executor re-reads it, and
-    values that a second run could change (range bounds, partition ids) are settled.
+    values that a second run could change (range bounds, partition ids) are settled.  Unlike a
+    checkpointed plan it carries no claim about its partitioning, which may be that of a plan
+    AQE has since replaced; readers prune its columns and know its size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
