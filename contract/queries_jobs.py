@@ -12,6 +12,7 @@ from lexilake.functions.text import extract_placeholders
 from lexilake.operators import applying, audit, coverage, dedupe, linting, merging, near, ranking, renaming, restoring
 from lexilake.plans import review, sync as sync_plan
 from lexilake.providers import plan_renames, plan_renames_with, translate_with
+from lexilake.session import durable
 from lexilake.sinks.archive import name_archives
 
 NOW = "timestamp_ntz'2024-05-01 12:34:56'"
@@ -318,14 +319,15 @@ CORPUS = """
 
 
 def corpus_of(lake):
-    """An order has a handful of items, so a file gathers that many lines."""
+    """An order has a handful of items, so a file gathers that many lines.  Stored, as files are."""
     items = lake.table("lineitem").join(lake.parts.select("pk", "key", "text"), F.col("l_partkey") == F.col("pk"))
     line = F.concat(F.lit('t("'), F.col("key"), F.lit('"); // '), F.col("text"))
-    return items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
-        "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", line.alias("line")))).alias("lines")).select(
+    files = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", line.alias("line")))).alias("lines"))
+    return durable(files.select(
         (F.col("l_orderkey") % 4).cast("int").alias("project"),
         F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("path"),
-        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text")))
 
 
 # Bare keys are prefixes of longer ones, so longest-first order and substring matching both show.

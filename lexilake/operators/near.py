@@ -13,20 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.session import durable
+from lexilake.sources.documents import once
 
 SHINGLE_WORDS = 3
 
 
-def shingles(text) -> F.Column:
-    """Distinct hashes of the text's word triples; shorter texts are one shingle."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rest = F.size(words)
+def words_of(text) -> F.Column:
+    """Lower-case runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def shingles(words) -> F.Column:
+    """Distinct hashes of word triples; shorter texts are one shingle."""
+    n = F.greatest(F.size(words) - (SHINGLE_WORDS - 1), F.lit(0))
     triples = F.transform(
-        F.arrays_zip(F.slice(words, 1, F.greatest(rest - 2, F.lit(0))).alias("a"),
-                     F.slice(words, 2, F.greatest(rest - 2, F.lit(0))).alias("b"),
-                     F.slice(words, 3, F.greatest(rest - 2, F.lit(0))).alias("c")),
-        lambda s: F.xxhash64(s["a"], s["b"], s["c"]))
-    return F.when(rest >= SHINGLE_WORDS, F.array_distinct(triples)).otherwise(
+        F.arrays_zip(*[F.slice(words, 1 + i, n).alias(f"w{i}") for i in range(SHINGLE_WORDS)]),
+        lambda s: F.xxhash64(*[s[f"w{i}"] for i in range(SHINGLE_WORDS)]))
+    return F.when(n > 0, F.array_distinct(triples)).otherwise(
         F.array(F.xxhash64(F.array_join(words, " "))))
 
 
@@ -89,8 +92,8 @@ def near_edges(docs: DataFrame, threshold: float, hashes: int, bands: int) -> Da
             "project", "leader", "key", jaccard(F.col("shingles"), F.col("_lead")).alias("similarity"))
         close = durable(scored.filter(F.col("similarity") >= threshold))
         found = close if found is None else found.unionByName(close)
-        members = durable(waiting.join(close, ["project", "leader", "key"], "left_anti").select(
-            "project", "key", "bucket"))
+        members = waiting.join(close, ["project", "leader", "key"], "left_anti").select(
+            "project", "key", "bucket")
     if found is None:
         return docs.select("project", F.col("key").alias("leader"), "key",
                            F.lit(1.0).alias("similarity")).limit(0)
@@ -104,12 +107,12 @@ def near_duplicates(source: DataFrame, threshold: float = 0.7, hashes: int = 32,
     Confidence is the lowest similarity of any link that holds the group together.  Every key
     of a collapsed exact copy is listed; groups of exact copies alone are not near groups.
     """
-    hashed = source.select("project", "key", "text", F.sha2("text", 256).alias("text_hash"))
-    distinct = hashed.groupBy("project", "text_hash").agg(
-        F.min_by(F.struct("key", "text"), "key").alias("_first"))
-    docs = durable(distinct.select(
-        "project", "text_hash", F.col("_first.key").alias("key"),
-        shingles(F.col("_first.text")).alias("shingles")))
+    # Hashes and keys alone find the first of each set of copies; only its text moves.
+    hashed = durable(source.select("project", "key", F.sha2("text", 256).alias("text_hash")))
+    firsts = hashed.groupBy("project", "text_hash").agg(F.min("key").alias("key"))
+    texts = source.select("project", "key", "text").join(firsts, ["project", "key"])
+    docs = durable(once(texts, "_words", words_of(F.col("text"))).select(
+        "project", "text_hash", "key", shingles(F.col("_words")).alias("shingles")))
     edges = durable(near_edges(docs.drop("text_hash"), threshold, hashes, bands))
     components = connected_components(edges.select("project", F.col("leader").alias("a"), F.col("key").alias("b")))
     roots = components.select("project", F.col("component").alias("key"), "component").distinct()
