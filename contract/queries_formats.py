@@ -237,9 +237,10 @@ def scan_source_catalog(lake):
 
 
 @query("scan_translations", """
-  SELECT project, locale, key, text, CASE WHEN pk % 47 = 2 THEN false ELSE reviewed END AS reviewed, translated_at,
-    count(*) OVER (PARTITION BY 1) AS good, (SELECT count(*) FROM v_entries WHERE pk % 41 = 0 OR pk % 43 = 1) AS bad
-  FROM v_entries WHERE pk % 41 <> 0 AND pk % 43 <> 1""")
+  SELECT project, locale, key, text, CASE WHEN pk % 47 = 2 THEN false ELSE reviewed END AS reviewed, translated_at
+  FROM v_entries WHERE pk % 41 <> 0 AND pk % 43 <> 1
+  UNION ALL SELECT project, 'bad', 'L10N_E0011', count(*)::VARCHAR, NULL, NULL FROM v_entries
+  WHERE pk % 41 = 0 OR pk % 43 = 1 GROUP BY project""")
 def scan_translations(lake):
     pk = F.col("pk")
     field = lambda name, value: F.concat(F.lit(f'"{name}": '), json_string(value))
@@ -253,11 +254,10 @@ def scan_translations(lake):
         F.lit('{"version": 1, "locale": '), json_string(F.col("locale")), F.lit(', "entries": {'),
         json_string(F.col("key")), F.lit(": {"), item, F.lit("}}}")).alias("text"))
     rows, bad = catalogs.parse_translations(durable(docs))
-    # Both counts are single rows, joined on a constant.
-    n_good = rows.groupBy(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("good"))
-    n_bad = bad.groupBy(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("bad"))
-    return rows.withColumn("one", F.lit(1)).join(n_good, "one").join(n_bad, "one").select(
-        "project", "locale", "key", "text", "reviewed", "translated_at", "good", "bad")
+    counted = bad.groupBy("project", "code").agg(F.count(F.lit(1)).cast("string").alias("text"))
+    return rows.select("project", "locale", "key", "text", "reviewed", "translated_at").unionByName(counted.select(
+        "project", F.lit("bad").alias("locale"), F.col("code").alias("key"), "text",
+        F.lit(None).cast("boolean").alias("reviewed"), F.lit(None).cast("timestamp_ntz").alias("translated_at")))
 
 
 @query("cache_version_gate", """
