@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, union_diagnostics
-from lexilake.session import durable
+from lexilake.session import durable, ship_package
 from lexilake.sources.documents import strict_json
 
 # One conflict block: an opening line, a line of seven equal signs, a closing line.
@@ -83,6 +83,7 @@ def flatten_documents(docs: DataFrame, column: str, id_cols: list[str]) -> DataF
     array of names, values are compact JSON.  The recursion has no column expression, so it is
     a small function over Arrow batches; everything after it is joins.
     """
+    ship_package(docs.sparkSession)
     nodes = F.pandas_udf(_document_nodes, "array<struct<path:array<string>,kind:string,value:string>>")
     return docs.select(*id_cols, F.explode(nodes(F.col(column))).alias("n")).select(*id_cols, "n.*")
 

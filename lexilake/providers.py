@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.functions.keys import restyle_key
+from lexilake.session import ship_package
 from lexilake.sinks import platforms as sink
 from lexilake.sources.android import ingest_android_strings
 from lexilake.sources.ios_strings import ingest_ios_strings
@@ -40,6 +41,7 @@ def translate_with(requests: DataFrame, fn: Callable[[dict], tuple[str, str]]) -
             yield pd.DataFrame(rows, columns=["source_locale", "locale", "source_text", "response_no", "text",
                                               "model_version", "error_code"])
 
+    ship_package(requests.sparkSession)
     once = requests.dropDuplicates(["source_locale", "locale", "source_text"])
     return once.mapInPandas(run, RESPONSES)
 
@@ -57,6 +59,7 @@ def plan_renames_with(batches: DataFrame, fn: Callable[[list[dict]], list[dict]]
                 for p in plans if p.get("from") in known]
         return pd.DataFrame(rows, columns=["project", "from_key", "to_key", "rationale", "skip_reason"])
 
+    ship_package(batches.sparkSession)
     return batches.groupBy("project", "batch_id").applyInPandas(run, PLAN)
 
 

@@ -14,6 +14,7 @@ from lexilake.diagnostics import diagnose
 from lexilake.functions.keys import reverse_key
 from lexilake.functions.text import unique_placeholders
 from lexilake.schemas import PLACEHOLDERS
+from lexilake.session import ship_package
 from lexilake.sources.documents import read_documents
 
 # What may stand between tokens, and the tokens of one pair.
@@ -52,6 +53,7 @@ def parse_ios_strings(docs: DataFrame, source_locale: str = "en",
     if "locale" not in docs.columns:
         folder = F.regexp_extract("path", r"([^/]*)\.lproj/[^/]*\z", 1)
         docs = docs.withColumn("locale", F.coalesce(F.nullif(folder, F.lit("")), F.lit(source_locale)))
+    ship_package(docs.sparkSession)
     scanned = docs.select("project", "path", "locale", "text").mapInPandas(
         _scan, "project int, path string, locale string, pairs array<struct<k:string,v:string>>, good boolean")
     none = F.create_map().cast(PLACEHOLDERS)
