@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, packing, token_files, urls
+from lexilake.llm import bpe, chat, minhash, packing, token_files, urls
 from lexilake.llm.shared import table
 from lexilake.session import shared_path
 
@@ -76,6 +76,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).drop("ids")
 
 
+@query("op5_minhash", r"""
+  WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM words),
+  sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+  shingles AS (SELECT doc_id, unnest(s) AS s FROM sets),
+  shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY 1, 2),
+  links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  lowest AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+  SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+    doc_id <= coalesce(m, doc_id) AS kept
+  FROM sizes LEFT JOIN lowest ON a = doc_id""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100))
+
+
 @query("op7_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
