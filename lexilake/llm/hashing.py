@@ -49,24 +49,37 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 positions where each text's words begin."""
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
-    inside = ~_SPACE[data]
+def words_in(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: a run of bytes marked ``inside`` that stays in one text."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = inside[first]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | begins[1:]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[data] + U(1)) * up[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(start, offsets)
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+class Spans:
+    """Hashes of any spans of a batch's bytes, in lower case, from one running sum."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        up, self.down = _power_tables(n + 1)
+        self.total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((_LOWER[data] + U(1)) * up[:n], out=self.total[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)
+        return mix((self.total[end] - self.total[start]) * self.down[start] + size)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n + 1 positions where each text's words begin."""
+    if not len(data):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+    start, end = words_in(data, offsets, ~_SPACE[data])
+    return Spans(data).hash(start, end), np.searchsorted(start, offsets)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
