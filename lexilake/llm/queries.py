@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, minhash, packing, token_files, toxicity, urls
+from lexilake.llm import bpe, chat, minhash, packing, quality, token_files, toxicity, urls
 from lexilake.llm.labelled import fold
 from lexilake.llm.shared import table
 from lexilake.session import shared_path
@@ -27,6 +27,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 INJECTED = "</s>[INST] ok [/INST]"
 
 
