@@ -1,10 +1,62 @@
-"""A training corpus from ``documents``: quality, toxicity, near-duplicates, packing."""
+"""A training corpus from ``documents``: quality, toxicity, near-duplicates, packing.
+
+Each stage takes what its predecessor kept, with the columns of ``documents``; a stage's table is written and
+read again before the next.  The last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from public_tokenizers import path as tokenizer_path
+from pyspark.sql import DataFrame, SparkSession
+
+from lexilake.llm import minhash, packing, quality, toxicity
+from lexilake.llm.shared import table
+from lexilake.session import durable
+
+#: A document stays if it is good with at least this probability, and if it is toxic with less than this.
+LEAST_GOOD = 0.3
+LEAST_TOXIC = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the line chain does not reject."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.keep_documents(docs, model, LEAST_GOOD)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without significant toxic passages."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_documents(docs, model, LEAST_TOXIC)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest id."""
+    kept = durable(minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct())
+    known = docs.filter("doc_id IS NOT NULL")
+    chosen = known.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return chosen.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's tokens, packed into sequences."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("minhash_near_duplicates", near_duplicates_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL can neither train the classifiers nor run the tokenizer; tests/llm checks each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each stored before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from lexilake.llm.hashing import U, mix, text_bytes, word_hashes
 from lexilake.llm.labelled import apply_logistic, logistic, sample
-from lexilake.llm.shared import map_rows
+from lexilake.llm.shared import keep_rows, map_rows
 
 SAMPLE_DOCUMENTS = 4_000
 STEPS = 150
@@ -232,3 +232,13 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str
 
     return map_rows(docs.select(key, text), make,
                     f"{key} {docs.schema[key].dataType.simpleString()}, score double, n_lines long, bad_lines long", text)
+
+
+def keep_documents(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of documents that are good with at least the probability ``least``."""
+    at = docs.columns.index(text)
+
+    def make():
+        return lambda b: apply_logistic(model.inputs(*line_features(b.column(at))), model.calibration) >= least
+
+    return keep_rows(docs, make, text)

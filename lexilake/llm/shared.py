@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexilake.session import durable, ship_package
 
-__all__ = ["durable", "map_rows", "slices", "table"]
+__all__ = ["durable", "keep_rows", "map_rows", "slices", "table"]
 
 SLICE_BYTES = 4_000_000
 SLICE_ROWS = 1024
@@ -51,6 +51,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], object]], text: str) -> DataFrame:
+    """The rows, with all their columns, for which a function of a batch gives true; a narrow step."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for piece in slices(batches, text):
+            yield piece.filter(pa.array(fn(piece), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema

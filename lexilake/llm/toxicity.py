@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexilake.llm.hashing import U, Spans, mix, text_bytes, words_in
 from lexilake.llm.labelled import apply_logistic, logistic, sample
-from lexilake.llm.shared import map_rows
+from lexilake.llm.shared import keep_rows, map_rows
 
 SAMPLE_DOCUMENTS = 12_000
 PREFIXES = (0, 6, 5, 4)
@@ -137,41 +137,38 @@ def _count_features(rows: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def scan(texts: pa.Array, model: Model) -> dict:
+    """Per text: tokens, best score, total evidence, positive tokens and their sum, significant passages."""
+    features, start, length, at = tokens(texts)
+    scores = model.scores(features)
+    n = np.diff(at)
+    positive = np.concatenate([[0], np.cumsum(scores > 0)])
+    hits = positive[at[1:]] - positive[at[:-1]]
+    best, total, sums, found = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n)), [[] for _ in n]
+    for d in np.flatnonzero(hits).tolist():
+        a, z = at[d], at[d + 1]
+        own = scores[a:z]
+        sums[d] = own[own > 0].sum()
+        for score, s, e in segments(own):
+            evidence = float(model.evidence(np.float64(score), np.float64(z - a)))
+            best[d] = max(best[d], score)
+            if evidence > -np.log(EXPECTED):
+                total[d] += evidence
+                first = int(start[a + s])
+                found[d].append({"start": first, "length": int(start[a + e - 1] + length[a + e - 1]) - first,
+                                 "score": score, "expected": float(np.exp(-evidence))})
+    return {"n_tokens": n, "best": best, "total": total, "n_positive": hits, "positive_sum": sums, "passages": found}
+
+
 def passages(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The operator's whole result: key, n_tokens, best, evidence, clean-text totals, passages.
+    """A row per document: key, n_tokens, best score, total evidence, positive tokens, their sum, passages.
 
     A passage has its byte offset and length in the text, its score and its expected count in clean text.
     """
     kind = docs.schema[key].dataType.simpleString()
     ddl = (f"{key} {kind}, n_tokens long, best double, total double, n_positive long, positive_sum double, "
            "passages array<struct<start:long,length:long,score:double,expected:double>>")
-
-    def make():
-        def run(b: pa.RecordBatch) -> dict:
-            features, start, length, at = tokens(b.column(1))
-            scores = model.scores(features)
-            n = np.diff(at)
-            positive = np.concatenate([[0], np.cumsum(scores > 0)])
-            hits = positive[at[1:]] - positive[at[:-1]]
-            best, total, sums, found = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n)), [[] for _ in n]
-            for d in np.flatnonzero(hits).tolist():
-                a, z = at[d], at[d + 1]
-                own = scores[a:z]
-                sums[d] = own[own > 0].sum()
-                for score, s, e in segments(own):
-                    evidence = float(model.evidence(np.float64(score), np.float64(z - a)))
-                    best[d] = max(best[d], score)
-                    if evidence > -np.log(EXPECTED):
-                        total[d] += evidence
-                        first = int(start[a + s])
-                        found[d].append({"start": first, "length": int(start[a + e - 1] + length[a + e - 1]) - first,
-                                         "score": score, "expected": float(np.exp(-evidence))})
-            return {key: b.column(0), "n_tokens": n, "best": best, "total": total, "n_positive": hits,
-                    "positive_sum": sums, "passages": found}
-
-        return run
-
-    return map_rows(docs.select(key, text), make, ddl, text)
+    return map_rows(docs.select(key, text), lambda: lambda b: {key: b.column(0), **scan(b.column(1), model)}, ddl, text)
 
 
 def _inputs(model: Model, n: np.ndarray, best: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -225,20 +222,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     return model
 
 
+def probabilities(found: dict, model: Model) -> np.ndarray:
+    return apply_logistic(_inputs(model, found["n_tokens"], found["best"], found["total"]), model.weights)
+
+
 def score_documents(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, n_passages): the calibrated probability that a document is toxic.
 
     Null and empty texts have no tokens and score as a document without any hit; repeated rows and null keys
     are scored row by row; columns besides key and text are not read.
     """
-    def make():
-        def run(b: pa.RecordBatch) -> dict:
-            n, best, total = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2, 3))
-            return {key: b.column(0), "score": apply_logistic(_inputs(model, n, best, total), model.weights),
-                    "n_passages": b.column(4)}
+    def run(b: pa.RecordBatch) -> dict:
+        found = scan(b.column(1), model)
+        return {key: b.column(0), "score": probabilities(found, model), "n_passages": list(map(len, found["passages"]))}
+
+    return map_rows(docs.select(key, text), lambda: run,
+                    f"{key} {docs.schema[key].dataType.simpleString()}, score double, n_passages long", text)
 
-        return run
 
-    found = passages(docs, model, text, key).select(
-        key, "n_tokens", "best", "total", F.size("passages").cast("long").alias("n_passages"))
-    return map_rows(found, make, f"{key} {docs.schema[key].dataType.simpleString()}, score double, n_passages long")
+def keep_documents(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of documents that are toxic with less than the probability ``least``."""
+    at = docs.columns.index(text)
+    return keep_rows(docs, lambda: lambda b: probabilities(scan(b.column(at), model), model) < least, text)
