@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, minhash, packing, quality, token_files, toxicity, urls
+from lexilake.llm import bpe, chat, embedding_duplicates, minhash, packing, quality, token_files, toxicity, urls
 from lexilake.llm.labelled import fold
 from lexilake.llm.shared import table
 from lexilake.session import shared_path
@@ -124,6 +124,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+@query("op9_embedding_duplicates", """
+  WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+  links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+  reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+  lowest AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+  degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+  SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+    vec_id <= coalesce(m, vec_id) AS kept
+  FROM embeddings LEFT JOIN lowest ON lowest.a = vec_id LEFT JOIN degree ON degree.a = vec_id""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
