@@ -154,14 +154,17 @@ def prompt_text(lake):
 
 
 # --- rows ------------------------------------------------------------------------------------
-@query("latest_entry", "SELECT project, locale, key, text, reviewed, stale, source_hash, provider, model_version, "
-                       "translated_at FROM v_entries")
+@query("latest_entry", """
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, locale, pk, orphan
+      ORDER BY "at" DESC, ok DESC, ln DESC, sk DESC, price DESC, flag DESC, status DESC) AS rn
+    FROM (SELECT (l_suppkey % 4)::INTEGER AS project,
+      ['de', 'es', 'fr', 'pt-BR', 'zh-Hans', 'fil', 'es-419'][(l_linenumber % 7 + 1)::INTEGER] AS locale,
+      l_partkey AS pk, l_orderkey % 31 = 0 AS orphan, l_shipdate AS "at", l_orderkey AS ok, l_linenumber AS ln,
+      l_suppkey AS sk, l_extendedprice AS price, l_returnflag AS flag, l_linestatus AS status FROM lineitem)) WHERE rn = 1""")
 def latest_entry(lake):
-    order = ["at", "ok", "ln", "sk", "price", "flag", "status"]
-    newest = rows.latest_entry(lake.versions, ["project", "locale", "pk", "orphan"], order)
-    assert set(newest.columns) == set(lake.versions.columns)
-    return lake.entries.drop("pk").join(
-        newest.select("project", "locale").distinct(), ["project", "locale"], "left_semi")
+    return rows.latest_entry(lake.versions, ["project", "locale", "pk", "orphan"],
+                             ["at", "ok", "ln", "sk", "price", "flag", "status"])
 
 
 SEEN = "SELECT DISTINCT project, locale, false AS is_source FROM v_entries"

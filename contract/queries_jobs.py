@@ -117,8 +117,8 @@ def sync_report(lake):
       FROM x_done d WHERE d.project = e.project AND d.locale = e.locale AND d.key = e.key))
     UNION ALL SELECT project, locale, 'recorded', false FROM x_done) GROUP BY ALL""",
        **{**APPLY_VIEWS,
-          "x_kept": f"""SELECT e.* FROM v_entries e SEMI JOIN v_targets USING (project, locale)
-            WHERE project IN (0, 1) OR NOT EXISTS (FROM v_source s WHERE s.project = e.project AND s.key = e.key
+          "x_kept": f"""SELECT e.* FROM v_entries e WHERE project IN (0, 1) OR EXISTS (
+            FROM v_targets t WHERE t.project = e.project AND t.locale = e.locale) AND NOT EXISTS (FROM v_source s WHERE s.project = e.project AND s.key = e.key
               AND NOT {parity('s.text', 'e.text')}
               AND (NOT {blank('e.text')} OR (e.reviewed AND e.source_hash <> s.source_hash)))""",
           "x_pairs": f"""SELECT s.project, t.locale, s.key, s.source_hash, s.text AS source_text,
@@ -399,21 +399,26 @@ def plan_renames_default(lake):
 
 
 @query("translate_with", """
-  SELECT DISTINCT 'en' AS source_locale, t.locale, s.text AS source_text,
-    CASE WHEN contains(s.text, 'plural') THEN NULL ELSE t.locale || ':' || s.text END AS text,
+  SELECT t.project, t.locale, t.key, s.text AS source_text,
+    CASE WHEN contains(s.text, 'plural') THEN NULL ELSE t.locale || ':' || s.text || '|' || coalesce(s.description, '-')
+      || '|' || coalesce(g.n, 0) END AS text,
     CASE WHEN contains(s.text, 'plural') THEN 'L10N_E0054' END AS error_code
-  FROM x_tasks t JOIN v_source s ON s.project = t.project AND s.key = t.key WHERE t.cache_text IS NULL""", **PLAN_VIEWS)
+  FROM x_tasks t JOIN v_source s ON s.project = t.project AND s.key = t.key
+  LEFT JOIN (SELECT project, locale, count(*) AS n FROM v_glossary WHERE target_term <> '' GROUP BY ALL) g
+    ON g.project = t.project AND g.locale = t.locale
+  WHERE t.cache_text IS NULL""", **PLAN_VIEWS)
 def translate_with_query(lake):
+    """The answer depends on all the provider is asked, so two descriptions or glossaries give two answers."""
     from lexilake.operators.planning import translation_requests, uncached_requests
 
     def fn(request):
         if "plural" in request["source_text"]:
             raise ValueError("no plurals")
-        return f"{request['locale']}:{request['source_text']}", "m"
+        return (f"{request['locale']}:{request['source_text']}|{request['description'] or '-'}|"
+                f"{len(request['glossary'])}"), "m"
 
     requests = translation_requests(uncached_requests(tasks_of(lake)), lake.source, lake.glossary)
-    return translate_with(requests.select("source_locale", "locale", "source_text"), fn).select(
-        "source_locale", "locale", "source_text", "text", "error_code")
+    return translate_with(requests, fn).select("project", "locale", "key", "source_text", "text", "error_code")
 
 
 # --- duplicates ------------------------------------------------------------------------------

@@ -12,9 +12,14 @@ from lexilake.schemas import CACHE_KEY, ENTRY_COLUMNS
 from lexilake.session import durable
 
 
+# A provider's answer is that of one task; a recorded one is that of a text.
+TASK_KEY = ["project", "locale", "key"]
+TEXT_KEY = ["source_locale", "locale", "source_text"]
+
+
 def first_responses(responses: DataFrame) -> DataFrame:
-    """One recorded response per request: the one recorded first."""
-    key = ["source_locale", "locale", "source_text"]
+    """One response per task, or per text where the responses name no task: the one recorded first."""
+    key = TASK_KEY if set(TASK_KEY) <= set(responses.columns) else TEXT_KEY
     return responses.groupBy(*key).agg(F.min(F.struct(
         "response_no", "text", "model_version", "error_code")).alias("_r")).select(
         *key, F.col("_r.text").alias("response_text"), F.col("_r.model_version").alias("response_model"),
@@ -28,10 +33,11 @@ def task_outcomes(tasks: DataFrame, responses: DataFrame, source: DataFrame,
     Cached text is taken as it is, with its parity in a column of its own.
     """
     s = source.select("project", "key", F.col("text").alias("source_text"))
+    first = first_responses(responses)
     answered = (
         tasks.join(s, ["project", "key"])
         .withColumn("source_locale", F.lit(source_locale))
-        .join(first_responses(responses), ["source_locale", "locale", "source_text"], "left"))
+        .join(first, [k for k in first.columns if k in TASK_KEY + TEXT_KEY], "left"))
     cached = F.col("cache_text").isNotNull()
     text = F.when(cached, F.col("cache_text")).otherwise(F.col("response_text"))
     judged = answered.withColumn("text", text).withColumn(

@@ -5,17 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, has_errors, union_diagnostics
 from lexilake.operators.applying import apply_responses, import_catalog, upsert_entries
-from lexilake.operators.audit import configured, orphaned_reviewed, sync_gate
+from lexilake.operators.audit import archived_warnings, configured, orphaned_reviewed, sync_gate
 from lexilake.operators.cache import gc_cache, upsert_cache
 from lexilake.operators.linting import lint_keys
 from lexilake.operators.planning import plan_summary, plan_sync
 from lexilake.operators.restoring import restore_as_of
-from lexilake.operators.rows import live_entries, refresh_stale_flags, snapshot_path_guard
+from lexilake.operators.rows import live_entries, refresh_stale_flags, removed_entries, snapshot_path_guard
 from lexilake.plans.catalog import Catalog
 from lexilake.session import durable
+from lexilake.sinks.archive import name_archives
 
 
 def plan_run(c: Catalog) -> tuple[DataFrame, DataFrame]:
@@ -26,35 +28,62 @@ def plan_run(c: Catalog) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class SyncResult:
+    """What a run leaves behind.
+
+    ``archive`` has the entries that left the catalog but must not be lost, each with its reason and the
+    name of its archive; ``removed`` the machine-made ones without a key, which go.  Every entry given is in
+    ``entries``, replaced there, in ``archive`` or in ``removed``.
+    """
+
     entries: DataFrame
     cache: DataFrame
     archive: DataFrame
+    removed: DataFrame
+    history: DataFrame
     diagnostics: DataFrame
 
 
 def apply_sync(c: Catalog, responses: DataFrame, provider_id: str, now: Column,
-               strict: bool = False) -> SyncResult:
+               strict: bool = False, taken: DataFrame | None = None) -> SyncResult:
     """Next entries and cache of every project that its checks let through.
 
-    A project with an error among its key or entry findings keeps its entries as they are.
+    A project with an error among its key or entry findings is left as it is: all its entries, of whatever
+    locale, and its cache.  Entries of a locale a project no longer targets go to the archive, and so do
+    reviewed entries that lost their key; ``taken`` has the names and attempts of archives written before.
     """
-    entries = configured(c.entries, c.locales)
-    before = union_diagnostics(lint_keys(c.source, c.rules), sync_gate(entries, c.source))
+    targeted = configured(c.entries, c.locales)
+    before = union_diagnostics(lint_keys(c.source, c.rules), sync_gate(targeted, c.source))
     # One row per blocked project; the gate is settled before anything is planned.
     blocked = durable(has_errors(before).filter("not ok").select("project"))
-    source = c.source.join(blocked, "project", "left_anti")
-    tasks = plan_sync(source, entries, c.locales, c.cache, c.configs)
+
+    def passed(df: DataFrame) -> DataFrame:
+        return df.join(blocked, "project", "left_anti")
+
+    def held(df: DataFrame) -> DataFrame:
+        return df.join(blocked, "project", "left_semi")
+
+    source, open_entries = passed(c.source), passed(targeted)
+    tasks = plan_sync(source, open_entries, c.locales, c.cache, c.configs)
     new, new_cache, found = apply_responses(
         tasks, responses, source, c.configs, provider_id, now, strict, c.source_locale)
-    open_entries = entries.join(blocked, "project", "left_anti")
     kept = refresh_stale_flags(live_entries(open_entries, source), source).drop("changed")
-    held = entries.join(blocked, "project", "left_semi")
-    cache = upsert_cache(c.cache, new_cache)
+    targets = c.locales.filter(~F.col("is_source")).select("project", "locale")
+    gone = passed(c.entries).join(targets, ["project", "locale"], "left_anti").withColumn("reason", F.lit("locale"))
+    orphans = orphaned_reviewed(open_entries, source).withColumn("reason", F.lit("key"))
+    if taken is None:
+        taken = c.locales.select(F.lit("").alias("name"), F.lit(0).cast("bigint").alias("attempt")).limit(0)
+    archive = durable(name_archives(gone.unionByName(orphans.select(*gone.columns)), now, taken).drop("name", "attempt"))
+    history = archive.groupBy("project", "locale", "archive_name").agg(
+        F.max(F.col("reason") == "locale").alias("_gone"), F.count(F.lit(1)).alias("entries")).select(
+        "project", F.when(F.col("_gone"), "remove_locale").otherwise("archive_entries").alias("op"),
+        "locale", "archive_name", "entries", now.alias("ts"))
     return SyncResult(
-        entries=upsert_entries(kept, new).unionByName(held.select(*kept.columns)),
-        cache=gc_cache(cache, c.source),
-        archive=orphaned_reviewed(open_entries, source),
-        diagnostics=union_diagnostics(before, found))
+        entries=upsert_entries(kept, new).unionByName(held(c.entries).select(*kept.columns)),
+        cache=gc_cache(upsert_cache(passed(c.cache), new_cache), c.source).unionByName(held(c.cache)),
+        archive=archive,
+        removed=removed_entries(open_entries, source).filter(~F.col("reviewed")),
+        history=history,
+        diagnostics=union_diagnostics(before, found, archived_warnings(archive.filter("reason = 'key'"))))
 
 
 def import_native(platform_entries: DataFrame, locales: DataFrame, from_: str,

@@ -10,40 +10,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.functions.keys import restyle_key
-from lexilake.session import ship_package
+from lexilake.session import durable, ship_package
 from lexilake.sinks import platforms as sink
 from lexilake.sources.android import ingest_android_strings
 from lexilake.sources.ios_strings import ingest_ios_strings
 from lexilake.sources.xcstrings import ingest_xcstrings
 
-RESPONSES = (
-    "source_locale string, locale string, source_text string, response_no bigint, text string, "
-    "model_version string, error_code string"
-)
+RESPONSES = "request_id string, response_no bigint, text string, model_version string, error_code string"
+# What tells one task from another; all other columns of a request are what the provider is asked.
+TASK = ("project", "key", "source_hash")
 
 
 def translate_with(requests: DataFrame, fn: Callable[[dict], tuple[str, str]]) -> DataFrame:
-    """Call ``fn`` once per distinct request; it returns (text, model version).
+    """Call ``fn`` once per distinct request and give its answer to every task that asks it.
 
-    An exception becomes a row with an error code and the other rows go on.  ``error_code`` is
-    the exception's own ``code`` attribute where it has one.
+    Requests are distinct if anything the provider is asked differs: text, locales, description, placeholders
+    or glossary.  ``fn`` gets the request as a dict and returns (text, model version).  An exception becomes
+    a row with an error code and the other rows go on; ``error_code`` is the exception's own ``code``
+    attribute where it has one.  The result has the task's columns and the answer's.
     """
+    asked = [c for c in requests.columns if c not in TASK]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for request in pdf.to_dict("records"):
+                request_id = request.pop("request_id")
                 try:
                     text, model, code = *fn(request), None
                 except Exception as failure:  # noqa: BLE001
                     text, model, code = None, None, getattr(failure, "code", "L10N_E0054")
-                rows.append((request["source_locale"], request["locale"], request["source_text"], 0,
-                             text, model, code))
-            yield pd.DataFrame(rows, columns=["source_locale", "locale", "source_text", "response_no", "text",
-                                              "model_version", "error_code"])
+                rows.append((request_id, 0, text, model, code))
+            yield pd.DataFrame(rows, columns=["request_id", "response_no", "text", "model_version", "error_code"])
 
     ship_package(requests.sparkSession)
-    once = requests.dropDuplicates(["source_locale", "locale", "source_text"])
-    return once.mapInPandas(run, RESPONSES)
+    content = F.to_json(F.struct(*asked), {"ignoreNullFields": "false"})
+    tasks = durable(requests.withColumn("request_id", F.sha2(content, 256)))
+    # The provider is asked once even if its rows are read again.
+    answers = durable(tasks.select("request_id", *asked).dropDuplicates(["request_id"]).mapInPandas(run, RESPONSES))
+    named = [c for c in ("project", "locale", "key", "source_locale", "source_text") if c in requests.columns]
+    return tasks.select(*named, "request_id").join(answers, "request_id").drop("request_id")
 
 
 PLAN = "project int, from_key string, to_key string, rationale string, skip_reason string"

@@ -29,10 +29,12 @@ def local_session(cores: str = "*", name: str = "lexilake") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named, as in tests, make one here."""
+    """Use the cluster's shared folder; only where all runs on this machine, as in tests, make one here."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 

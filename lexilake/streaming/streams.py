@@ -52,15 +52,30 @@ def stalled_runs(states: DataFrame, gap: str = "10 minutes", delay: str = "10 mi
         "project", F.col("w.start").alias("started_at"), F.col("w.end").alias("stalled_at"), "reports")
 
 
+def newest_versions(batch: DataFrame, version: str | None) -> DataFrame:
+    """One row per project and key: that with the highest version; ties, and no version, go by content."""
+    content = [c for c in ("source_hash", "text", "description") if c in batch.columns]
+    order = ([version] if version else []) + content
+    rest = [c for c in batch.columns if c not in ("project", "key")]
+    # A struct with a map has no order, so the order comes apart from the row.
+    return batch.groupBy("project", "key").agg(
+        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select("project", "key", "_row.*").select(*batch.columns)
+
+
 def incremental_staleness(changes: DataFrame, read_tables: Callable[[], tuple], write_tasks: Callable,
-                          checkpoint: str):
+                          checkpoint: str, version: str | None = None, deleted: str | None = None):
     """Re-plan only the keys that changed, one micro-batch at a time.
 
-    ``changes`` streams source rows.  ``read_tables`` gives (entries, locales, cache, configs) as
-    they are now, ``write_tasks(tasks, batch_id)`` must be idempotent per batch id.
+    ``changes`` streams source rows.  ``version`` names a column that orders the versions of a key and
+    ``deleted`` one that marks rows whose key left the source; such keys have no tasks.  ``read_tables``
+    gives (entries, locales, cache, configs) as they are now, ``write_tasks(tasks, batch_id)`` must be
+    idempotent per batch id.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.dropDuplicates(["project", "key"])
+        newest = newest_versions(batch, version)
+        if deleted:
+            newest = newest.filter(~F.coalesce(F.col(deleted), F.lit(False)))
+        newest = newest.drop(*[c for c in (version, deleted) if c])
         entries, locales, cache, configs = read_tables()
         touched = entries.join(newest.select("project", "key"), ["project", "key"], "left_semi")
         write_tasks(plan_sync(newest, touched, locales, cache, configs), batch_id)

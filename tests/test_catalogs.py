@@ -71,8 +71,8 @@ def test_sync_applies_and_then_has_nothing_left_to_do(spark):
     got = {(r.locale, r.key): (r.text, r.stale, r.model_version) for r in done.entries.collect()}
     assert got == {("de", "a"): ("A neu", False, "m0"), ("de", "b"): ("B neu", False, "r"), ("es", "a"): ("A {x} es", False, "r"),
                    ("es", "b"): ("B es", True, "m")}
-    assert codes(done.diagnostics) == ["L10N_E0041", "L10N_E0053", "L10N_E0090"]
-    assert [r.key for r in done.archive.collect()] == ["gone"]
+    assert codes(done.diagnostics) == ["L10N_E0041", "L10N_E0053", "L10N_E0083", "L10N_E0090"]
+    assert [(r.key, r.reason, r.archive_name) for r in done.archive.collect()] == [("gone", "key", "de-20240601000000")]
     # Two rows for a@de stay, one row each was added for b@de and a@es.
     assert done.cache.count() == 4
     again = planning.plan_sync(src, done.entries, c.locales, done.cache, c.configs)
@@ -88,6 +88,26 @@ def test_errors_hold_a_project_back(spark):
     assert done.entries.count() == 1 and codes(done.diagnostics) == ["L10N_E0082"]
 
 
+def test_sync_loses_nothing(spark):
+    src = t.source(spark, [("a", "A", None, {})])
+    ent = t.entries(spark, src, [("de", "a", "A de", True, True), ("fr", "a", "A fr", True, True), ("fr", "old", "x", False, True),
+                                 ("de", "gone", "weg", True, True), ("de", "tmp", "weg", False, True)])
+    dead = spark.createDataFrame([(0, "sha256:dead", "de", "c", "m", "x", datetime.datetime(2024, 1, 9))], schemas.CACHE)
+    c = project(spark, src, ent, names=("de",), cache=dead)
+    none = responses(spark, [("xx", "x", "x", None)])
+    done = sync.apply_sync(c, none, "r", now())
+    at = lambda df: sorted((r.locale, r.key) for r in df.collect())
+    assert at(done.entries) == [("de", "a")] and at(done.removed) == [("de", "tmp")]
+    assert at(done.archive) == [("de", "gone"), ("fr", "a"), ("fr", "old")]
+    assert sorted((r.op, r.locale, r.entries) for r in done.history.collect()) == [("archive_entries", "de", 1), ("remove_locale", "fr", 2)]
+    # A project that is held back keeps all it had, whatever the locale, and its cache.
+    bad = t.entries(spark, t.source(spark, [("a", "other", None, {})]), [("fr", "a", "A", True, False)]).unionByName(
+        t.entries(spark, t.source(spark, [("a", "A {x}", None, {"x": "string"})]), [("de", "a", "A", True, True)]))
+    held = sync.apply_sync(project(spark, t.source(spark, [("a", "A {x}", None, {"x": "string"})]), bad, names=("de",), cache=dead), none, "r", now())
+    assert at(held.entries) == [("de", "a"), ("fr", "a")] and held.cache.count() == 1
+    assert held.archive.count() == held.removed.count() == held.history.count() == 0
+
+
 def test_cache_upsert_and_gc(spark):
     src = t.source(spark, [("a", "A", None, {})])
     old = spark.createDataFrame([cache_row(spark, src, "a", "de", f"t{d}", d, f"m{d}") for d in range(1, 6)], schemas.CACHE)
