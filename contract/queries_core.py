@@ -140,15 +140,15 @@ def translation_requests(lake):
 
 @query("prompt_text", r"""
   SELECT project, locale, key, concat_ws(chr(10) || chr(10),
-    'Translate the source text for a mobile app localization workflow.', 'Source locale: en',
-    'Target locale: ' || locale, 'Return JSON only and set the "text" field to the translated string.',
-    'Preserve ICU placeholders exactly as written, including repeated placeholders.',
-    'Do not add or remove placeholders, punctuation-only placeholders, or commentary.',
+    'You translate short texts of an app''s screens.', 'From: en', 'Into: ' || locale,
+    'Answer with one JSON object whose "text" member is the translation.',
+    'Keep every placeholder letter for letter and as often as it occurs.',
+    'Write no notes of your own and make up no placeholders.',
     'Placeholders: ' || CASE WHEN len(ph) > 0 THEN array_to_string(ph, ', ') ELSE 'none' END,
-    CASE WHEN len(description) > 0 THEN 'Description: ' || description END,
-    CASE WHEN len(terms) > 0 THEN 'Glossary:' || chr(10)
+    CASE WHEN len(description) > 0 THEN 'Used for: ' || description END,
+    CASE WHEN len(terms) > 0 THEN 'Terms:' || chr(10)
       || array_to_string(list_transform(terms, lambda t: '- ' || t), chr(10)) END,
-    'Source text:' || chr(10) || source_text) AS prompt FROM x_requests""", **PLAN_VIEWS, x_requests=REQUESTS)
+    'Text:' || chr(10) || source_text) AS prompt FROM x_requests""", **PLAN_VIEWS, x_requests=REQUESTS)
 def prompt_text(lake):
     return planning.prompt_text(_requests(lake)).select("project", "locale", "key", "prompt")
 

@@ -91,6 +91,7 @@ def letter_runs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)))
 
 
+# The patterns below are fixed values: the wording of the provider's failure messages.
 def classify_failure(stderr: Column, stdout: Column) -> Column:
     """Provider failure class of one run: code and cause."""
     both = F.concat(F.coalesce(stderr, F.lit("")), F.lit("\n"), F.coalesce(stdout, F.lit("")))

@@ -141,12 +141,11 @@ def translation_requests(tasks: DataFrame, source: DataFrame, glossary: DataFram
         F.coalesce("glossary", empty).alias("glossary"), "source_hash")
 
 
-# The sentences of a translation request.
-_PROMPT_HEAD = "Translate the source text for a mobile app localization workflow."
+_PROMPT_HEAD = "You translate short texts of an app's screens."
 _PROMPT_RULES = [
-    'Return JSON only and set the "text" field to the translated string.',
-    "Preserve ICU placeholders exactly as written, including repeated placeholders.",
-    "Do not add or remove placeholders, punctuation-only placeholders, or commentary.",
+    'Answer with one JSON object whose "text" member is the translation.',
+    "Keep every placeholder letter for letter and as often as it occurs.",
+    "Write no notes of your own and make up no placeholders.",
 ]
 
 
@@ -159,10 +158,10 @@ def prompt_text(requests: DataFrame) -> DataFrame:
     return requests.withColumn("prompt", F.concat_ws(
         "\n\n",
         F.lit(_PROMPT_HEAD),
-        F.concat(F.lit("Source locale: "), F.col("source_locale")),
-        F.concat(F.lit("Target locale: "), F.col("locale")),
+        F.concat(F.lit("From: "), F.col("source_locale")),
+        F.concat(F.lit("Into: "), F.col("locale")),
         *[F.lit(rule) for rule in _PROMPT_RULES],
         F.concat(F.lit("Placeholders: "), F.when(F.size("placeholders") > 0, names).otherwise("none")),
-        F.when(described, F.concat(F.lit("Description: "), F.col("description"))),
-        F.when(F.size("glossary") > 0, F.concat(F.lit("Glossary:\n"), terms)),
-        F.concat(F.lit("Source text:\n"), F.col("source_text"))))
+        F.when(described, F.concat(F.lit("Used for: "), F.col("description"))),
+        F.when(F.size("glossary") > 0, F.concat(F.lit("Terms:\n"), terms)),
+        F.concat(F.lit("Text:\n"), F.col("source_text"))))
