@@ -10,8 +10,8 @@ Bytes of a shard, all little-endian: magic ``DAC1``; number of levels (u32), of
 for each level its number of chunks (u64); document starts (u64 each, with the end); then for each level its
 chunks, and for each but the last its bitmap (padded to 8 bytes) and its rank directory (u64 each).
 
-``write_token_files`` stores shards as rows of a Parquet table (shard number, first position, first and last
-key, payload): Spark's committer makes the write safe against lost and repeated tasks on any file system.
+``write_token_files`` stores shards as rows of a Parquet table (shard number, ids its task wrote before, keys,
+number of ids, payload): Spark's committer makes the write safe against lost and repeated tasks on any file system.
 """
 
 from __future__ import annotations
@@ -98,23 +98,24 @@ class Shard:
         return value
 
     def read(self, a: int, b: int) -> np.ndarray:
-        """The ids from position a up to b."""
+        """The ids from position a up to b: what goes on from a range is a range of the next level."""
         out = np.zeros(max(0, b - a), dtype=np.uint32)
-        where = np.arange(a, max(a, b))
-        place = np.arange(len(out))
+        place, lo, hi = None, a, a + len(out)
         for k, (chunk, bits, ranks) in enumerate(self.levels):
-            if not len(where):
-                break
-            lo, hi = int(where[0]), int(where[-1]) + 1
-            out[place] |= chunk[lo:hi][where - lo].astype(np.uint32) << np.uint32(8 * k) if k == 0 else (
-                chunk[where].astype(np.uint32) << np.uint32(8 * k))
-            if bits is None:
+            part = chunk[lo:hi].astype(np.uint32) << np.uint32(8 * k)
+            if place is None:
+                out[:] = part
+            else:
+                out[place] |= part
+            if bits is None or lo == hi:
                 break
             block = lo // RANK_BITS
-            on = np.unpackbits(bits[block * RANK_BITS // 8:-(-hi // 8)], bitorder="little")[:hi - block * RANK_BITS]
-            before = int(ranks[block]) + np.cumsum(on, dtype=np.int64) - on
-            goes = on[where - block * RANK_BITS].astype(bool)
-            place, where = place[goes], before[where[goes] - block * RANK_BITS]
+            on = np.unpackbits(bits[block * RANK_BITS // 8:-(-hi // 8)], bitorder="little")
+            skip = lo - block * RANK_BITS
+            goes = np.flatnonzero(on[skip:skip + hi - lo])
+            lo = int(ranks[block]) + int(np.count_nonzero(on[:skip]))
+            hi = lo + len(goes)
+            place = goes if place is None else place[goes]
         return out
 
     def document(self, k: int) -> np.ndarray:
@@ -130,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    ddl = f"shard long, keys array<{kind}>, n_tokens long, payload binary"
+    ddl = f"shard long, before long, keys array<{kind}>, n_tokens long, payload binary"
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +139,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         number = TaskContext.get().partitionId() << TASK_SHIFT
         words, end = encoder(ByteEncoder, tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        keys, parts, size = [], [], 0
+        keys, parts, size, before = [], [], 0, 0
 
         def shard() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(
-                (number, list(keys), size, encode_shard(ids, starts)), out)], schema=out)
+                (number, before, list(keys), size, encode_shard(ids, starts)), out)], schema=out)
 
         for batch in slices(batches, text):
             for k, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
@@ -153,7 +154,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 size += len(ids) // 4 + 1
                 if size >= shard_tokens:
                     yield shard()
-                    keys, parts, size, number = [], [], 0, number + 1
+                    keys, parts, size, number, before = [], [], 0, number + 1, before + size
         if keys:
             yield shard()
 
@@ -166,23 +167,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The shards with the position of their first id: shard, keys, n_tokens, first, payload.
 
-    Positions come from the totals of the writing tasks, one number for each, and a running sum inside a task.
+    Ids that other tasks wrote before come from their totals: one number for each task, broadcast.
     """
-    from pyspark.sql import Window
-
-    shards = spark.read.parquet(path)
-    task = F.shiftright("shard", TASK_SHIFT)
-    totals = shards.select(task.alias("task"), "n_tokens").groupBy("task").agg(F.sum("n_tokens").alias("n"))
-    before, offsets = 0, []
-    for row in sorted(totals.collect()):
-        offsets.append((row["task"], before))
-        before += row["n"]
+    shards = spark.read.parquet(path).withColumn("task", F.shiftright("shard", TASK_SHIFT))
+    totals = shards.groupBy("task").agg(F.sum("n_tokens").alias("n")).collect()
+    position, offsets = 0, []
+    for row in sorted(totals):
+        offsets.append((row["task"], position))
+        position += row["n"]
     base = spark.createDataFrame(offsets, "task long, base long")
-    own = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.select("shard", "n_tokens", task.alias("task")).withColumn(
-        "inside", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(base, "task").select(
-        "shard", (F.col("base") + F.col("inside")).alias("first"))
-    return shards.join(placed, "shard")
+    return shards.join(F.broadcast(base), "task").select(
+        "shard", "keys", "n_tokens", (F.col("base") + F.col("before")).alias("first"), "payload")
 
 
 def documents_of(shards: DataFrame, key: str = "doc_id") -> DataFrame:
