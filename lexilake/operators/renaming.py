@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, shape, union_diagnostics
 from lexilake.operators.linting import lint_keys, renameable
+from lexilake.session import durable
 
 
 def rename_key(df: DataFrame, project: int, from_: str, to: str) -> DataFrame:
@@ -75,12 +76,37 @@ _OPEN, _MARK, _CLOSE = "\uE000", "\uE001", "\uE002"
 _TOKEN_CHARACTERS = "A-Za-z0-9_.-"
 
 
-def _plan_shape(renames: DataFrame) -> tuple[str, list[int]]:
-    """Characters and lengths of the keys to replace: a few hundred values for any plan."""
-    chars = [r[0] for r in renames.select(
-        F.explode(F.array_distinct(F.split("from_key", "")))).distinct().collect()]
-    lengths = [r[0] for r in renames.select(F.length("from_key")).distinct().collect()]
-    return "".join(f"\\x{{{ord(c):x}}}" for c in chars if c), sorted(lengths)
+# Long runs are cut into overlapping segments of this many characters before positions are listed.
+_SEGMENT = 1024
+
+
+def _plan_shape(renames: DataFrame) -> tuple[str, int, int]:
+    """Characters of the keys to replace and their least and greatest length."""
+    row = renames.select("from_key", F.explode(F.array_distinct(F.split("from_key", ""))).alias("c")).agg(
+        F.collect_set("c").alias("chars"), F.min(F.length("from_key")).alias("least"),
+        F.max(F.length("from_key")).alias("most")).first()
+    return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(row["chars"]) if c), row["least"] or 0, row["most"] or 0
+
+
+def _keys_inside(runs: DataFrame, renames: DataFrame, least: int, most: int) -> DataFrame:
+    """(project, run_id, from_key): the keys that occur anywhere in each run.
+
+    Every key is anchored on its first ``least`` characters.  Each position of a run gives one row, with the
+    anchor that would start there and the characters after it, whatever the lengths in the plan; rows meet
+    keys on the anchor, and the whole key is compared then.
+    """
+    width = F.length("run")
+    # One pass of an expression cuts a run; taking substrings by position would scan it again for each.
+    piece = F.lit(f"(?s)(.{{1,{_SEGMENT}}})(?=(.{{0,{most - 1}}}))")
+    own, ahead = (F.regexp_extract_all("run", piece, F.lit(group)) for group in (1, 2))
+    segments = F.zip_with(own, ahead, lambda a, b: F.concat(a, b))
+    segment = runs.filter(width >= least).select("project", "run_id", F.explode(segments).alias("segment"))
+    starts = F.sequence(F.lit(1), F.least(F.lit(_SEGMENT), F.length("segment") - least + 1))
+    windows = segment.filter(F.length("segment") >= least).select("project", "run_id", F.explode(F.array_distinct(F.transform(
+        starts, lambda i: F.substring(F.col("segment"), i, F.lit(most))))).alias("window"))
+    keys = renames.select("project", "from_key", F.substring("from_key", 1, least).alias("anchor"))
+    return windows.withColumn("anchor", F.substring("window", 1, least)).join(keys, ["project", "anchor"]).filter(
+        F.startswith("window", "from_key")).select("project", "run_id", "from_key").distinct()
 
 
 def _rewrite_run(run, matches):
@@ -113,36 +139,33 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
     number of replacements.
 
     A key can only occur inside an unbroken run of characters that keys are made of, so the
-    work is done once per distinct run of the corpus: its substrings of plan lengths meet the
-    plan in an equi-join.  Neither the plan nor the corpus passes through the driver or a
+    work is done once per distinct run of the corpus: its positions meet the plan in an
+    equi-join on the start of a key.  Neither the plan nor the corpus passes through the driver or a
     broadcast.  ``corpus`` has project, path (unique in its project) and text.
     """
-    renames = planned_renames(plan).filter(F.length("from_key") > 0).groupBy("project", "from_key").agg(
-        F.max("to_key").alias("to_key"))
-    characters, lengths = _plan_shape(renames)
+    renames = durable(planned_renames(plan).filter(F.length("from_key") > 0).groupBy("project", "from_key").agg(
+        F.max("to_key").alias("to_key")))
+    characters, least, most = _plan_shape(renames)
     texts = corpus.filter(~F.contains("text", F.lit("\x00")))
-    if not lengths:
+    if not least:
         return texts.limit(0).withColumn("replacements", F.lit(0).cast("bigint"))
     pattern = f"[{_TOKEN_CHARACTERS if whole_token else ''}{characters}]+"
     runs_of = F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))
     at = ["project", "path"]
 
     mentions = texts.select(*at, F.explode(F.array_distinct(runs_of)).alias("run")).filter(
-        F.length("run") >= lengths[0])
-    runs = mentions.select("project", "run").distinct()
+        F.length("run") >= least)
+    runs = mentions.select("project", "run", F.sha2("run", 256).alias("run_id")).distinct()
     if whole_token:
-        parts = runs.withColumn("from_key", F.col("run"))
+        parts = runs.select("project", "run_id", F.col("run").alias("from_key"))
     else:
-        width = F.length("run")
-        cut = F.transform(
-            F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= width),
-            lambda n: F.transform(F.sequence(F.lit(1), width - n + 1), lambda i: F.substring(F.col("run"), i, n)))
-        parts = runs.select("project", "run", F.explode(F.array_distinct(F.flatten(cut))).alias("from_key"))
+        parts = _keys_inside(runs, renames, least, most)
     longest_first = F.array_sort(F.collect_list(F.struct(
         (-F.length("from_key")).alias("_size"), "from_key", "to_key")))
     rewritten = (
         parts.join(renames, ["project", "from_key"])
-        .groupBy("project", "run").agg(longest_first.alias("_matches"))
+        .groupBy("project", "run_id").agg(longest_first.alias("_matches"))
+        .join(runs, ["project", "run_id"])
         .withColumn("_new", _rewrite_run(F.col("run"), F.col("_matches")))
         .select("project", "run", F.col("_new.text").alias("new_run"), F.col("_new.n").alias("hits")))
     # Per text a map of the changed runs it mentions, which is smaller than the text itself.

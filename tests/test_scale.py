@@ -50,6 +50,20 @@ def test_rewrite_equals_brute_force(spark):
     assert got == want
 
 
+def test_rewrite_inside_a_long_run(spark):
+    """Keys that start at the end of a segment, cross it or end the run are found."""
+    from lexilake.operators.renaming import _SEGMENT
+
+    run = list("z" * (3 * _SEGMENT + 7))
+    for at in (0, _SEGMENT - 1, 2 * _SEGMENT - 3, 3 * _SEGMENT + 2):
+        run[at:at + 5] = "a.b.c"
+    corpus = spark.createDataFrame([(0, "p", "".join(run))], "project int, path string, text string")
+    plan = spark.createDataFrame([(0, "a.b.c", "n", None, None), (0, "q" * 40, "m", None, None)],
+                                 "project int, from_key string, to_key string, rationale string, skip_reason string")
+    row = renaming.bulk_reference_rewrite(corpus, plan).first()
+    assert (row.text, row.replacements) == ("".join(run).replace("a.b.c", "n"), 4)
+
+
 def test_rewrite_does_not_chain_and_can_match_tokens(spark):
     corpus = spark.createDataFrame([(0, "f", "a.b a.bc c a.b")], "project int, path string, text string")
     plan = spark.createDataFrame([(0, "a.bc", "c"), (0, "a.b", "a.bc")], "project int, from_key string, to_key string")
