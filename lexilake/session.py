@@ -21,6 +21,7 @@ def local_session(cores: str = "*", name: str = "lexilake") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .getOrCreate()
     )

@@ -51,7 +51,8 @@ def parse_source_catalogs(docs: DataFrame, source_locale: str = "en") -> tuple[D
     judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
     item = "struct<text:string,description:string,placeholders:" + PLACEHOLDERS + ">"
     rows = judged.filter("good").select(
-        "project", F.explode(F.from_json("text", f"struct<keys:map<string,{item}>>")["keys"]).alias("key", "_k"))
+        "project", F.explode(members(v, "$.keys")).alias("key", "_v")).select(
+        "project", "key", F.try_variant_get("_v", "$", item).alias("_k"))
     none = F.create_map().cast(PLACEHOLDERS)
     flat = rows.select(
         "project", F.lit(source_locale).alias("locale"), "key", F.col("_k.text").alias("text"),
@@ -84,8 +85,9 @@ def parse_translations(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     item = ("struct<text:string,reviewed:boolean,stale:boolean,source_hash:string,provider:string,"
             "model_version:string,translated_at:string>")
     rows = judged.filter("good").select(
-        "project", F.from_json("text", f"struct<locale:string,entries:map<string,{item}>>").alias("d")).select(
-        "project", F.col("d.locale").alias("locale"), F.explode("d.entries").alias("key", "e"))
+        "project", F.try_variant_get(v, "$.locale", "string").alias("locale"),
+        F.explode(members(v, "$.entries")).alias("key", "_v")).select(
+        "project", "locale", "key", F.try_variant_get("_v", "$", item).alias("e"))
     return rows.select(
         "project", "locale", "key", "e.text",
         F.coalesce("e.reviewed", F.lit(False)).alias("reviewed"), F.coalesce("e.stale", F.lit(False)).alias("stale"),

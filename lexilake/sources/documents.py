@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None,
                    project_pattern: str | None = None) -> DataFrame:
-    """One row per file below ``path``.  ``project_pattern`` captures the project id in the path."""
+    """One row per file below ``path``.  ``project_pattern`` captures the project id in the path.
+
+    A member name that a JSON document repeats counts with its last value; without this setting of the
+    session Spark takes no such document.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     files = spark.read.text(
         path, wholetext=True, recursiveFileLookup=True, **({"pathGlobFilter": glob} if glob else {}),
     ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

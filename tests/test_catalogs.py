@@ -206,3 +206,11 @@ def test_status_dataclass_is_replaceable(spark):
     c = project(spark, src, t.empty(spark, schemas.ENTRIES))
     assert dataclasses.replace(c, source_locale="fr").source_locale == "fr"
     assert planning.plan_summary(c.source, c.entries, c.locales, c.cache, c.configs).filter("locale is null").first().pending == 2
+
+
+def test_a_repeated_member_counts_with_its_last_value(spark, tmp_path):
+    from lexilake.sources import catalogs
+
+    (tmp_path / "source.en.json").write_text('{"version":1,"keys":{"a":{"text":"one"},"b":{"text":"B"},"a":{"text":"two"}}}')
+    rows, found = catalogs.read_source_catalogs(spark, str(tmp_path))
+    assert {(r.key, r.text) for r in rows.collect()} == {("a", "two"), ("b", "B")} and found.count() == 0
