@@ -10,9 +10,9 @@
    with one copy of the centre's text, so a large star is many small tasks.
 5. Confirmed links are joined into components.
 
-A bucket whose members end up in different components may hide a link between two members that its centre
-does not resemble.  Such members go through another round with fresh permutations, longer bands (so buckets
-are purer) and centres chosen by hash; rounds go on until one adds no link or no such bucket is left.
+A centre that ends up in another component than some of its members may hide a link between two members that
+it does not resemble.  Its members go through another round with fresh permutations, longer bands (so buckets
+are purer) and centres chosen by hash; rounds go on until one adds no link or no such centre is left.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilake.llm.components import components
 from lexilake.llm.hashing import U, mix, shingle_sets
-from lexilake.llm.shared import map_rows, pa_schema, slices
-from lexilake.operators.near import connected_components
+from lexilake.llm.shared import map_rows, pa_schema, release, slices
 from lexilake.session import durable, ship_package
 
 BINS = 256
@@ -89,12 +89,19 @@ def sign(docs: DataFrame, words: int, signer: tuple[int, int, int]) -> DataFrame
 
 
 def _stars(bands: DataFrame, seed: int) -> DataFrame:
-    """(hub, id): each member of a bucket with the bucket's centre."""
+    """(hub, id): each member of a bucket with the bucket's centre, once for all buckets they share."""
     buckets = bands.select("id", F.explode("bands").alias("bucket"))
     rank = F.col("id") if not seed else F.struct(F.xxhash64("id", F.lit(seed)), "id")
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("hub"))).alias("h"),
                                          F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "h.hub")
-    return buckets.join(hubs, "bucket").filter("id != hub").select("hub", "id", "bucket")
+    return buckets.join(hubs, "bucket").filter("id != hub").select("hub", "id").distinct()
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The (hub, id) pairs whose ends are in different components."""
+    own, other = (labels.select(F.col("key").alias(k), F.col("component").alias(c)) for k, c in (("id", "own"), ("hub", "other")))
+    return pairs.join(own, "id", "left").join(other, "hub", "left").filter(
+        F.coalesce("own", "id") != F.coalesce("other", "hub")).select("hub", "id")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -148,36 +155,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     classes = durable(linkable.groupBy("set_id").agg(F.min("id").alias("rep")))
     reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     stars = durable(_stars(reps, 0))
+    # Texts of candidates are gathered once, by one plan at every size; later rounds take theirs from these.
+    members = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
+    texts = durable(source.join(members.hint("merge"), "id"))
     sizes = signed.select("id", "n_shingles")
-    links, labels, seed = None, None, 0
+    labels, seed = None, 0
     while True:
-        pairs = stars.select("hub", "id").distinct().join(sizes, "id").join(
-            sizes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub").filter(
-            F.least("n_shingles", "hub_n") * share[1] >= F.greatest("n_shingles", "hub_n") * share[0]).select(
-            "hub", "id").distinct()
+        pairs = stars.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub").filter(
+            F.least("n_shingles", "hub_n") * share[1] >= F.greatest("n_shingles", "hub_n") * share[0]).select("hub", "id").distinct()
         if labels is not None:
-            own, other = (labels.select(F.col("key").alias(k), F.col("component").alias(c)) for k, c in (
-                ("id", "own"), ("hub", "other")))
-            pairs = pairs.join(own, "id", "left").join(other, "hub", "left").filter(
-                F.coalesce("own", "id") != F.coalesce("other", "hub")).select("hub", "id")
+            pairs = _between(pairs, labels)
         pairs = durable(pairs)
-        wanted = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-        texts = source.join(wanted, "id")
-        new = durable(confirm(pairs, texts, words, share))
-        if new.isEmpty() and links is not None:
+        if labels is not None and pairs.isEmpty():
             break
-        links = new if links is None else durable(links.unionByName(new))
-        labels = durable(connected_components(links.withColumn("project", F.lit(0))).select("key", "component").distinct())
-        named = stars.join(labels.withColumnRenamed("key", "id"), "id", "left").select(
-            "bucket", "id", "hub", F.coalesce("component", "id").alias("c"))
-        mixed = named.groupBy("bucket").agg(
-            F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).filter(
-            "n > 1 AND low != high").select("bucket")
-        inside = durable(stars.join(mixed, "bucket", "left_semi").select("id").distinct())
-        if inside.isEmpty():
+        new = durable(confirm(pairs, texts, words, share))
+        if new.isEmpty() and labels is not None:
             break
+        known = new if labels is None else new.unionByName(labels.select(F.col("component").alias("a"), F.col("key").alias("b")))
+        labels = components(known)
+        # A centre that some member did not join may hide links between its members.
+        open_hubs = _between(stars, labels).select("hub").distinct()
+        inside = stars.join(open_hubs, "hub", "left_semi").select("id").distinct()
         seed += 1
-        again = sign(source.join(inside, "id"), words, (4 * bins, min(rows + 4 * seed, 4 * bins), seed))
+        texts = durable(texts.join(inside.hint("merge"), "id"))
+        again = durable(sign(texts, words, (4 * bins, min(rows + 4 * seed, 4 * bins), seed)))
+        release(docs.sparkSession)
         stars = durable(_stars(again, seed))
     placed = signed.join(classes, "set_id", "left").join(
         labels.withColumnRenamed("key", "rep"), "rep", "left")
