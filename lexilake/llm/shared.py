@@ -12,7 +12,7 @@ from lexilake.session import durable, ship_package
 
 __all__ = ["durable", "keep_rows", "map_rows", "release", "slices", "table"]
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 SLICE_ROWS = 1024
 
 

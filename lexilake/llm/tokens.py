@@ -12,8 +12,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: A worker forgets its pieces when it has met this many; it is a bound on memory, results do not depend on it.
-REMEMBERED = 1_200_000
+#: A worker forgets its pieces when it has met this many: a bound on memory, on which results do not depend.
+REMEMBERED = 400_000
 
 # Letters and symbols whose runs every vocabulary splits alike; other characters go the plain way.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -50,6 +50,9 @@ class Encoder:
     their neighbours and encode chunks not met before.
     """
 
+    #: How many times ``REMEMBERED`` this kind keeps.
+    share = 1
+
     def __init__(self) -> None:
         self._chunks: dict[str, bytes] = {"": b""}
         self._parts: dict[str, bytes] = {}
@@ -66,7 +69,7 @@ class Encoder:
                 continue
             found = list(map(known.get, chunks))
             if None in found:
-                if len(known) > REMEMBERED:
+                if len(known) > REMEMBERED * self.share:
                     known.clear()
                     self._parts.clear()
                     known[""] = b""
@@ -149,6 +152,9 @@ class WordEncoder(Encoder):
 class ByteEncoder(Encoder):
     """A byte-level vocabulary that keeps white space; a space belongs to the word after it."""
 
+    # Case and spaces make more pieces differ.
+    share = 3
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
