@@ -11,8 +11,11 @@
 5. Confirmed links are joined into components.
 
 A centre that ends up in another component than some of its members may hide a link between two members that
-it does not resemble.  Its members go through another round with fresh permutations, longer bands (so buckets
-are purer) and centres chosen by hash; rounds go on until one adds no link or no such centre is left.
+it does not resemble.  Its members go through another round with fresh permutations, longer bands (so buckets are
+purer) and as many more of them as keep the probability of a miss.  There a bucket within one component is settled;
+a small one is compared pair by pair; a larger one is a star with a centre chosen by hash.  The members of larger
+buckets that are still not within one component go on, whether or not the round found a link.  After the longest
+bands, what is left of such buckets is compared pair by pair too, in cells of two blocks of members.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,13 @@ BINS = 256
 MISSED = 1e-5
 #: Members that share a task with one copy of their centre.
 STAR_SHARE = 256
+#: Members of a bucket, or of one block of it, that are compared pair by pair.
+GROUP = 64
+#: Rows that a later round's bands have more than those before, and the most bins of a round.
+LONGER = 4
+MOST_BINS = 16_384
+#: Shingles that a cell compares at a time.
+COLUMNS = 8192
 
 
 def band_rows(threshold: float, bins: int, missed: float = MISSED) -> int:
@@ -44,6 +55,18 @@ def band_rows(threshold: float, bins: int, missed: float = MISSED) -> int:
                if r == 1 or (bins // r) * math.log1p(-threshold ** r) <= math.log(missed))
 
 
+def band_count(threshold: float, rows: int, missed: float = MISSED) -> int:
+    """The fewest bands of ``rows`` rows that find a pair at ``threshold`` often enough."""
+    return math.ceil(math.log(missed) / math.log1p(-min(threshold ** rows, 1 - 1e-9)))
+
+
+def later_rounds(threshold: float, rows: int, bins: int) -> list[list[tuple[int, int, int]]]:
+    """The signers of each round after the first: as many permutations as its bands need."""
+    lengths = list(takewhile(lambda r: r * band_count(threshold, r) <= MOST_BINS, range(rows + LONGER, bins + 1, LONGER))) or [rows]
+    return [[(bins, r, 1000 * k + p) for p in range(math.ceil(band_count(threshold, r) / (bins // r)))]
+            for k, r in enumerate(lengths, 1)]
+
+
 class Signer:
     """Band hashes of sets for one round of permutations."""
 
@@ -70,17 +93,17 @@ class Signer:
         return mix((mix(rows) * self.factors).sum(axis=1, dtype=np.uint64) ^ self.salts)
 
 
-def sign(docs: DataFrame, words: int, signer: tuple[int, int, int]) -> DataFrame:
+def sign(docs: DataFrame, words: int, signers: list[tuple[int, int, int]]) -> DataFrame:
     """(id, n_shingles, set_id, bands) of each document (id, text); an empty set has null bands."""
     def make():
-        hasher = Signer(*signer)
+        hashers = [Signer(*signer) for signer in signers]
 
         def run(b: pa.RecordBatch) -> dict:
             sets = shingle_sets(b.column(1), words)
             return {
                 "id": b.column(0), "n_shingles": [len(s) for s in sets],
                 "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "bands": [hasher.bands_of(s).view(np.int64) if len(s) else None for s in sets]}
+                "bands": [np.concatenate([h.bands_of(s) for h in hashers]).view(np.int64) if len(s) else None for s in sets]}
 
         return run
 
@@ -88,15 +111,28 @@ def sign(docs: DataFrame, words: int, signer: tuple[int, int, int]) -> DataFrame
                     "id long, n_shingles long, set_id binary, bands array<long>", "text")
 
 
-def _stars(bands: DataFrame, seed: int) -> DataFrame:
-    """(hub, id): each member of a bucket with the bucket's centre, once for all buckets they share."""
+def _stars(bands: DataFrame) -> DataFrame:
+    """(hub, id): each member of a bucket with its smallest, once for all buckets they share."""
     buckets = bands.select("id", F.explode("bands").alias("bucket"))
-    rank = F.col("id") if not seed else F.struct(F.xxhash64("id", F.lit(seed)), "id")
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("hub"))).alias("h"),
-                                         F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "h.hub")
+    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return buckets.join(hubs, "bucket").filter("id != hub").select("hub", "id").distinct()
 
 
+def _mixed(buckets: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """(bucket, hub, n, id): the members of buckets that are not within one component.
+
+    The hub is the first by hash.  Of buckets with the same members one is taken.
+    """
+    own = buckets.join(labels.select(F.col("key").alias("id"), "component"), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("own"))
+    rank = F.struct(F.xxhash64("id", F.lit(seed)).alias("r"), F.col("id").alias("hub"))
+    kinds = own.groupBy("bucket").agg(
+        F.min(rank).alias("h"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"),
+        F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high")
+    one = kinds.groupBy(F.col("h.hub").alias("hub"), "n", "members").agg(F.min("bucket").alias("bucket")).drop("members")
+    return buckets.select("bucket", "id").join(one, "bucket").select("bucket", "hub", "n", "id")
+
+
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The (hub, id) pairs whose ends are in different components."""
     own, other = (labels.select(F.col("key").alias(k), F.col("component").alias(c)) for k, c in (("id", "own"), ("hub", "other")))
@@ -139,6 +175,78 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, share: tuple[int, int
         "hub", "salt", "member").mapInArrow(run, ddl)
 
 
+def linked(sets: list[np.ndarray], share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of all pairs with 100 * shared >= percent * union of their sets."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # A shingle of one set only is shared by no pair.
+    common = counts[place] > 1
+    column = (np.cumsum(counts > 1) - 1)[place[common]]
+    row = row[common]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for low in range(0, int((counts > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        present = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        present[row[a:b], column[a:b] - low] = 1
+        shared += (present @ present.T).astype(np.int64)
+    many, out_of = share
+    near = (shared > 0) & (out_of * shared >= many * (sizes[:, None] + sizes[None, :] - shared))
+    return np.nonzero(np.triu(near, 1))
+
+
+def confirm_cells(cells: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b) links that join all members of each cell (bucket, i, j, id) that any pairs of it join."""
+    ship_package(cells.sparkSession)
+    ddl = "a long, b long"
+    out = pa_schema(cells.sparkSession, ddl)
+
+    def forest(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        root = dict.fromkeys(ids)
+        a, b = [], []
+
+        def find(x: int) -> int:
+            while root[x] is not None:
+                x = root[x]
+            return x
+
+        for i, j in zip(*(x.tolist() for x in linked(sets, share))):
+            low, high = sorted((find(ids[i]), find(ids[j])))
+            if low < high:
+                root[high] = low
+                a.append(low)
+                b.append(high)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, sets = None, [], []
+        for batch in slices(batches, "text"):
+            for *key, i, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingle_sets(batch.column(4), words)):
+                if key != cell:
+                    if len(ids) > 1:
+                        yield forest(ids, sets)
+                    cell, ids, sets = key, [], []
+                # Rows that share a key share a place.
+                if not ids or ids[-1] != i:
+                    ids.append(i)
+                    sets.append(s)
+        if len(ids) > 1:
+            yield forest(ids, sets)
+
+    return cells.join(docs, "id").select("bucket", "i", "j", "id", "text").repartition(
+        "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(run, ddl)
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """(bucket, i, j, id): cells of two blocks of a bucket, so that any two members meet in one."""
+    blocks = F.ceil(F.col("n") / GROUP)
+    return mixed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks)).select(
+        "bucket", "id", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (80, 100), bins: int = BINS,
                     text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row per document: key, n_shingles, component_id (smallest key reachable) and kept.
@@ -150,37 +258,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     threshold = share[0] / share[1]
     rows = band_rows(threshold, bins)
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = durable(sign(source, words, (bins, rows, 0)))
+    signed = durable(sign(source, words, [(bins, rows, 0)]))
     linkable = signed.filter("id IS NOT NULL AND n_shingles > 0")
     classes = durable(linkable.groupBy("set_id").agg(F.min("id").alias("rep")))
     reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    stars = durable(_stars(reps, 0))
+    stars = durable(_stars(reps))
     # Texts of candidates are gathered once, by one plan at every size; later rounds take theirs from these.
     members = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
     texts = durable(source.join(members.hint("merge"), "id"))
     sizes = signed.select("id", "n_shingles")
-    labels, seed = None, 0
-    while True:
-        pairs = stars.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub").filter(
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes allow a link."""
+        return pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub").filter(
             F.least("n_shingles", "hub_n") * share[1] >= F.greatest("n_shingles", "hub_n") * share[0]).select("hub", "id").distinct()
-        if labels is not None:
-            pairs = _between(pairs, labels)
-        pairs = durable(pairs)
-        if labels is not None and pairs.isEmpty():
-            break
-        new = durable(confirm(pairs, texts, words, share))
-        if new.isEmpty() and labels is not None:
+
+    def joined(new: DataFrame, labels: DataFrame) -> DataFrame:
+        return components(new.unionByName(labels.select(F.col("component").alias("a"), F.col("key").alias("b"))))
+
+    labels = components(durable(confirm(durable(alike(stars)), texts, words, share)))
+    # A centre that some member did not join may hide links between its members.
+    open_hubs = _between(stars, labels).select("hub").distinct()
+    inside = durable(stars.join(open_hubs, "hub", "left_semi").select("id").distinct())
+    rounds = later_rounds(threshold, rows, 4 * bins)
+    for seed, signers in enumerate(rounds, 1):
+        if inside.isEmpty():
             break
-        known = new if labels is None else new.unionByName(labels.select(F.col("component").alias("a"), F.col("key").alias("b")))
-        labels = components(known)
-        # A centre that some member did not join may hide links between its members.
-        open_hubs = _between(stars, labels).select("hub").distinct()
-        inside = stars.join(open_hubs, "hub", "left_semi").select("id").distinct()
-        seed += 1
         texts = durable(texts.join(inside.hint("merge"), "id"))
-        again = durable(sign(texts, words, (4 * bins, min(rows + 4 * seed, 4 * bins), seed)))
+        again = durable(sign(texts, words, signers).select("id", F.explode("bands").alias("bucket")).distinct())
         release(docs.sparkSession)
-        stars = durable(_stars(again, seed))
+        mixed = durable(_mixed(again, labels, seed))
+        few, many = mixed.filter(F.col("n") <= GROUP), mixed.filter(F.col("n") > GROUP)
+        cells = few.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "id")
+        pairs = durable(_between(alike(many.filter("id != hub").select("hub", "id").distinct()), labels))
+        labels = joined(durable(confirm(pairs, texts, words, share).unionByName(
+            confirm_cells(cells, texts, words, share))), labels)
+        left = durable(_mixed(many, labels, seed))
+        inside = durable(left.select("id").distinct())
+        if seed == len(rounds) and not inside.isEmpty():
+            labels = joined(durable(confirm_cells(_blocks(left), texts, words, share)), labels)
     placed = signed.join(classes, "set_id", "left").join(
         labels.withColumnRenamed("key", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

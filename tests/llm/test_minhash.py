@@ -80,3 +80,44 @@ def test_bands_find_pairs_at_the_threshold():
     for threshold in (0.8, 0.85):
         r = minhash.band_rows(threshold, 256)
         assert (1 - threshold ** r) ** (256 // r) <= minhash.MISSED
+
+
+def hot_source(n=700, pairs=20, shared=204, own=30, seed=8):
+    """Documents alike through one passage but below the threshold, some of them with one true partner."""
+    pick = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    passage = [pick.choice(vocabulary) for _ in range(shared)]
+    texts = [passage + [pick.choice(vocabulary) for _ in range(own)] for _ in range(n)]
+    for k in range(pairs):
+        copy = list(texts[n - 1 - k])
+        for at in range(2, 23, 5):
+            copy[shared + at] = pick.choice(vocabulary)
+        texts.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("words,many", [(5, 80)])
+def test_pairs_hidden_in_a_hot_source(spark, words, many):
+    rows = hot_source()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, words, (many, 100)).collect()}
+    assert got == brute(rows, words, many)
+
+
+def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch):
+    """Even if bands separate nothing and no centre resembles a member."""
+    sign = minhash.sign
+    monkeypatch.setattr(minhash, "GROUP", 8, raising=False)
+    monkeypatch.setattr(minhash, "sign", lambda *a: sign(*a).withColumn("bands", F.expr("if(bands IS NULL, NULL, array(1L))")))
+    rows = hot_source(60, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 3, (85, 100)).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_later_rounds_keep_the_bound():
+    for threshold in (0.5, 0.8, 0.85):
+        for signers in minhash.later_rounds(threshold, minhash.band_rows(threshold, 256), 1024):
+            bands = sum(bins // rows for bins, rows, _ in signers)
+            assert (1 - threshold ** signers[0][1]) ** bands <= minhash.MISSED
+            assert len({seed for _, _, seed in signers}) == len(signers)
