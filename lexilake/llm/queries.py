@@ -8,7 +8,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, embedding_duplicates, minhash, nn_descent, packing, quality, token_files, toxicity, urls
+from lexilake.llm import (
+    bpe, chat, divergence, embedding_duplicates, fill_in_middle, minhash, nn_descent, packing, quality, token_files, toxicity, urls,
+)
 from lexilake.llm.labelled import fold
 from lexilake.llm.shared import table
 from lexilake.session import shared_path
@@ -149,3 +151,64 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return token_files.documents_of(token_files.read_token_files(spark, path)).drop("ids")
+
+
+@query("op11_source_divergence", r"""
+  WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+  numbered AS (SELECT row_number() OVER () AS i, lang, source, text FROM docs),
+  words AS (
+    SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM numbered),
+  langs AS (SELECT lang, term, count(*) AS n FROM words GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+  counts AS (SELECT w.lang, source, term, count(*) AS n FROM words w JOIN langs USING (lang, term) GROUP BY 1, 2, 3),
+  totals AS (SELECT lang, count(*) AS v, sum(n) AS total FROM langs GROUP BY 1),
+  groups AS (
+    SELECT lang, source, coalesce(v, 0) AS v, coalesce(g.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs)
+    LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY 1, 2) g USING (lang, source) LEFT JOIN totals USING (lang)),
+  p AS (
+    SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n,
+      1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v) AS p,
+      1 + (1000000000::HUGEINT * (l.n + 5)) // (t.total + 5 * g.v) AS q
+    FROM groups g JOIN langs l ON l.lang = g.lang JOIN totals t ON t.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+  sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+    WHERE a.source <> b.source GROUP BY 1, 2, 3),
+  pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+  parts AS (
+    SELECT * FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, value, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+  WHERE part = 'pair' OR rank <= 50""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", r"""
+  WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+      regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+  drawn AS (
+    SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+      ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+  formed AS (
+    SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+      THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+      least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn),
+  parts AS (
+    SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix
+    FROM formed)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+  FROM parts""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return fill_in_middle.restore(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
