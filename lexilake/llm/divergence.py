@@ -33,8 +33,8 @@ SCALE, SMOOTH = 1_000_000_000, 5
 MIN_DOCUMENTS, TOP_TERMS = 30, 50
 #: Kept counts in a block of terms, and numbers a task compares at a time.
 BLOCK_ROWS, CHUNK_NUMBERS = 200_000, 4_000_000
-#: Distinct terms that a task counts before it passes them on, and rows it compares with a skyband at a time.
-COUNTED_TERMS, SKYBAND_ROWS = 300_000, 512
+#: Terms of documents that a task gathers before it counts them, and rows it compares with a skyband at a time.
+COUNTED_TERMS, SKYBAND_ROWS = 500_000, 512
 #: Shares of a group's terms whose skybands are merged first, so that no task meets those of all partitions.
 SHARES = 16
 
@@ -48,32 +48,31 @@ def count_terms(docs: DataFrame) -> DataFrame:
     ddl = "lang string, source string, term string, n long, docs long"
     out = pa_schema(docs.sparkSession, ddl)
 
-    def flush(counts: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in counts.items():
-            k = len(terms)
-            pairs = np.array(list(terms.values()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()),
-                pa.array(list(terms), pa.binary()).cast(pa.string()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+    def flush(groups: dict, words: list, ns: list, of: list) -> pa.RecordBatch:
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        at = np.repeat(np.array([g for g, _ in of], dtype=np.int64), [k for _, k in of])
+        cell, place = np.unique(at * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
+        n = np.zeros(len(cell), dtype=np.int64)
+        np.add.at(n, place, np.array(ns, dtype=np.int64))
+        group, term = np.divmod(cell, len(coded.dictionary))
+        names = [pa.array([g[i] for g in groups], pa.string()).take(pa.array(group)) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([
+            *names, coded.dictionary.take(pa.array(term)).cast(pa.string()), pa.array(n),
+            pa.array(np.bincount(place, minlength=len(cell)).astype(np.int64))], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held = {}, 0
+        groups, words, ns, of = {}, [], [], []
         for batch in slices(batches, "text"):
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                terms = counts.setdefault((lang, source), {})
-                held -= len(terms)
-                for term, n in Counter(text.encode().translate(_TERM_BYTES).split()).items():
-                    seen = terms.get(term)
-                    if seen is None:
-                        terms[term] = [n, 1]
-                    else:
-                        seen[0] += n
-                        seen[1] += 1
-                held += len(terms)
-            if held > COUNTED_TERMS:
-                yield from flush(counts)
-                counts, held = {}, 0
-        yield from flush({group: terms for group, terms in counts.items() if terms})
+                found = Counter(text.encode().translate(_TERM_BYTES).split())
+                of.append((groups.setdefault((lang, source), len(groups)), len(found)))
+                words.extend(found)
+                ns.extend(found.values())
+            if len(words) > COUNTED_TERMS:
+                yield flush(groups, words, ns, of)
+                groups, words, ns, of = {}, [], [], []
+        if words:
+            yield flush(groups, words, ns, of)
 
     return docs.mapInArrow(run, ddl)
 
@@ -185,7 +184,7 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
     whole = Window.partitionBy("lang", "term")
     kept = durable(counted.withColumns({
         "lang_n": F.sum("n").over(whole), "lang_docs": F.sum("docs").over(whole),
-        "first": F.row_number().over(whole.orderBy("source")) == 1,
+        "first": F.col("source") == F.min("source").over(whole),
     }).filter(F.col("lang_docs") >= min_documents).drop("docs", "lang_docs"))
     totals = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
