@@ -76,4 +76,16 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and that no plan reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path is not None:
+            sc = table.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)

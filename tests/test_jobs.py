@@ -256,8 +256,8 @@ def test_prompt(spark):
     tasks = spark.createDataFrame([(0, "de", "a", "h")], "project int, locale string, key string, source_hash string")
     terms = spark.createDataFrame([(0, "b", "de", "B"), (0, "a", "de", "A"), (0, "c", "es", "C"), (0, "d", "de", "")], schemas.GLOSSARY)
     prompt = planning.prompt_text(planning.translation_requests(tasks, src, terms)).first().prompt
-    assert "Placeholders: n:string, m:number" in prompt and "Glossary:\n- a => A\n- b => B\n\nSource text:\nHi {n} {m}" in prompt
-    assert "\n\nDescription: greeting\n\n" in prompt
+    assert "Placeholders: n:string, m:number" in prompt and "Terms:\n- a => A\n- b => B\n\nText:\nHi {n} {m}" in prompt
+    assert "\n\nUsed for: greeting\n\n" in prompt
 
 
 def test_archive_names(spark):
