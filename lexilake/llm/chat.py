@@ -90,11 +90,11 @@ def render(messages: DataFrame) -> DataFrame:
             t["start"].alias("start"), t["length"].cast("long").alias("length"))).alias("loss_spans"))
 
 
-def parse(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): roles and texts read back from rendered strings, in order."""
+def parse(formatted: DataFrame, *kept: str) -> DataFrame:
+    """(conv_id, formatted, kept columns, turns): roles and texts read back from rendered strings, in order."""
     pieces = F.slice(F.split("formatted", r"<\|end\|>\n"), 1, F.size(F.split("formatted", r"<\|end\|>\n")) - 1)
-    return formatted.select("conv_id", "formatted", pieces.alias("pieces")).select(
-        "conv_id", "formatted", F.transform("pieces", lambda p: F.struct(
+    return formatted.select("conv_id", "formatted", *kept, pieces.alias("pieces")).select(
+        "conv_id", "formatted", *kept, F.transform("pieces", lambda p: F.struct(
             unescape_role(F.substring_index(F.substr(p, F.lit(3)), "|>\n", 1)).alias("role"),
             unescape_text(F.substr(p, F.locate("|>\n", p) + F.lit(3))).alias("text"))).alias("turns"))
 
@@ -104,13 +104,41 @@ def format_conversations(events: DataFrame) -> DataFrame:
     return render(fold_events(events))
 
 
+def learned(formatted: DataFrame) -> DataFrame:
+    """The rows with ``learned``: what the loss mask covers of the rendered string, cut out of it and unescaped, in order."""
+    return formatted.withColumn("learned", F.array_join(F.transform("loss_spans", lambda s: unescape_text(F.substring(
+        F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and hashes of what can be read back from rendered conversations."""
-    read = parse(formatted)
-    learned = F.array_join(F.filter("turns", lambda t: t["role"] == TRAINED_ROLE)["text"], "")
+    """Counts and hashes of what can be read back from rendered conversations and their masks."""
+    read = parse(learned(formatted), "learned")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(
             t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def log_of(conversations: DataFrame, turn: str = "turn") -> DataFrame:
+    """An event log (conv_id, seq, kind, role, text) that ends in the given messages, taken as a chat service writes one.
+
+    Messages stand in order of turn, role and text.  Each arrives in halves, as a message and a delta; by a hash of its
+    place it was first a draft that an edit replaces, or an answer that is given up and streamed again.
+    """
+    order = Window.partitionBy("conv_id").orderBy(turn, "role", "text")
+    rows = conversations.select("conv_id", turn, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = rows.select("conv_id", "role", "text", F.row_number().over(order).alias("place"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.char_length("text"))
+
+    def events(*kinds):
+        return F.array(*[F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(kinds)])
+
+    story = F.pmod(F.xxhash64("conv_id", "place"), F.lit(3))
+    told = F.when(story == 0, events(("message", first), ("delta", rest))).when(
+        story == 1, events(("message", F.concat(F.lit("draft of "), rest)), ("delta", first), ("edit", first), ("delta", rest))).otherwise(
+        events(("message", F.lit("")), ("delta", rest), ("regenerate", F.lit("")), ("delta", first), ("delta", rest)))
+    return placed.select("conv_id", "role", "place", F.explode(told).alias("e")).select(
+        "conv_id", (F.col("place") * 8 + F.col("e.step")).cast("long").alias("seq"), "e.kind", "role", "e.text")

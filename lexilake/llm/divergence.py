@@ -132,14 +132,12 @@ def skyband(rows: DataFrame, k: int) -> DataFrame:
 def _pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value): each source with each other of its language."""
     ship_package(kept.sparkSession)
-    rows = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    blocks = groups.select("lang").distinct().join(rows, "lang", "left").select(
-        "lang", F.greatest(F.lit(1), F.ceil(F.coalesce("rows", F.lit(0)) / BLOCK_ROWS)).alias("blocks"))
-    sides = groups.join(blocks, "lang").select(
-        "lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source",
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS))
+    sides = groups.select(
+        "lang", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "source",
         F.when(F.col("v") > 0, number(F.lit(0), F.col("total"), F.col("v"))).otherwise(0).alias("zero"))
-    cells = kept.join(groups.select("lang", "source", "total", "v"), ["lang", "source"]).join(blocks, "lang").select(
-        "lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term",
+    cells = kept.join(groups.select("lang", "source", "total", "v", "rows"), ["lang", "source"]).select(
+        "lang", F.pmod(F.xxhash64("term"), blocks).alias("block"), "source", "term",
         number(F.col("n"), F.col("total"), F.col("v")).alias("p"))
 
     def compare(side: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
@@ -186,10 +184,10 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
         "lang_n": F.sum("n").over(whole), "lang_docs": F.sum("docs").over(whole),
         "first": F.col("source") == F.min("source").over(whole),
     }).filter(F.col("lang_docs") >= min_documents).drop("docs", "lang_docs"))
-    totals = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
+    totals = kept.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"), F.count(F.lit(1)).alias("rows"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = durable(spoken.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(
-        totals, "lang", "left").fillna(0, ["total", "v", "lang_total"]))
+        totals, "lang", "left").fillna(0, ["total", "v", "lang_total", "rows"]))
     first = skyband(kept, top).repartition("lang", "source", F.pmod(F.xxhash64("term"), F.lit(SHARES)))
     merged = skyband(skyband(first, top).repartition("lang", "source"), top)
     excess = number(F.col("n"), F.col("total"), F.col("v")) - number(F.col("lang_n"), F.col("lang_total"), F.col("v"))

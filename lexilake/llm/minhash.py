@@ -4,18 +4,19 @@
 2. One-permutation hashing: a set's hashes fall into bins by their top bits and the least of each bin is kept.
    Optimal densification: an empty bin takes the value of the first filled bin in an order of its own, drawn
    once, so two sets fill it alike with the probability of their similarity.
-3. Bands of bins make buckets.  In a bucket every member is a candidate of the smallest alone: a star, so a
-   bucket has one candidate pair fewer than members, whatever its size.
-4. Candidates are confirmed on whole sets.  A star's members reach its centre's tasks in salted shares, each
-   with one copy of the centre's text, so a large star is many small tasks.
-5. Confirmed links are joined into components.
-
-A centre that ends up in another component than some of its members may hide a link between two members that
-it does not resemble.  Its members go through another round with fresh permutations, longer bands (so buckets are
-purer) and as many more of them as keep the probability of a miss.  There a bucket within one component is settled;
-a small one is compared pair by pair; a larger one is a star with a centre chosen by hash.  The members of larger
-buckets that are still not within one component go on, whether or not the round found a link.  After the longest
-bands, what is left of such buckets is compared pair by pair too, in cells of two blocks of members.
+3. Bands of bins make buckets.  A bucket is a star: its hub is the member that meets the most others over all its
+   buckets, which in a group of copies is the one nearest to all, and every member is a candidate of the hub alone.
+   So a bucket has one candidate pair fewer than members, whatever its size.
+4. Candidates are confirmed on whole sets: each member with the hub that it shares most buckets with, then, of its
+   other hubs, with those that are in another component by then.  A hub's members reach it in salted shares, each with
+   one copy of its text, so a large star is many small tasks.
+5. Confirmed links are joined into components.  Components found before are contracted to one key each.
+
+Only components are wanted, so a bucket within one component is settled.  In a bucket that is not, two members may be
+alike though neither resembles the hub.  A small bucket's other pairs are listed, a larger one is compared in cells of
+two blocks of members.  The members of very large ones go through another round first, with fresh permutations and
+bands twice as long, so that their buckets are purer, and as many bands as keep the probability of a miss.  What the
+last round leaves of such buckets is compared in cells too.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +32,18 @@ from pyspark.sql import functions as F
 
 from lexilake.llm.components import components
 from lexilake.llm.hashing import U, mix, shingle_sets
-from lexilake.llm.shared import map_rows, pa_schema, release, slices
-from lexilake.session import durable, ship_package
+from lexilake.llm.shared import map_rows, pa_schema, slices
+from lexilake.session import durable, forget, ship_package
 
 BINS = 256
 #: A pair right at the threshold is missed by all bands of a round with at most this probability.
 MISSED = 1e-5
 #: Members that share a task with one copy of their centre.
 STAR_SHARE = 256
-#: Members of a bucket, or of one block of it, that are compared pair by pair.
-GROUP = 64
-#: Rows that a later round's bands have more than those before, and the most bins of a round.
-LONGER = 4
-MOST_BINS = 16_384
+#: Members of a bucket whose other pairs are listed, of a block of a larger one, and of one that goes into cells at once.
+LISTED, BLOCK, MEMBERS = 8, 256, 2048
+#: Rounds after the first, each with bands twice as long, and the bins of one of their permutations.
+LATER_ROUNDS, LATER_BINS = 2, 1024
 #: Shingles that a cell compares at a time.
 COLUMNS = 8192
 
@@ -60,10 +59,10 @@ def band_count(threshold: float, rows: int, missed: float = MISSED) -> int:
     return math.ceil(math.log(missed) / math.log1p(-min(threshold ** rows, 1 - 1e-9)))
 
 
-def later_rounds(threshold: float, rows: int, bins: int) -> list[list[tuple[int, int, int]]]:
+def later_rounds(threshold: float, rows: int) -> list[list[tuple[int, int, int]]]:
     """The signers of each round after the first: as many permutations as its bands need."""
-    lengths = list(takewhile(lambda r: r * band_count(threshold, r) <= MOST_BINS, range(rows + LONGER, bins + 1, LONGER))) or [rows]
-    return [[(bins, r, 1000 * k + p) for p in range(math.ceil(band_count(threshold, r) / (bins // r)))]
+    lengths = [min(rows << k, LATER_BINS) for k in range(1, LATER_ROUNDS + 1)]
+    return [[(LATER_BINS, r, 1000 * k + p) for p in range(math.ceil(band_count(threshold, r) / (LATER_BINS // r)))]
             for k, r in enumerate(lengths, 1)]
 
 
@@ -111,33 +110,71 @@ def sign(docs: DataFrame, words: int, signers: list[tuple[int, int, int]]) -> Da
                     "id long, n_shingles long, set_id binary, bands array<long>", "text")
 
 
-def _stars(bands: DataFrame) -> DataFrame:
-    """(hub, id): each member of a bucket with its smallest, once for all buckets they share."""
-    buckets = bands.select("id", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return buckets.join(hubs, "bucket").filter("id != hub").select("hub", "id").distinct()
+def _owned(rows: DataFrame, labels: DataFrame | None, key: str, own: str) -> DataFrame:
+    """Add the component of ``key`` so far, the key itself where nothing is linked to it."""
+    if labels is None:
+        return rows.withColumn(own, F.col(key))
+    return rows.join(labels.select(F.col("key").alias(key), F.col("component").alias("_c")), key, "left").withColumn(
+        own, F.coalesce("_c", key)).drop("_c")
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(bucket, hub, n, id): the members of buckets that are not within one component.
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, id, size, n): the members of buckets that are not within one component, ``n`` in each.
 
-    The hub is the first by hash.  Of buckets with the same members one is taken.
+    Of buckets with the same members one is taken.
     """
-    own = buckets.join(labels.select(F.col("key").alias("id"), "component"), "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("own"))
-    rank = F.struct(F.xxhash64("id", F.lit(seed)).alias("r"), F.col("id").alias("hub"))
+    members = members.select("bucket", "id", "size")
+    own = _owned(members, labels, "id", "own")
     kinds = own.groupBy("bucket").agg(
-        F.min(rank).alias("h"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("members"),
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("all"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"),
         F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high")
-    one = kinds.groupBy(F.col("h.hub").alias("hub"), "n", "members").agg(F.min("bucket").alias("bucket")).drop("members")
-    return buckets.select("bucket", "id").join(one, "bucket").select("bucket", "hub", "n", "id")
+    one = kinds.groupBy("n", "all", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return members.join(one, "bucket")
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _stars(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(hub, id, first): each member of a bucket with its hub, once for all buckets they share, if their sizes allow a link.
+
+    ``first`` marks the hub with which a member shares most buckets.
+    """
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "id").groupBy("bucket").agg(
+        F.max(F.struct("met", (-F.col("id")).alias("low"), "size")).alias("h")).select(
+        "bucket", (-F.col("h.low")).alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.met").alias("hub_met"))
+    stars = members.join(hubs, "bucket").filter(F.col("id") != F.col("hub")).filter(_sizes_allow("size", "hub_size", share)).groupBy(
+        "hub", "id").agg(F.count(F.lit(1)).alias("buckets"), F.max("hub_met").alias("hub_met"))
+    best = stars.groupBy("id").agg(F.max(F.struct("buckets", "hub_met", (-F.col("hub")).alias("low"))).alias("b")).select(
+        "id", (-F.col("b.low")).alias("best"))
+    return stars.join(best, "id").select("hub", "id", (F.col("hub") == F.col("best")).alias("first"))
+
+
+def _sizes_allow(a: str, b: str, share: tuple[int, int]):
+    return F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
+
+
+def _between(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The (hub, id) pairs whose ends are in different components."""
-    own, other = (labels.select(F.col("key").alias(k), F.col("component").alias(c)) for k, c in (("id", "own"), ("hub", "other")))
-    return pairs.join(own, "id", "left").join(other, "hub", "left").filter(
-        F.coalesce("own", "id") != F.coalesce("other", "hub")).select("hub", "id")
+    return _owned(_owned(pairs, labels, "id", "own"), labels, "hub", "other").filter("own != other").select("hub", "id")
+
+
+def _listed(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(hub, id): all pairs of small buckets whose sizes allow a link, once."""
+    whole = members.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("id", "size"))).alias("m"))
+    pairs = whole.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.slice("m", i + 2, LISTED), lambda y: F.struct(
+            x["id"].alias("hub"), x["size"].alias("hub_size"), y["id"].alias("id"), y["size"].alias("size")))))).alias("p"))
+    return pairs.select("p.*").filter(_sizes_allow("size", "hub_size", share)).select("hub", "id").distinct()
+
+
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, component) after more links (a, b); what was one component before is one key of the new ones."""
+    if labels is None:
+        return components(links)
+    ends = _owned(_owned(links, labels, "a", "x"), labels, "b", "y").filter("x != y")
+    found = components(durable(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    moved = labels.join(found.select(F.col("key").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "key", F.coalesce("to", "component").alias("component"))
+    return durable(moved.unionByName(found))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
@@ -239,10 +276,10 @@ def confirm_cells(cells: DataFrame, docs: DataFrame, words: int, share: tuple[in
         "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(run, ddl)
 
 
-def _blocks(mixed: DataFrame) -> DataFrame:
+def _cells(members: DataFrame) -> DataFrame:
     """(bucket, i, j, id): cells of two blocks of a bucket, so that any two members meet in one."""
-    blocks = F.ceil(F.col("n") / GROUP)
-    return mixed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks)).select(
+    blocks = F.ceil(F.col("n") / BLOCK)
+    return members.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks)).select(
         "bucket", "id", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id")
 
@@ -261,42 +298,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     signed = durable(sign(source, words, [(bins, rows, 0)]))
     linkable = signed.filter("id IS NOT NULL AND n_shingles > 0")
     classes = durable(linkable.groupBy("set_id").agg(F.min("id").alias("rep")))
-    reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    stars = durable(_stars(reps))
-    # Texts of candidates are gathered once, by one plan at every size; later rounds take theirs from these.
-    members = stars.select("id").unionByName(stars.select(F.col("hub").alias("id"))).distinct()
-    texts = durable(source.join(members.hint("merge"), "id"))
-    sizes = signed.select("id", "n_shingles")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """The pairs whose sizes allow a link."""
-        return pairs.join(sizes, "id").join(sizes.select(F.col("id").alias("hub"), F.col("n_shingles").alias("hub_n")), "hub").filter(
-            F.least("n_shingles", "hub_n") * share[1] >= F.greatest("n_shingles", "hub_n") * share[0]).select("hub", "id").distinct()
-
-    def joined(new: DataFrame, labels: DataFrame) -> DataFrame:
-        return components(new.unionByName(labels.select(F.col("component").alias("a"), F.col("key").alias("b"))))
-
-    labels = components(durable(confirm(durable(alike(stars)), texts, words, share)))
-    # A centre that some member did not join may hide links between its members.
-    open_hubs = _between(stars, labels).select("hub").distinct()
-    inside = durable(stars.join(open_hubs, "hub", "left_semi").select("id").distinct())
-    rounds = later_rounds(threshold, rows, 4 * bins)
-    for seed, signers in enumerate(rounds, 1):
-        if inside.isEmpty():
+    reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("size"), "bands")
+    texts, labels = source, None
+    rounds = [[], *later_rounds(threshold, rows)]
+    for number, signers in enumerate(rounds):
+        last = number == len(rounds) - 1
+        banded = reps if not number else sign(texts, words, signers).select("id", F.col("n_shingles").alias("size"), "bands")
+        buckets = banded.select("id", "size", F.explode("bands").alias("bucket"))
+        if number:
+            buckets = durable(buckets.distinct())
+        members = durable(_mixed(buckets, labels))
+        # Texts of candidates are gathered once, by one plan at every size; later rounds take theirs from these.
+        earlier = texts
+        texts = durable(texts.join(members.select("id").distinct().hint("merge"), "id"))
+        if number:
+            forget(earlier, buckets)
+        stars = durable(_stars(members, share))
+        labels = _joined(durable(confirm(stars.filter("first").select("hub", "id"), texts, words, share)), labels)
+        others = durable(_between(stars.filter("NOT first"), labels))
+        labels = _joined(durable(confirm(others, texts, words, share)), labels)
+        # Every pair of a bucket of two was one of a hub.
+        left = durable(_mixed(members, labels).filter("n > 2"))
+        listed = durable(_between(_listed(left.filter(F.col("n") <= LISTED), share).join(stars, ["hub", "id"], "left_anti").join(
+            stars.select(F.col("hub").alias("id"), F.col("id").alias("hub")), ["hub", "id"], "left_anti"), labels))
+        large = left.filter(F.col("n") > LISTED)
+        here = large if last else large.filter(F.col("n") <= MEMBERS)
+        labels = _joined(durable(confirm(listed, texts, words, share).unionByName(
+            confirm_cells(_cells(here), texts, words, share))), labels)
+        inside = None if last else durable(_mixed(large.filter(F.col("n") > MEMBERS), labels).select("id").distinct())
+        forget(members, stars, others, left, listed)
+        if last or inside.isEmpty():
             break
-        texts = durable(texts.join(inside.hint("merge"), "id"))
-        again = durable(sign(texts, words, signers).select("id", F.explode("bands").alias("bucket")).distinct())
-        release(docs.sparkSession)
-        mixed = durable(_mixed(again, labels, seed))
-        few, many = mixed.filter(F.col("n") <= GROUP), mixed.filter(F.col("n") > GROUP)
-        cells = few.select("bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "id")
-        pairs = durable(_between(alike(many.filter("id != hub").select("hub", "id").distinct()), labels))
-        labels = joined(durable(confirm(pairs, texts, words, share).unionByName(
-            confirm_cells(cells, texts, words, share))), labels)
-        left = durable(_mixed(many, labels, seed))
-        inside = durable(left.select("id").distinct())
-        if seed == len(rounds) and not inside.isEmpty():
-            labels = joined(durable(confirm_cells(_blocks(left), texts, words, share)), labels)
+        texts, earlier = durable(texts.join(inside.hint("merge"), "id")), texts
+        forget(earlier, inside)
+    forget(texts)
     placed = signed.join(classes, "set_id", "left").join(
         labels.withColumnRenamed("key", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

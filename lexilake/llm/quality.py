@@ -39,13 +39,14 @@ N_FEATURES = 17
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features (a row per line), lengths in bytes, and the n + 1 positions where each text's lines begin.
 
-    Lines end at line feeds; an empty text is one empty line.
+    Lines end at line feeds, so one at the end of a text begins an empty line; an empty text is one empty line.
     """
     data, offsets = text_bytes(texts)
     n_texts = len(offsets) - 1
     feeds = np.flatnonzero(data == 10)
     breaks = np.concatenate([offsets[:-1], feeds + 1])
-    order = np.argsort(breaks, kind="stable")
+    # By text, then place: what follows a text's last line feed is its own empty line, though the next text starts there.
+    order = np.lexsort((breaks, np.concatenate([np.arange(n_texts), np.searchsorted(offsets, feeds, "right") - 1])))
     start = breaks[order]
     first_line = np.flatnonzero(order < n_texts)
     at = np.append(first_line, len(start))

@@ -104,10 +104,13 @@ def test_pairs_hidden_in_a_hot_source(spark, words, many):
     assert got == brute(rows, words, many)
 
 
-def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch):
+@pytest.mark.parametrize("listed,members", [(100, 200), (8, 200), (8, 16)])
+def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch, listed, members):
     """Even if bands separate nothing and no centre resembles a member."""
     sign = minhash.sign
-    monkeypatch.setattr(minhash, "GROUP", 8, raising=False)
+    monkeypatch.setattr(minhash, "LISTED", listed)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "MEMBERS", members)
     monkeypatch.setattr(minhash, "sign", lambda *a: sign(*a).withColumn("bands", F.expr("if(bands IS NULL, NULL, array(1L))")))
     rows = hot_source(60, 8)
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
@@ -117,7 +120,7 @@ def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch):
 
 def test_later_rounds_keep_the_bound():
     for threshold in (0.5, 0.8, 0.85):
-        for signers in minhash.later_rounds(threshold, minhash.band_rows(threshold, 256), 1024):
+        for signers in minhash.later_rounds(threshold, minhash.band_rows(threshold, 256)):
             bands = sum(bins // rows for bins, rows, _ in signers)
             assert (1 - threshold ** signers[0][1]) ** bands <= minhash.MISSED
             assert len({seed for _, _, seed in signers}) == len(signers)
