@@ -36,3 +36,26 @@ def test_stages(spark):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     total = corpus_pipeline.run(spark, sf)
     assert sorted(total.columns) == sorted(packed.columns) and total.count() == len(packed)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and repeated ids, null, blank and very long texts, no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    near = dict(corpus_pipeline.STAGES)["minhash_near_duplicates"]
+    body = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, body, "en", "a", 1), (1, body, "en", "a", 1), (1, other, "en", "a", 1), (2, body + " end", None, None, None), (None, body, "en", "a", 1),
+            (None, other + " end", "en", "a", 1), (None, "alone here in this place of texts", "en", "a", 1), (3, None, "en", "a", 1), (3, " ", "en", "a", 1),
+            (4, "long " * 200_000, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = near(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:5], len(r.text or "")) for r in kept.collect()) == sorted(
+        (i or 0, (t or "")[:5], len(t or "")) for i, t in [(1, body), (1, other), (None, "alone here in this place of texts"), (3, None), (3, " "), (4, "long " * 200_000)])
+    empty, odd = docs.limit(0), docs
+    for _, stage in corpus_pipeline.STAGES:
+        empty, odd = durable(stage(spark, empty, sf)), durable(stage(spark, odd, sf))
+    assert empty.count() == 0 and odd.columns == empty.columns
