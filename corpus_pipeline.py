@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexilake.llm import minhash, packing, quality, toxicity
 from lexilake.llm.shared import table
@@ -31,11 +32,20 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    kept = durable(minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct())
-    known = docs.filter("doc_id IS NOT NULL")
-    chosen = known.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return chosen.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near-duplicates, that with the smallest id.
+
+    A row is a document: of rows that share an id, and of rows without one, each counts for itself, so copies among
+    them go too and unlike texts stay; a row with an id goes before one without.  Texts without words are like nothing
+    and all stay.  Ids that tell the rows apart are used as they are; else rows are numbered in order of id first.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        kept = durable(minhash.near_duplicates(docs).filter("kept").select("doc_id"))
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    order = [F.asc_nulls_last("r.doc_id"), F.asc("r.text")]
+    rows = durable(docs.select(F.struct("*").alias("r")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "at", F.monotonically_increasing_id()))
+    kept = durable(minhash.near_duplicates(rows.select("at", F.col("r.text").alias("text")), key="at").filter("kept").select("at"))
+    return rows.join(kept, "at", "left_semi").select("r.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
