@@ -55,13 +55,9 @@ OUTCOMES = f"""
 APPLY_VIEWS = {**PLAN_VIEWS, "x_responses": RESPONSES, "x_outcomes": OUTCOMES}
 
 
-def _applied(lake, strict=False):
+def _applied(lake):
     tasks = tasks_of(lake)
-    if strict:
-        # Leave one project without the texts that lose a placeholder.
-        tasks = tasks.filter(~((F.col("project") == 3) & F.col("key").rlike("[05]$")))
-    return applying.apply_responses(tasks, responses_of(lake, tasks), lake.source, lake.configs, "recorded",
-                                    now(), strict)
+    return applying.apply_responses(tasks, responses_of(lake, tasks), lake.source, lake.configs, "recorded", now())
 
 
 @query("apply_responses", """
@@ -85,15 +81,6 @@ def apply_responses(lake):
                           "text", F.col("source_hash").alias("detail"), F.col("cached_at").alias("at")))
 
 
-@query("apply_responses_strict", """
-  SELECT project, locale, count(*) AS entries FROM x_open WHERE outcome IN ('cached', 'translated')
-    AND project NOT IN (SELECT project FROM x_open WHERE outcome = 'mismatch') GROUP BY ALL""", **APPLY_VIEWS,
-       x_open="SELECT * FROM x_outcomes WHERE NOT (project = 3 AND regexp_matches(key, '[05]$'))")
-def apply_responses_strict(lake):
-    entries, _, _ = _applied(lake, strict=True)
-    return entries.groupBy("project", "locale").agg(F.count(F.lit(1)).alias("entries"))
-
-
 @query("sync_report", """
   SELECT t.project, n.n - t.cache_hits AS translated, t.cache_hits, t.pending - t.cache_hits AS provider_requests,
     t.reviewed_stale AS reviewed_skipped, t.removed, (n.n - t.cache_hits) || ' translations generated, '
@@ -104,58 +91,6 @@ def sync_report(lake):
     return applying.sync_report(plan_of(lake), _applied(lake)[0])
 
 
-# A lake whose blocking findings are cured, so that the whole run goes through: projects 0 and 1 keep their errors.
-@query("apply_sync", """
-  SELECT project, locale, count(*) AS entries, count(*) FILTER (provider = 'recorded') AS fresh,
-    count(*) FILTER (stale) AS stale
-  FROM (
-    SELECT e.project, e.locale, e.provider,
-      CASE WHEN e.project IN (0, 1) THEN e.stale WHEN e.reviewed AND e.source_hash <> s.source_hash THEN true
-           WHEN e.source_hash = s.source_hash THEN false ELSE e.stale END AS stale
-    FROM x_kept e LEFT JOIN v_source s ON s.project = e.project AND s.key = e.key
-    WHERE e.project IN (0, 1) OR (s.key IS NOT NULL AND NOT EXISTS (
-      FROM x_done d WHERE d.project = e.project AND d.locale = e.locale AND d.key = e.key))
-    UNION ALL SELECT project, locale, 'recorded', false FROM x_done) GROUP BY ALL""",
-       **{**APPLY_VIEWS,
-          "x_kept": f"""SELECT e.* FROM v_entries e WHERE project IN (0, 1) OR EXISTS (
-            FROM v_targets t WHERE t.project = e.project AND t.locale = e.locale) AND NOT EXISTS (FROM v_source s WHERE s.project = e.project AND s.key = e.key
-              AND NOT {parity('s.text', 'e.text')}
-              AND (NOT {blank('e.text')} OR (e.reviewed AND e.source_hash <> s.source_hash)))""",
-          "x_pairs": f"""SELECT s.project, t.locale, s.key, s.source_hash, s.text AS source_text,
-            CASE WHEN {blank('e.text')} THEN 'missing' WHEN e.source_hash = s.source_hash THEN 'current'
-                 WHEN e.reviewed THEN 'reviewed_stale' ELSE 'stale' END AS reason
-            FROM v_source s JOIN v_targets t ON t.project = s.project
-            LEFT JOIN x_kept e ON e.project = s.project AND e.locale = t.locale AND e.key = s.key
-            WHERE s.project IN (2, 3)""",
-          "x_done": "SELECT project, locale, key FROM x_outcomes WHERE outcome IN ('cached', 'translated')"})
-def apply_sync(lake):
-    import dataclasses
-
-    bad = audit.check_placeholders(lake.source, lake.entries).filter("project in (2, 3)").select(
-        "project", "locale", "key")
-    entries = lake.entries.drop("pk").join(bad, ["project", "locale", "key"], "left_anti")
-    # Blank reviewed entries that lag diverge as well; they have no placeholders at all.
-    mute = audit.sync_gate(entries, lake.source).filter(
-        "project in (2, 3) and level = 'error'").select("project", "locale", "key")
-    loose = lake.rules.withColumns({
-        "key_case": F.when(F.col("project") > 1, F.lit("any")).otherwise(F.col("key_case"))})
-    # Style errors would hold projects 2 and 3 back: give them rules that nothing breaks.
-    source = lake.source
-    clean = dataclasses.replace(
-        lake.catalog, source=source, rules=loose.filter("project <= 1"), entries=entries.join(
-            mute, ["project", "locale", "key"], "left_anti"))
-    done = sync_plan.apply_sync(clean, responses_of(lake, tasks_for(clean)), "recorded", now())
-    return done.entries.groupBy("project", "locale").agg(
-        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("provider") == "recorded").alias("fresh"),
-        F.count_if("stale").alias("stale"))
-
-
-def tasks_for(c):
-    from lexilake.operators.planning import plan_sync
-
-    return plan_sync(c.source, audit.configured(c.entries, c.locales), c.locales, c.cache, c.configs)
-
-
 # --- importing -------------------------------------------------------------------------------
 IMPORTED = f"""
   SELECT p.project, p.locale, p.key, p.text, CASE WHEN {parity('s.text', 'p.text')} THEN 'entry' ELSE 'L10N_E0041' END AS kind
@@ -489,7 +424,30 @@ def dedupe_summary(lake):
     return dedupe.dedupe_summary(exact, cleaned, lake.source)
 
 
-@query("near_duplicates")
+NEAR = r"""
+  WITH RECURSIVE docs AS (SELECT 0 AS project, printf('d%08d', doc_id) AS key, text FROM documents),
+  firsts AS (SELECT project, text, min(key) AS key FROM docs GROUP BY 1, 2),
+  words AS (SELECT project, key, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM firsts),
+  sets AS (
+    SELECT project, key, CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s FROM words),
+  elements AS (SELECT project, key, len(s) AS n, unnest(s) AS e FROM sets),
+  shared AS (
+    SELECT a.project, a.key AS a, b.key AS b, count(*) AS c, max(a.n) + max(b.n) AS n
+    FROM elements a JOIN elements b ON a.project = b.project AND a.e = b.e AND a.key <> b.key GROUP BY 1, 2, 3),
+  links AS (SELECT project, a, b FROM shared WHERE 10 * c >= 7 * (n - c)),
+  reach(project, a, b) AS (
+    SELECT project, a, b FROM links UNION SELECT r.project, r.a, l.b FROM reach r JOIN links l ON r.project = l.project AND r.b = l.a),
+  labels AS (SELECT project, a AS key, least(a, min(b)) AS root FROM reach GROUP BY 1, 2),
+  confidence AS (
+    SELECT l.project, root, min(coalesce(c / (n - c), 0)) AS confidence FROM labels l
+    LEFT JOIN shared s ON s.project = l.project AND s.a = l.key AND s.b = l.root WHERE l.key <> root GROUP BY 1, 2)
+  SELECT d.project, l.root AS canonical_key, d.key AS duplicate_key, confidence
+  FROM labels l JOIN firsts f ON f.project = l.project AND f.key = l.key JOIN docs d ON d.project = f.project AND d.text = f.text
+  JOIN confidence c ON c.project = l.project AND c.root = l.root WHERE d.key <> l.root"""
+
+
+@query("near_duplicates", NEAR)
 def near_duplicates(lake):
     return near.near_duplicates(documents(lake), threshold=0.7)
 
@@ -569,6 +527,29 @@ def merge_summary(lake):
     return review.merge_conflicted(_files(lake))[2]
 
 
+CANONICAL = """
+  SELECT *, '{' || chr(10) || '  "keys": {' || chr(10) || '    "common": {' || chr(10) || '      "n": [' || chr(10) || '        ' || (pk % 5)
+    || chr(10) || '      ],' || chr(10) || '      "text": "c"' || chr(10) || '    }' || CASE WHEN NOT torn THEN '' ELSE
+      ',' || chr(10) || '    "left.' || key || '": {' || chr(10) || '      "text": "' || description || '"' || chr(10) || '    },' || chr(10)
+      || '    "right.' || key || '": {' || chr(10) || '      "text": "' || description || '"' || chr(10) || '    }'
+      || CASE WHEN pk % 4 = 0 THEN ',' || chr(10) || '    "same.' || key || '": {' || chr(10) || '      "text": "L"' || chr(10) || '    }' ELSE '' END END
+    || chr(10) || '  },' || chr(10) || '  "version": 1' || chr(10) || '}' || chr(10) AS text FROM x_files"""
+
+
+@query("repair_documents", """
+  SELECT project, path, text FROM x_canonical WHERE NOT (malformed OR unparsable OR clash)""", x_files=FILES, x_canonical=CANONICAL)
+def repair_documents(lake):
+    return review.repair_documents(_files(lake))[0]
+
+
+@query("repair_summary", """
+  SELECT project, count(*) AS files_scanned, count(*) FILTER (torn AND NOT (malformed OR unparsable OR clash)) AS auto_merged,
+    count(*) FILTER (malformed OR unparsable OR clash) AS failed, count(*) FILTER (NOT (malformed OR unparsable OR clash)) AS reformatted
+  FROM x_files GROUP BY project""", x_files=FILES)
+def repair_summary(lake):
+    return review.repair_documents(_files(lake))[2]
+
+
 # --- restoring -------------------------------------------------------------------------------
 # Files are documents' lines of a catalog: one per entry key and locale, before and after a run.
 def _file_state(lake):

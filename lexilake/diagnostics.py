@@ -62,3 +62,12 @@ def has_errors(diags: DataFrame) -> DataFrame:
 def check_summary(diags: DataFrame) -> DataFrame:
     """Findings per code; the per-project gate is :func:`has_errors`."""
     return diags.groupBy("project", "code", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def check_totals(source: DataFrame, locales: DataFrame, diags: DataFrame) -> DataFrame:
+    """Per project: its keys, the target locales that a check covers, and whether it may be written."""
+    keys = source.groupBy("project").agg(F.count(F.lit(1)).alias("source_keys"))
+    checked = locales.filter(~F.col("is_source")).groupBy("project").agg(F.count_distinct("locale").alias("locales_checked"))
+    return keys.join(checked, "project", "full_outer").join(has_errors(diags), "project", "left").select(
+        "project", F.coalesce("source_keys", F.lit(0)).alias("source_keys"),
+        F.coalesce("locales_checked", F.lit(0)).alias("locales_checked"), F.coalesce("ok", F.lit(True)).alias("ok"))

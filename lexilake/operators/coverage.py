@@ -29,15 +29,21 @@ def locale_coverage(source: DataFrame, entries: DataFrame, locales: DataFrame) -
          ).alias("missing"))
 
 
-def platform_inventory(platform_entries: DataFrame, locales: DataFrame) -> DataFrame:
-    """Source-locale keys and the sorted locales seen, per project and platform."""
+def platform_inventory(platform_entries: DataFrame, locales: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """Source-locale keys and the sorted locales seen, per project and platform.
+
+    ``versions`` (project, platform, version) adds the format version of the documents, null where a format has none.
+    """
     sources = locales.filter("is_source").select("project", F.col("locale").alias("_source"))
     seen = platform_entries.select("project", "platform", "locale", "key").join(sources, "project", "left")
     # First to one row per locale, map-side, so the gathered set is as short as the locale list.
     per_locale = seen.groupBy("project", "platform", "locale").agg(
         F.count_distinct(F.when(F.col("locale") == F.col("_source"), F.col("key"))).alias("_keys"))
-    return per_locale.groupBy("project", "platform").agg(
+    found = per_locale.groupBy("project", "platform").agg(
         F.sum("_keys").alias("key_count"), F.array_sort(F.collect_set("locale")).alias("locales"))
+    if versions is None:
+        return found
+    return found.join(versions.select("project", "platform", "version"), ["project", "platform"], "left")
 
 
 def import_report(source: DataFrame, imported: DataFrame, locales: DataFrame) -> DataFrame:

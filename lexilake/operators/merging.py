@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, union_diagnostics
-from lexilake.session import durable, ship_package
+from lexilake.operators.rendering import expand_objects, leaf_json
+from lexilake.session import durable
 from lexilake.sources.documents import strict_json
 
 # One conflict block: an opening line, a line of seven equal signs, a closing line.
@@ -45,47 +43,15 @@ def judged_sections(files: DataFrame) -> DataFrame:
     return durable(sections.withColumn("parses", F.coalesce(parses, F.lit(False))))
 
 
-def _number(text: str) -> int | float:
-    value = float(text)
-    return int(value) if value.is_integer() else value
-
-
-def _no_constant(name: str):
-    raise ValueError(f"{name} is no JSON")
-
-
-def _nodes(text: str) -> list[dict]:
-    """Every node of one document, parents before children; none if it is no JSON."""
-    try:
-        root = json.loads(text, parse_float=_number, parse_constant=_no_constant)
-    except ValueError:
-        return []
-    found, todo = [], [([], root)]
-    while todo:
-        path, value = todo.pop()
-        if isinstance(value, dict):
-            found.append({"path": path, "kind": "object", "value": None})
-            todo.extend(([*path, name], item) for name, item in value.items())
-        else:
-            flat = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-            found.append({"path": path, "kind": "leaf", "value": flat})
-    return found
-
-
-def _document_nodes(texts: pd.Series) -> pd.Series:
-    return texts.map(_nodes)
-
-
 def flatten_documents(docs: DataFrame, column: str, id_cols: list[str]) -> DataFrame:
-    """Rows (ids, path, kind, value) for every node of a JSON document; unparsable ones give none.
+    """Rows (ids, path, kind, value, v) for every node of a JSON document; unparsable ones give none.
 
-    Objects open up to any depth, anything else is a leaf and arrays stay whole.  ``path`` is an
-    array of names, values are compact JSON.  The recursion has no column expression, so it is
-    a small function over Arrow batches; everything after it is joins.
+    Objects open level by level until none is left, anything else is a leaf and arrays stay whole.  ``path`` is an
+    array of names, ``value`` the compact JSON of a leaf and ``v`` the node itself.
     """
-    ship_package(docs.sparkSession)
-    nodes = F.pandas_udf(_document_nodes, "array<struct<path:array<string>,kind:string,value:string>>")
-    return docs.select(*id_cols, F.explode(nodes(F.col(column))).alias("n")).select(*id_cols, "n.*")
+    roots = docs.select(*id_cols, F.array().cast("array<string>").alias("path"), strict_json(F.col(column)).alias("v")).filter(
+        "v IS NOT NULL")
+    return expand_objects(roots, id_cols).withColumn("value", F.when(F.col("kind") == "leaf", leaf_json(F.col("v"))))
 
 
 def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -96,12 +62,12 @@ def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tup
     document is left out.  A conflict at the root is a conflict too.
     """
     at = [*id_cols, "path"]
-    joined = left.withColumnsRenamed({"kind": "_lk", "value": "_lv"}).join(
-        right.withColumnsRenamed({"kind": "_rk", "value": "_rv"}), at, "full_outer")
+    joined = left.withColumnsRenamed({"kind": "_lk", "value": "_lv", "v": "_l"}).join(
+        right.withColumnsRenamed({"kind": "_rk", "value": "_rv", "v": "_r"}), at, "full_outer")
     both = F.col("_lk").isNotNull() & F.col("_rk").isNotNull()
     differs = both & ((F.col("_lk") != F.col("_rk")) | (F.coalesce("_lv", F.lit("")) != F.coalesce("_rv", F.lit(""))))
     judged = joined.select(*at, F.coalesce("_lk", "_rk").alias("kind"), F.coalesce("_lv", "_rv").alias("value"),
-                           differs.alias("_conflict"))
+                           F.when(F.col("_lk").isNotNull(), F.col("_l")).otherwise(F.col("_r")).alias("v"), differs.alias("_conflict"))
     conflicts = judged.filter("_conflict").groupBy(*id_cols).agg(F.min("path").alias("conflict_path"))
     merged = judged.join(conflicts, id_cols, "left_anti").drop("_conflict")
     return merged, conflicts.withColumn("conflict_path", F.array_join("conflict_path", "."))
@@ -116,12 +82,16 @@ def merge_findings(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
         diagnose(conflicts, "L10N_E0088", {"conflict_path": F.col("conflict_path")}))
 
 
-def merge_summary(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Files scanned, merged and failed per project."""
+def merge_summary(sections: DataFrame, conflicts: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+    """Files scanned, merged and failed per project, and those that are ``rewritten`` (project, path) if given."""
     judged = sections.join(conflicts.select("project", "path", F.lit(True).alias("_clash")),
                            ["project", "path"], "left")
     fine = ~F.col("malformed") & F.col("parses") & F.col("_clash").isNull()
-    return judged.groupBy("project").agg(
+    counts = judged.groupBy("project").agg(
         F.count(F.lit(1)).alias("files_scanned"),
         F.count_if(F.col("conflicted") & fine).alias("auto_merged"),
         F.count_if(~fine).alias("failed"))
+    if rewritten is None:
+        return counts
+    changed = rewritten.groupBy("project").agg(F.count(F.lit(1)).alias("reformatted"))
+    return counts.join(changed, "project", "left").withColumn("reformatted", F.coalesce("reformatted", F.lit(0)))

@@ -1,20 +1,24 @@
 """Near-duplicate source copy: the measured stand-in for a model's semantic suggestions.
 
-Exact copies collapse first.  Word shingles are min-hashed, signatures banded into buckets.
-Inside a bucket the smallest key leads: every member is compared with the leader only, members
-that are close enough leave the bucket with it, the others elect the next leader.  So the
-comparisons are linear in the bucket per leader and no set of pairs is ever built.  Members
-linked to the same leaders, through any bucket, form a group.
+Exact copies collapse first.  The rest are compared as sets of word triples, by the exact join of
+``similarity_join``: every pair at least as alike as the threshold links its keys, and keys that links
+join form a group.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilake.operators.components import connected_components
+from lexilake.operators.similarity_join import alike_components
 from lexilake.session import durable
 from lexilake.sources.documents import once
 
+__all__ = ["connected_components", "jaccard", "near_duplicates", "shingles", "words_of"]
+
 SHINGLE_WORDS = 3
 
 
@@ -38,87 +42,26 @@ def jaccard(a, b) -> F.Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest key reachable from each key; ``edges`` has project, a and b with a < b.
-
-    Alternates large-star and small-star until nothing changes.  Each step is a grouped minimum,
-    which combines map-side, and a join back, which may be split where a star is large.
-    """
-    edges = durable(edges.select("project", "a", "b").distinct())
-    previous = None
-    while True:
-        both = edges.unionByName(edges.select("project", F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("project", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter(F.col("b") > F.col("a")).join(low, ["project", "a"]).select(
-            "project", F.col("m").alias("a"), "b").filter(F.col("a") < F.col("b")).distinct()
-        down = large.groupBy("project", "b").agg(F.min("a").alias("m"))
-        small = large.join(down, ["project", "b"]).select(
-            "project", F.col("m").alias("_m"), F.col("a").alias("_a"), "b")
-        linked = small.select("project", F.col("_m").alias("a"), "b").unionByName(
-            small.select("project", F.col("_m").alias("a"), F.col("_a").alias("b")))
-        edges = durable(linked.filter(F.col("a") < F.col("b")).distinct())
-        state = edges.agg(F.count(F.lit(1)),
-                          F.sum(F.xxhash64("project", "a", "b").cast("decimal(38,0)"))).first()
-        if state == previous:
-            return edges.select("project", F.col("b").alias("key"), F.col("a").alias("component"))
-        previous = state
-
-
-def _minhash_buckets(docs: DataFrame, hashes: int, bands: int) -> DataFrame:
-    rows = hashes // bands
-    exploded = docs.select("project", "key", F.explode("shingles").alias("s"))
-    signature = exploded.groupBy("project", "key").agg(
-        *[F.min(F.xxhash64("s", F.lit(i))).alias(f"h{i}") for i in range(hashes)])
-    return signature.select("project", "key", F.explode(F.array(*[
-        F.xxhash64(F.lit(b), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(bands)
-    ])).alias("bucket"))
-
-
-def near_edges(docs: DataFrame, threshold: float, hashes: int, bands: int) -> DataFrame:
-    """(leader, member, similarity) for every member at least ``threshold`` like its leader."""
-    found = None
-    members = durable(_minhash_buckets(docs, hashes, bands))
-    while True:
-        leaders = members.groupBy("project", "bucket").agg(
-            F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        waiting = durable(members.join(leaders.drop("n"), ["project", "bucket"]).filter(
-            F.col("key") != F.col("leader")))
-        if waiting.isEmpty():
-            break
-        pairs = waiting.select("project", "leader", "key").distinct()
-        scored = pairs.join(docs, ["project", "key"]).join(
-            docs.select("project", F.col("key").alias("leader"), F.col("shingles").alias("_lead")),
-            ["project", "leader"]).select(
-            "project", "leader", "key", jaccard(F.col("shingles"), F.col("_lead")).alias("similarity"))
-        close = durable(scored.filter(F.col("similarity") >= threshold))
-        found = close if found is None else found.unionByName(close)
-        members = waiting.join(close, ["project", "leader", "key"], "left_anti").select(
-            "project", "key", "bucket")
-    if found is None:
-        return docs.select("project", F.col("key").alias("leader"), "key",
-                           F.lit(1.0).alias("similarity")).limit(0)
-    return found.groupBy("project", "leader", "key").agg(F.max("similarity").alias("similarity"))
-
-
-def near_duplicates(source: DataFrame, threshold: float = 0.7, hashes: int = 32,
-                    bands: int = 8) -> DataFrame:
+def near_duplicates(source: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Members of near-duplicate groups: canonical key, duplicate key and the group's confidence.
 
-    Confidence is the lowest similarity of any link that holds the group together.  Every key
-    of a collapsed exact copy is listed; groups of exact copies alone are not near groups.
+    The canonical key is the smallest of its group.  Confidence is the similarity of its text with that of the member
+    that is least like it.  Every key of a collapsed exact copy is listed; groups of exact copies alone are not near
+    groups.
     """
+    share = Fraction(str(threshold)).limit_denominator(1000)
     # Hashes and keys alone find the first of each set of copies; only its text moves.
     hashed = durable(source.select("project", "key", F.sha2("text", 256).alias("text_hash")))
     firsts = hashed.groupBy("project", "text_hash").agg(F.min("key").alias("key"))
     texts = source.select("project", "key", "text").join(firsts, ["project", "key"])
     docs = durable(once(texts, "_words", words_of(F.col("text"))).select(
-        "project", "text_hash", "key", shingles(F.col("_words")).alias("shingles")))
-    edges = durable(near_edges(docs.drop("text_hash"), threshold, hashes, bands))
-    components = connected_components(edges.select("project", F.col("leader").alias("a"), F.col("key").alias("b")))
+        "project", "text_hash", "key", shingles(F.col("_words")).alias("elements")))
+    components = alike_components(docs.drop("text_hash"), (share.numerator, share.denominator))
     roots = components.select("project", F.col("component").alias("key"), "component").distinct()
-    labelled = components.unionByName(roots)
-    confidence = edges.join(labelled, ["project", "key"]).groupBy("project", "component").agg(
-        F.min("similarity").alias("confidence"))
+    labelled = durable(components.unionByName(roots))
+    first = docs.select("project", F.col("key").alias("component"), F.col("elements").alias("_first"))
+    confidence = components.join(docs.drop("text_hash"), ["project", "key"]).join(first, ["project", "component"]).groupBy(
+        "project", "component").agg(F.min(jaccard(F.col("elements"), F.col("_first"))).alias("confidence"))
     copies = hashed.select("project", "text_hash", F.col("key").alias("duplicate_key"))
     grouped = labelled.join(docs.select("project", "key", "text_hash"), ["project", "key"]).select(
         "project", "component", "text_hash")

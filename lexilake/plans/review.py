@@ -13,6 +13,8 @@ from lexilake.operators.merging import (
     flatten_documents, judged_sections, merge_catalogs, merge_findings, merge_summary,
 )
 from lexilake.operators.near import near_duplicates
+from lexilake.operators.rendering import render_documents
+from lexilake.session import durable
 
 
 def suggested_groups(near: DataFrame, model_version: str = "minhash") -> DataFrame:
@@ -37,10 +39,29 @@ def merge_conflicted(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
 
     ``files`` has project, path (unique in its project) and text.
     """
+    return _merged(files)[:3]
+
+
+def _merged(files: DataFrame):
     sections = judged_sections(files)
     torn = sections.filter("conflicted and not malformed and parses").withColumnRenamed("path", "doc")
     merged, conflicts = merge_catalogs(
         flatten_documents(torn, "left", ["project", "doc"]),
         flatten_documents(torn, "right", ["project", "doc"]), ["project", "doc"])
     conflicts = conflicts.withColumnRenamed("doc", "path")
-    return merged, merge_findings(sections, conflicts), merge_summary(sections, conflicts)
+    return merged, merge_findings(sections, conflicts), merge_summary(sections, conflicts), sections, conflicts
+
+
+def repair_documents(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents to rewrite (project, path, text), findings and counts.
+
+    Conflicted documents are merged, all are brought to canonical form, and those that are in it already are left
+    out.  A document that cannot be merged or read stays as it is, with a finding.
+    """
+    merged, found, _, sections, conflicts = _merged(files)
+    plain = sections.filter("not conflicted and parses").withColumnRenamed("path", "doc")
+    nodes = merged.unionByName(flatten_documents(plain, "left", ["project", "doc"]))
+    texts = durable(render_documents(nodes, ["project", "doc"]).withColumnRenamed("doc", "path"))
+    rewritten = durable(texts.join(files.select("project", "path", F.col("text").alias("_was")), ["project", "path"]).filter(
+        F.col("text") != F.col("_was")).drop("_was"))
+    return rewritten, found, merge_summary(sections, conflicts, rewritten)

@@ -10,11 +10,28 @@ from lexilake.functions.hashing import source_hash
 from lexilake.functions.locales import valid_locale
 from lexilake.operators.rows import HASH, INSTANT, resume_state_filter
 from lexilake.schemas import PLACEHOLDERS
+from lexilake.session import durable
 from lexilake.sources.documents import (
     all_values, is_absent, is_integer, is_object, is_string, json_type, members, once, read_documents, strict_json,
 )
+from lexilake.sources.members import DOCUMENT, keyed, of_documents, read_members
 
 PLACEHOLDER_TYPES = ["string", "number", "date"]
+SOURCE_ITEM = "struct<text:string,description:string,placeholders:" + PLACEHOLDERS + ">"
+ENTRY_ITEM = ("struct<text:string,reviewed:boolean,stale:boolean,source_hash:string,provider:string,"
+              "model_version:string,translated_at:string>")
+CACHE_ITEM = "struct<source_hash:string,locale:string,config_hash:string,model_version:string,text:string,cached_at:string>"
+
+
+def _version(v, number):
+    return is_integer(v, "$.version") & (F.try_variant_get(v, "$.version", "double") == number)
+
+
+def judge(docs: DataFrame, items: DataFrame, condition) -> DataFrame:
+    """Documents (see ``of_documents``) with ``good``: well-formed, as ``condition`` asks, and every item fine."""
+    faulty = items.filter(~F.coalesce("item.ok", F.lit(False))).select(*DOCUMENT, F.lit(True).alias("_faulty")).distinct()
+    return durable(docs.join(faulty, DOCUMENT, "left").withColumn(
+        "good", F.col("good") & F.coalesce(condition, F.lit(False)) & F.col("_faulty").isNull()).drop("_faulty"))
 
 
 def _string_or_absent(v, path):
@@ -49,22 +66,35 @@ def parse_source_catalogs(docs: DataFrame, source_locale: str = "en") -> tuple[D
     good = F.coalesce(version & is_object(v, "$.keys") & all_values(members(v, "$.keys"), _good_source_key),
                       F.lit(False))
     judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
-    item = "struct<text:string,description:string,placeholders:" + PLACEHOLDERS + ">"
     rows = judged.filter("good").select(
         "project", F.explode(members(v, "$.keys")).alias("key", "_v")).select(
-        "project", "key", F.try_variant_get("_v", "$", item).alias("_k"))
+        "project", "key", F.try_variant_get("_v", "$", SOURCE_ITEM).alias("_k"))
+    return _source_rows(rows, source_locale), diagnose(judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0010")
+
+
+def _source_rows(rows: DataFrame, source_locale: str) -> DataFrame:
     none = F.create_map().cast(PLACEHOLDERS)
     flat = rows.select(
         "project", F.lit(source_locale).alias("locale"), "key", F.col("_k.text").alias("text"),
         F.col("_k.description").alias("description"),
         F.coalesce("_k.placeholders", none).alias("placeholders"))
-    return flat.withColumn("source_hash", source_hash(
-        F.col("text"), F.col("description"), F.col("placeholders"))), diagnose(
-        judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0010")
+    return flat.withColumn("source_hash", source_hash(F.col("text"), F.col("description"), F.col("placeholders")))
+
+
+def source_members(rows: DataFrame, source_locale: str = "en") -> tuple[DataFrame, DataFrame]:
+    """As ``parse_source_catalogs``, of documents given as their members."""
+    v, item = F.col("v"), F.col("_v")
+    docs = durable(of_documents(rows, version=_version(v, 1), keys=is_object(v, "$.keys")))
+    items = durable(keyed(rows, docs, "keys", F.struct(
+        _good_source_key(item).alias("ok"), F.try_variant_get(item, "$", SOURCE_ITEM).alias("_k"))))
+    judged = judge(docs, items, F.col("version") & F.col("keys"))
+    fine = items.join(judged.filter("good").select(*DOCUMENT), DOCUMENT).select("project", "key", "item._k")
+    return _source_rows(fine, source_locale), diagnose(judged.filter(~F.col("good")), "L10N_E0010")
 
 
 def read_source_catalogs(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return parse_source_catalogs(read_documents(spark, path, **options))
+    """Source catalogs of any size below ``path``, written by ``write_sources`` or as files of one document each."""
+    return source_members(read_members(spark, path, ids=["project", "locale"], **options))
 
 
 def _good_entry(e):
@@ -82,23 +112,38 @@ def parse_translations(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = F.coalesce(version & locale & is_object(v, "$.entries")
                       & all_values(members(v, "$.entries"), _good_entry), F.lit(False))
     judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
-    item = ("struct<text:string,reviewed:boolean,stale:boolean,source_hash:string,provider:string,"
-            "model_version:string,translated_at:string>")
     rows = judged.filter("good").select(
         "project", F.try_variant_get(v, "$.locale", "string").alias("locale"),
         F.explode(members(v, "$.entries")).alias("key", "_v")).select(
-        "project", "locale", "key", F.try_variant_get("_v", "$", item).alias("e"))
+        "project", "locale", "key", F.try_variant_get("_v", "$", ENTRY_ITEM).alias("e"))
+    return _entry_rows(rows), diagnose(judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0011")
+
+
+def _entry_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "project", "locale", "key", "e.text",
         F.coalesce("e.reviewed", F.lit(False)).alias("reviewed"), F.coalesce("e.stale", F.lit(False)).alias("stale"),
         "e.source_hash", "e.provider", "e.model_version",
         F.to_timestamp_ntz(F.regexp_replace("e.translated_at", "Z$", "")).alias("translated_at"),
-        F.col("e.translated_at").alias("translated_at_text")), diagnose(
-        judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0011")
+        F.col("e.translated_at").alias("translated_at_text"))
+
+
+def translation_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``parse_translations``, of documents given as their members."""
+    v, item = F.col("v"), F.col("_v")
+    name = F.try_variant_get(v, "$.locale", "string")
+    docs = durable(of_documents(rows, version=_version(v, 1), entries=is_object(v, "$.entries"), locale=F.when(
+        is_string(v, "$.locale") & valid_locale(name), name)))
+    items = durable(keyed(rows, docs, "entries", F.struct(
+        _good_entry(item).alias("ok"), F.try_variant_get(item, "$", ENTRY_ITEM).alias("e"))))
+    judged = judge(docs, items, F.col("version") & F.col("entries") & F.col("locale").isNotNull())
+    fine = items.join(judged.filter("good").select(*DOCUMENT, "locale"), DOCUMENT).select("project", "locale", "key", "item.e")
+    return _entry_rows(fine), diagnose(judged.filter(~F.col("good")).drop("locale"), "L10N_E0011")
 
 
 def read_translations(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return parse_translations(read_documents(spark, path, **options))
+    """Translation catalogs of any size below ``path``, written by ``write_catalogs`` or as files of one document each."""
+    return translation_members(read_members(spark, path, ids=["project", "locale"], **options))
 
 
 def _good_cache_row(c):
@@ -117,20 +162,41 @@ def parse_cache(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     current = F.coalesce((version == 3) & F.forall(rows, _good_cache_row), F.lit(False))
     state = F.when(current, "current").when(version.isin(1, 2), "legacy").otherwise("broken")
     judged = once(once(docs, "v", strict_json(F.col("text"))), "state", state)
-    item = ("struct<source_hash:string,locale:string,config_hash:string,model_version:string,"
-            "text:string,cached_at:string>")
     flat = judged.filter("state = 'current'").select("project", F.explode(
-        F.from_json("text", f"struct<entries:array<{item}>>")["entries"]).alias("c")).select(
+        F.from_json("text", f"struct<entries:array<{CACHE_ITEM}>>")["entries"]).alias("c"))
+    return _cache_rows(flat), _cache_findings(judged.drop("v", "text"))
+
+
+def _cache_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "project", "c.source_hash", "c.locale", "c.config_hash", "c.model_version", "c.text",
         F.to_timestamp_ntz(F.regexp_replace("c.cached_at", "Z$", "")).alias("cached_at"))
-    rest = judged.drop("v", "text")
-    return flat, union_diagnostics(
-        diagnose(rest.filter("state = 'legacy'"), "L10N_E0086"),
-        diagnose(rest.filter("state = 'broken'"), "L10N_E0060"))
+
+
+def _cache_findings(docs: DataFrame) -> DataFrame:
+    return union_diagnostics(
+        diagnose(docs.filter("state = 'legacy'"), "L10N_E0086"),
+        diagnose(docs.filter("state = 'broken'"), "L10N_E0060"))
+
+
+def cache_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``parse_cache``, of documents given as their members."""
+    v, item = F.col("v"), F.col("_v")
+    is_list = F.coalesce(json_type(v, "$.entries").startswith("ARRAY"), F.lit(False))
+    docs = durable(of_documents(rows, version=F.when(is_integer(v, "$.version"), F.try_variant_get(v, "$.version", "double")), entries=is_list))
+    last = docs.select(*DOCUMENT, F.col("entries_member").alias("member"))
+    items = durable(rows.filter(~is_absent(v, "$.entries")).join(last, [*DOCUMENT, "member"]).select(
+        *DOCUMENT, F.explode(F.try_variant_get(v, "$.entries", "array<variant>")).alias("_v")).select(*DOCUMENT, F.struct(
+            _good_cache_row(item).alias("ok"), F.try_variant_get(item, "$", CACHE_ITEM).alias("c")).alias("item")))
+    judged = judge(docs.withColumn("whole", F.col("good")), items, (F.col("version") == 3) & F.col("entries")).withColumn(
+        "state", F.when(F.col("good"), "current").when(F.col("whole") & F.col("version").isin(1, 2), "legacy").otherwise("broken"))
+    fine = items.join(judged.filter("good").select(*DOCUMENT), DOCUMENT).select("project", "item.c")
+    return _cache_rows(fine), _cache_findings(judged)
 
 
 def read_cache(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return parse_cache(read_documents(spark, path, **options))
+    """Caches of any size, documents of one file each."""
+    return cache_members(read_members(spark, path, **options))
 
 
 STATE_COUNTS = ["completed_translations", "total_translations"]

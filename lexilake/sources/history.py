@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, union_diagnostics
 from lexilake.functions.text import is_blank
 from lexilake.operators.rows import INSTANT
 from lexilake.schemas import HISTORY
+from lexilake.session import durable
 from lexilake.sources.documents import (
-    all_values, is_integer, is_object, is_string, json_type, members, once, read_documents, strict_json,
+    all_values, is_integer, is_object, is_string, json_type, members, once, strict_json,
 )
+from lexilake.sources.catalogs import judge
+from lexilake.sources.members import DOCUMENT, keyed, of_documents, read_blocks, read_members
 
 # The fields each operation carries besides id, actor and ts.
 OP_FIELDS = {
@@ -76,8 +79,23 @@ def document_lines(docs: DataFrame) -> DataFrame:
         "project", "path", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
+def file_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(project, path, line_no, line) of every file below ``path``, each read by as many tasks as it has blocks.
+
+    A line's number is the lines of the blocks before its own, which are counted first, and its place in its block.
+    """
+    rows = read_blocks(spark, path, "\n", **options)
+    counts = rows.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))
+    return rows.withColumn("_place", place).join(starts, ["path", "block"]).select(
+        "project", "path", (F.col("_before") + F.col("_place")).alias("line_no"), F.col("text").alias("line"))
+
+
 def read_history(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return parse_history_lines(document_lines(read_documents(spark, path, **options)))
+    """Logs of any size below ``path``; no file is read whole."""
+    return parse_history_lines(file_lines(spark, path, **options))
 
 
 def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,5 +112,20 @@ def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, diagnose(judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0062")
 
 
+def snapshot_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``parse_snapshots``, of documents given as their members."""
+    v, item = F.col("v"), F.col("_v")
+    version = is_integer(v, "$.version") & (F.try_variant_get(v, "$.version", "double") == 1)
+    docs = durable(of_documents(rows, version=version, files=is_object(v, "$.files")))
+    items = durable(keyed(rows, docs, "files", F.struct(
+        F.schema_of_variant(item).isin("STRING", "VOID").alias("ok"), F.try_variant_get(item, "$", "string").alias("content"))))
+    judged = judge(docs, items, F.col("version") & F.col("files"))
+    history_id = F.regexp_extract("path", r"([^/]*?)(?:\.json)?\z", 1)
+    fine = items.join(judged.filter("good").select(*DOCUMENT), DOCUMENT).select(
+        history_id.alias("history_id"), "project", F.col("key").alias("path"), "item.content")
+    return fine, diagnose(judged.filter(~F.col("good")), "L10N_E0062")
+
+
 def read_snapshots(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    return parse_snapshots(read_documents(spark, path, **options))
+    """Snapshot documents of any size below ``path``."""
+    return snapshot_members(read_members(spark, path, **options))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, explode_findings, finding
+from lexilake.functions.escape import json_string
 from lexilake.functions.keys import CASE_PATTERNS, TRANSFORM_SEPARATORS
 from lexilake.functions.locales import valid_locale
 
@@ -57,11 +58,32 @@ def project_rules(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
     return rules, locales, targets, glossary, bad
 
 
-def config_hashes(rows: DataFrame) -> DataFrame:
-    """Hash of the settings that change a translation: provider, model and glossary."""
-    terms = F.array_join(F.array_sort(F.flatten(F.transform(
-        F.map_entries(F.coalesce("glossary", F.create_map().cast("map<string,map<string,string>>"))),
-        lambda g: F.transform(F.map_entries(g["value"]),
-                              lambda t: F.concat_ws("\u001f", g["key"], t["key"], t["value"]))))), "\u001e")
-    subset = F.concat_ws("\u001d", "provider_type", F.coalesce("model", F.lit("")), terms)
-    return rows.select("project", F.concat(F.lit("sha256:"), F.sha2(subset, 256)).alias("config_hash"))
+def config_hashes(rows: DataFrame, minimum: str | None = None) -> DataFrame:
+    """Hash of the settings that change a translation: provider type, model, glossary and a least provider version.
+
+    It is that of their canonical JSON document.  ``minimum`` is the name that the least
+    version has in the document and its column; without one the document has no such member.  A model that is not set
+    is no member either.
+    """
+    glossary = F.coalesce("glossary", F.create_map().cast("map<string,map<string,string>>"))
+    named = [("type", json_string(F.col("provider_type"))), ("model", json_string(F.col("model"))),
+             ("glossary", stable_map(glossary, lambda terms, indent: stable_map(terms, lambda v, _: json_string(v), indent), 1)),
+             *([(minimum, json_string(F.col(minimum)))] if minimum else [])]
+    return rows.select("project", F.concat(F.lit("sha256:"), F.sha2(F.concat(
+        stable_object(named), F.lit("\n")).cast("binary"), 256)).alias("config_hash"))
+
+
+def stable_object(named: list[tuple[str, Column]]) -> Column:
+    """A JSON object of members that are JSON texts, in order of their names; null members are left out."""
+    lines = [F.when(value.isNotNull(), F.concat(F.lit(f'  "{name}": '), value)) for name, value in sorted(named)]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
+def stable_map(values: Column, render, indent: int) -> Column:
+    """A map as a JSON object in ICU order of its keys; ``render`` makes the text of a value at a depth."""
+    pad = "  " * (indent + 1)
+    entries = F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(
+        F.collate(e["key"], "UNICODE").alias("order"), e["key"].alias("key"), e["value"].alias("value"))))
+    lines = F.transform(entries, lambda e: F.concat(F.lit(pad), json_string(e["key"]), F.lit(": "), render(e["value"], indent + 1)))
+    return F.when(F.size(values) == 0, "{}").otherwise(
+        F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n" + "  " * indent + "}")))

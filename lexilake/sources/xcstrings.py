@@ -10,13 +10,16 @@ from lexilake.functions.keys import reverse_key
 from lexilake.functions.text import contains_plural, unique_placeholders
 from lexilake.functions.tokens import IOS_TOKEN, fill_tokens, ios_arg_numbers, ios_tokens, placeholder_type
 from lexilake.schemas import PLACEHOLDERS
-from lexilake.sources.documents import is_object, is_string, once, read_documents, strict_json
+from lexilake.session import durable
+from lexilake.sources.documents import is_object, is_string, once, strict_json
+from lexilake.sources.members import DOCUMENT, keyed, of_documents, read_members
 
 LOCALIZATION = (
     "struct<stringUnit:struct<state:string,value:string>,substitutions:map<string,struct<argNum:int,"
     "formatSpecifier:string,variations:map<string,string>>>,variations:map<string,string>>"
 )
-STRINGS = f"struct<strings:map<string,struct<comment:string,localizations:map<string,{LOCALIZATION}>>>>"
+ENTRY = f"struct<comment:string,localizations:map<string,{LOCALIZATION}>>"
+STRINGS = f"struct<strings:map<string,{ENTRY}>>"
 
 
 def _has(variations, name):
@@ -43,8 +46,38 @@ def parse_xcstrings(docs: DataFrame, key_transform: str = "identity") -> tuple[D
 
     good = F.coalesce(filled("$.sourceLanguage") & filled("$.version") & is_object(v, "$.strings"), F.lit(False))
     judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
-    entries = judged.filter("good").select(
-        "project", "path", F.explode(F.from_json("text", STRINGS)["strings"]).alias("_key", "_entry")).select(
+    strings = judged.filter("good").select(
+        "project", "path", F.explode(F.from_json("text", STRINGS)["strings"]).alias("_key", "_entry"))
+    return _platform_rows(strings, judged.filter(~F.col("good")).drop("v", "text"), key_transform)
+
+
+def xcstrings_members(rows: DataFrame, key_transform: str = "identity") -> tuple[DataFrame, DataFrame]:
+    """As ``parse_xcstrings``, of documents given as their members."""
+    v = F.col("v")
+
+    def filled(path):
+        return is_string(v, path) & (F.length(F.try_variant_get(v, path, "string")) > 0)
+
+    docs = durable(of_documents(
+        rows, sourceLanguage=filled("$.sourceLanguage"), version=filled("$.version"), strings=is_object(v, "$.strings")))
+    judged = durable(docs.withColumn("good", F.col("good") & F.coalesce(
+        F.col("sourceLanguage") & F.col("version") & F.col("strings"), F.lit(False))))
+    one = f"struct<e:{ENTRY}>"
+    items = durable(keyed(rows, docs, "strings", F.from_json(F.concat(F.lit('{"e":'), F.to_json("_v"), F.lit("}")), one)["e"]))
+    strings = items.join(judged.filter("good").select(*DOCUMENT), DOCUMENT).select(
+        "project", "path", F.col("key").alias("_key"), F.col("item").alias("_entry"))
+    return _platform_rows(strings, judged.filter(~F.col("good")), key_transform)
+
+
+def xcstrings_versions(rows: DataFrame) -> DataFrame:
+    """(project, platform, version) of documents given as their members: the highest version a project has."""
+    docs = of_documents(rows, version=F.try_variant_get("v", "$.version", "string"))
+    return docs.filter("good").groupBy("project").agg(F.max("version").alias("version")).select(
+        "project", F.lit("ios").alias("platform"), "version")
+
+
+def _platform_rows(strings: DataFrame, bad: DataFrame, key_transform: str) -> tuple[DataFrame, DataFrame]:
+    entries = strings.select(
         "project", "path", reverse_key(F.col("_key"), key_transform).alias("key"),
         F.col("_entry.comment").alias("comment"), F.explode("_entry.localizations").alias("locale", "_l"))
     value, subs = F.col("_l.stringUnit.value"), F.col("_subs")
@@ -80,11 +113,12 @@ def parse_xcstrings(docs: DataFrame, key_transform: str = "identity") -> tuple[D
         F.nullif("comment", F.lit("")).alias("comment"),
         unique_placeholders(F.col("_text"), F.col("_types")).alias("placeholders"))
     return rows, union_diagnostics(
-        diagnose(judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0031"),
+        diagnose(bad, "L10N_E0031"),
         shape(read.filter(F.col("_error").isNotNull()).select(
             "project", "path", "locale", "key", F.col("_error").alias("code"), F.lit("error").alias("level"))))
 
 
 def ingest_xcstrings(spark: SparkSession, path: str, key_transform: str = "identity",
                      **options) -> tuple[DataFrame, DataFrame]:
-    return parse_xcstrings(read_documents(spark, path, **options), key_transform)
+    """String catalogs of any size below ``path``."""
+    return xcstrings_members(read_members(spark, path, **options), key_transform)

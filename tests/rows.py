@@ -38,3 +38,8 @@ def configs(spark, project=0):
 
 def empty(spark, schema):
     return spark.createDataFrame([], schema)
+
+
+def texts(spark, *values):
+    """Documents numbered by path."""
+    return spark.createDataFrame([(0, str(i), v) for i, v in enumerate(values)], "project int, path string, text string")

@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from lexilake.operators import near, ranking, renaming
+import pytest
+
+from lexilake.operators import near, ranking, renaming, similarity_join
 from lexilake.operators.dedupe import exact_duplicates
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -124,21 +126,33 @@ def test_near_duplicates_against_all_pairs(spark):
     df = spark.createDataFrame([(0, k, v) for k, v in texts.items()], "project int, key string, text string").repartition(7)
     got = {(r.canonical_key, r.duplicate_key): r.confidence for r in near.near_duplicates(df, 0.7).collect()}
     assert set(got) == want
-    assert all(0.7 <= c <= 1 for c in got.values())
-
-
-def test_members_that_fail_one_leader_find_the_next(spark):
-    """Two families in one bucket: the second elects its own leader."""
-    docs = spark.createDataFrame([(0, k, s) for k, s in [
-        ("a", [1, 2, 3, 4]), ("b", [1, 2, 3, 4, 5]), ("c", [9, 8, 7, 6]), ("d", [9, 8, 7, 6, 5])]],
-        "project int, key string, shingles array<bigint>")
-    original = near._minhash_buckets
-    near._minhash_buckets = lambda d, h, b: d.select("project", "key", F.lit(1).cast("bigint").alias("bucket"))
-    try:
-        edges = near.near_edges(docs, 0.7, 32, 8).collect()
-    finally:
-        near._minhash_buckets = original
-    assert {(e.leader, e.key) for e in edges} == {("a", "b"), ("c", "d")}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    least = {r: min(like(r, k) for k in texts if root[k] == r) for r, _ in want}
+    assert got == {(r, k): pytest.approx(least[r]) for r, k in want}
+
+
+@pytest.mark.parametrize("listed,block", [(64, 256), (3, 4)])
+def test_set_join_is_exact(spark, monkeypatch, listed, block):
+    """Chains, families around one text, sets alike through a common passage and below, in two projects."""
+    monkeypatch.setattr(similarity_join, "LISTED", listed)
+    monkeypatch.setattr(similarity_join, "BLOCK", block)
+    rng = random.Random(7)
+    sets = {"a": {1, 2, 3, 4, 5, 6, 7, 8, 9, 10}, "b": {1, 2, 3, 4, 5, 6, 7, 8, 9, 11}, "c": {1, 2, 3, 4, 5, 6, 7, 8, 12, 11}, "e": set()}
+    passage = list(range(100, 140))
+    for i in range(80):
+        sets[f"p{i:02}"] = {*passage, *rng.sample(range(1000, 9000), rng.choice([12, 16, 18, 22]))}
+    for i in range(20):
+        sets[f"q{i:02}"] = {*list(sets[f"p{i:02}"])[:-2], 20000 + i}
+    for i in range(120):
+        sets[f"r{i:03}"] = set(rng.sample(range(40), rng.randint(1, 14)))
+    for share in ((7, 10), (4, 5), (1, 2)):
+        links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2)
+                 if sets[a] & sets[b] and share[1] * len(sets[a] & sets[b]) >= share[0] * len(sets[a] | sets[b])]
+        want = {(p, k, r) for p in (0, 1) for k, r in components(sets, links).items() if k != r}
+        df = spark.createDataFrame([(p, k, sorted(s)) for p in (0, 1) for k, s in sets.items()], "project int, key string, elements array<bigint>")
+        got = similarity_join.alike_components(df.repartition(5), share)
+        assert {(r.project, r.key, r.component) for r in got.collect()} == want
+    assert similarity_join.alike_components(df.limit(0), (1, 2)).count() == 0
 
 
 def test_components_of_chains_and_stars(spark):
