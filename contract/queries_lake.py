@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from contract.queries_formats import _stream
 from contract.registry import query
+from contract.views import Lake
 from lexilake.functions.escape import json_string
 from lexilake.operators import history_entries, restoring
 from lexilake.session import shared_path
@@ -12,6 +14,7 @@ from lexilake.sinks import catalogs as sink
 from lexilake.sinks import snapshots
 from lexilake.sinks.documents import write_files
 from lexilake.sources import catalogs, history
+from lexilake.streaming import watch
 from lexilake.schemas import CACHE, HISTORY
 
 ENTRY_COLUMNS = "project, locale, key, text, reviewed, stale, source_hash, provider, model_version, translated_at"
@@ -184,3 +187,43 @@ def snapshot_blobs(lake):
 def snapshot_restore(lake):
     path, now = _snapshots(lake)
     return snapshots.restore_plan(lake.spark, path, "h1", now)
+
+
+# --- streams ---------------------------------------------------------------------------------
+@query("stalled_by_timer", """
+  SELECT project, min(seen) AS started_at, max(seen) + INTERVAL 10 MINUTE AS stalled_at, count(*) AS reports FROM (
+    SELECT project, seen, sum(fresh) OVER (PARTITION BY project ORDER BY seen ROWS UNBOUNDED PRECEDING) AS run FROM (
+      SELECT project, updated_at AS seen, CASE WHEN updated_at > lag(updated_at) OVER (
+        PARTITION BY project ORDER BY updated_at) + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS fresh FROM v_states))
+  GROUP BY project, run
+  HAVING max(seen) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stalled_by_timer(lake):
+    """Runs that stopped reporting, each by the timer of its state."""
+    home = shared_path(lake.spark, "stream")
+    stream = watch.watch_runs(Lake.states_of(_stream(lake, "events")))
+    watch.start_with_state(lake.spark, lambda: stream.writeStream.foreachBatch(
+        lambda rows, i: rows.write.mode("overwrite").parquet(f"{home}/rows/batch={i}")).option(
+        "checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()).awaitTermination()
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return lake.spark.read.schema(watch.STALLED).parquet(f"{home}/rows").select("project", at("started_at"), at("stalled_at"), "reports")
+
+
+@query("entries_upsert_stream", """
+  SELECT project, locale, key, text FROM v_entries e WHERE NOT EXISTS (
+    FROM v_parts p WHERE p.pk % 3 = 0 AND p.pk % 4 = e.project AND e.locale = 'de' AND p.key = e.key)
+  UNION ALL SELECT (pk % 4)::INT, 'de', key, 'new: ' || text FROM v_parts WHERE pk % 3 = 0""")
+def entries_upsert_stream(lake):
+    """New entries as a stream into the table of all; then its first batch once more, with other texts, which changes nothing."""
+    home = shared_path(lake.spark, "entries")
+    lake.entries.drop("pk").write.partitionBy("project", "locale").parquet(f"{home}/table")
+
+    def entries_of(parts):
+        return parts.filter(F.col("pk") % 3 == 0).select(
+            (F.col("pk") % 4).cast("int").alias("project"), F.lit("de").alias("locale"), "key", F.concat(F.lit("new: "), "text").alias("text"),
+            F.lit(False).alias("reviewed"), F.lit(False).alias("stale"), "source_hash", F.lit("stream").alias("provider"),
+            F.lit("m").alias("model_version"), F.expr("timestamp_ntz'2024-05-01 12:34:56'").alias("translated_at"))
+
+    watch.upsert_stream(entries_of(Lake.parts_of(_stream(lake, "part"))), f"{home}/table", f"{home}/checkpoint").awaitTermination()
+    replayed = entries_of(lake.parts).withColumn("text", F.lit("replayed"))
+    watch.upsert_into(lake.spark, f"{home}/table", replayed, 0)
+    return lake.spark.read.parquet(f"{home}/table").select("project", "locale", "key", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from functools import cached_property
 
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from lexilake.plans import audit as audit_plan
 from lexilake.plans import rename as rename_plan
 from lexilake.plans import review
 from lexilake.plans import sync as sync_plan
+from lexilake.providers import PLATFORM_FORMATS
 from lexilake.session import shared_path
 from lexilake.sinks import platforms as native
 from lexilake.sinks import reports
@@ -28,6 +30,9 @@ from lexilake.sources.rules import config_hashes
 from lexilake.sources.xcstrings import xcstrings_versions
 
 
+CACHE_COLUMNS = ["project", "source_hash", "locale", "config_hash", "model_version", "text", "cached_at"]
+
+
 # --- a lake with open and blocked projects ---------------------------------------------------
 class OpenLake(Lake):
     """All of the lake, whose projects their findings block, and each project once more, ten higher and without rules.
@@ -171,7 +176,7 @@ SYNC_VIEWS = {
 def apply_sync(lake):
     """All that a run leaves: entries, cache, archive, removed, history and findings, of open and of blocked projects."""
     lake = OpenLake(lake)
-    c = lake.catalog
+    c = dataclasses.replace(lake.catalog, entries=lake.entries.drop("pk"), cache=lake.cache.select(*CACHE_COLUMNS))
     tasks = plan_sync(c.source, audit.configured(c.entries, c.locales), c.locales, c.cache, c.configs)
     done = sync_plan.apply_sync(c, task_responses(lake, tasks), "recorded", now())
     blocked = has_errors(done.diagnostics.filter("code NOT IN ('L10N_E0053', 'L10N_E0081') AND project < 10")).filter("not ok")
@@ -195,10 +200,10 @@ def apply_sync(lake):
 
 # --- renaming one key ------------------------------------------------------------------------
 @query("rename_one", """
-  WITH k AS (SELECT min(key) AS f FROM v_source WHERE pk % 5 = 1)
-  SELECT 'entry' AS kind, project, locale, CASE WHEN project = 11 AND key = f THEN 'renamed.key' ELSE key END AS key, text FROM v_entries, k
-  UNION ALL SELECT 'source', project, locale, CASE WHEN project = 11 AND key = f THEN 'renamed.key' ELSE key END, text FROM v_source, k
-  UNION ALL SELECT 'blocked', 1, NULL, 'L10N_E0069', NULL UNION ALL SELECT 'blocked', 12, NULL, 'L10N_E0069', NULL""", **OPEN_VIEWS)
+  SELECT 'entry' AS kind, project, locale, CASE WHEN project = 11 AND key = f THEN 'renamed.key' ELSE key END AS key, text FROM v_entries, x_first_key
+  UNION ALL SELECT 'source', project, locale, CASE WHEN project = 11 AND key = f THEN 'renamed.key' ELSE key END, text FROM v_source, x_first_key
+  UNION ALL SELECT 'blocked', 1, NULL, 'L10N_E0069', NULL UNION ALL SELECT 'blocked', 12, NULL, 'L10N_E0069', NULL""",
+       **OPEN_VIEWS, x_first_key="SELECT min(key) AS f FROM v_source WHERE pk % 5 = 1")
 def rename_one(lake):
     """One key of a project without errors is renamed; a key of one with errors, and one to a name that is taken, are not."""
     lake = OpenLake(lake)
@@ -234,13 +239,13 @@ def diagnostics_report(lake):
         f"{f.name} {f.dataType.simpleString()}" for f in found.schema)).json(path).withColumn("file", F.col("_metadata.file_name"))
     files = rows.groupBy("file").agg(F.min("position").alias("low"), F.max("position").alias("high")).agg(
         F.array_sort(F.collect_list(F.struct("file", "low", "high"))).alias("f"))
-    sorted_files = files.select(F.forall(F.zip_with(
+    in_order = files.select(F.forall(F.zip_with(
         F.slice("f", 1, F.size("f") - 1), F.slice("f", 2, F.size("f")), lambda a, b: b["low"].isNull() | (a["high"] < b["low"])),
-        lambda x: F.coalesce(x, F.lit(True))).alias("in_order"))
+        lambda x: F.coalesce(x, F.lit(True)))).first()[0]
     details = F.array_join(F.array_sort(F.transform(F.map_entries("details"), lambda e: F.concat(
         e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), ";")
-    return rows.crossJoin(F.broadcast(sorted_files)).select(
-        "position", "project", "code", "locale", "key", F.coalesce(details, F.lit("")).alias("details"), "in_order")
+    return rows.select("position", "project", "code", "locale", "key", F.coalesce(details, F.lit("")).alias("details"),
+                       F.lit(in_order).alias("in_order"))
 
 
 @query("check_totals", """
@@ -263,7 +268,7 @@ def coverage_report(lake):
     return report["locales"].select(F.lit("locales").alias("part"), "project", F.col("locale").alias("name"), n("total_entries")).unionByName(
         report["requests"].select(F.lit("requests").alias("part"), "project", F.lit(None).cast("string").alias("name"), n("requests"))).unionByName(
         lake.history.groupBy("project").agg(F.max("id").alias("name")).join(report["history"], "project").select(
-            F.lit("history").alias("part"), "project", "name", n("entry_count"))).unionByName(
+            F.lit("history").alias("part"), "project", "name", n("entries"))).unionByName(
         report["platforms"].select(F.lit("platforms").alias("part"), "project", F.col("platform").alias("name"), n("key_count")))
 
 
@@ -291,17 +296,48 @@ def inventory_versions(lake):
     return platform_inventory(lake.platform_entries, lake.locales, versions).drop("locales")
 
 
+PLURAL = "regexp_matches({0}, '\\{{\\s*[\\w.-]+\\s*,\\s*plural\\s*,')"
+
+
+@query("import_files", f"""
+  SELECT kind, project, locale, key, text, NULL::BIGINT AS n FROM x_imported
+  UNION ALL SELECT 'source', project, locale, key, text, NULL FROM x_plain WHERE locale = 'en'
+  UNION ALL SELECT 'report', t.project, t.locale, NULL, NULL, count(i.key) FROM v_targets t
+    LEFT JOIN x_imported i ON i.project = t.project AND i.locale = t.locale AND i.kind = 'entry' GROUP BY ALL""",
+       x_plain=f"SELECT * FROM v_platform WHERE NOT {PLURAL.format('text')}",
+       x_imported=f"""
+  SELECT CASE WHEN {parity('s.text', 'p.text')} THEN 'entry' ELSE 'L10N_E0041' END AS kind, p.project, p.locale, p.key, p.text
+  FROM x_plain p SEMI JOIN v_targets USING (project, locale)
+  JOIN (SELECT project, key, text FROM x_plain WHERE locale = 'en') s ON s.project = p.project AND s.key = p.key
+  WHERE NOT {blank('p.text')}""")
+def import_files(lake):
+    """What platforms hold, written as one string catalog a project, read from those files and taken over."""
+    platform = lake.platform_entries.drop("pk").withColumn("platform", F.lit("ios"))
+    path = shared_path(lake.spark, "native")
+    form = PLATFORM_FORMATS["ios_xcstrings"]
+    write_files(form.export(platform, "L.xcstrings").select("project", "section", "sort_key", "fragment"), ["project"], path)
+    done = sync_plan.import_files(lake.spark, path, "ios_xcstrings", lake.locales, now(), project_pattern=r"/project=(\d+)/")
+    none, n = F.lit(None).cast("string"), F.lit(None).cast("bigint").alias("n")
+    texts = platform.select("project", "locale", "key", "text")
+    columns = ["project", "locale", "key", "text"]
+    mismatch = done.diagnostics.filter("code = 'L10N_E0041'").select("project", "locale", "key", F.col("code").alias("kind")).join(
+        texts, ["project", "locale", "key"])
+    return done.entries.select(F.lit("entry").alias("kind"), *columns, n).unionByName(
+        done.source.select(F.lit("source").alias("kind"), *columns, n)).unionByName(mismatch.select("kind", *columns, n)).unionByName(
+        done.report.select(F.lit("report").alias("kind"), "project", "locale", none.alias("key"), none.alias("text"), F.col("imported").alias("n")))
+
+
 # --- hashes ----------------------------------------------------------------------------------
 @query("config_hashes", r"""
   SELECT c_custkey::INT AS project, 'sha256:' || sha256('{' || chr(10) || '  "glossary": ' || CASE WHEN c_custkey % 3 = 0 THEN '{}' ELSE
-      '{' || chr(10) || '    "a' || c_name || '": {' || chr(10) || '      "de": "' || c_phone || '",' || chr(10) || '      "fr": "x\"y"' || chr(10)
+      '{' || chr(10) || '    "a' || c_name || '": {' || chr(10) || '      "de": "' || c_mktsegment || '",' || chr(10) || '      "fr": "x\"y"' || chr(10)
       || '    },' || chr(10) || '    "b": {}' || chr(10) || '  }' END || ',' || chr(10)
     || CASE WHEN c_custkey % 2 = 0 THEN '  "model": "m' || c_nationkey || '",' || chr(10) ELSE '' END
     || '  "type": "' || c_mktsegment || '"' || chr(10) || '}' || chr(10)) AS config_hash FROM customer""")
 def config_hashes_query(lake):
     """A configuration for each customer: terms of a glossary, perhaps a model."""
     terms = F.map_from_arrays(F.array(F.lit("b"), F.concat(F.lit("a"), "c_name")), F.array(
-        F.create_map().cast("map<string,string>"), F.create_map(F.lit("fr"), F.lit('x"y'), F.lit("de"), F.col("c_phone"))))
+        F.create_map().cast("map<string,string>"), F.create_map(F.lit("fr"), F.lit('x"y'), F.lit("de"), F.col("c_mktsegment"))))
     rows = lake.table("customer").select(
         F.col("c_custkey").cast("int").alias("project"), F.col("c_mktsegment").alias("provider_type"),
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("m"), F.col("c_nationkey").cast("string"))).alias("model"),

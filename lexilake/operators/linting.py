@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexilake.diagnostics import diagnose, explode_findings, finding
 from lexilake.functions.keys import first_forbidden_prefix, key_matches_case, split_key
 from lexilake.functions.text import contains_plural, contains_term, is_blank, letter_runs
+from lexilake.session import durable
 
 RENAMEABLE = ["L10N_E0020", "L10N_E0021", "L10N_E0022", "L10N_E0023"]
 
@@ -44,29 +45,35 @@ def rename_candidates(diags: DataFrame, source: DataFrame) -> DataFrame:
     return per_key.join(source.select("project", "key", "text", "description"), ["project", "key"])
 
 
-def _anchor(term):
-    """A piece every text containing the term must hold as a whole: its first letter run.
+def _pieces(term):
+    """Pieces that every text containing the term must hold as a whole: its letter runs.
 
     Letters may not touch the term, so each letter run inside it is a full run of the text.
-    Terms without letters anchor on their first character, blank terms on the empty string.
+    Terms without letters have their first character, blank terms the empty string.
     """
-    run = F.regexp_extract(term, r"(\p{L}+)", 1)
-    return F.when(is_blank(term), F.lit("")).when(run != "", run).otherwise(F.substring(term, 1, 1))
+    runs = letter_runs(term)
+    return F.when(is_blank(term), F.array(F.lit(""))).when(F.size(runs) > 0, runs).otherwise(F.array(F.substring(term, 1, 1)))
 
 
 def lint_glossary(source: DataFrame, entries: DataFrame, glossary: DataFrame) -> DataFrame:
     """Translations that lose a glossary term their source text contains.
 
-    Texts meet terms through an equi-join on anchors instead of a nested loop; the exact
-    whole-word test runs on the few pairs that share one.
+    Texts meet terms through an equi-join on anchors instead of a nested loop: of a term's pieces the one that the
+    fewest texts hold.  Only keys and pieces are listed; texts join the few pairs that meet, for the whole-word test.
     """
-    terms = glossary.filter(F.length("target_term") > 0).withColumn("_anchor", _anchor(F.col("source_term")))
-    wanted = terms.select("project", "source_term", "_anchor").distinct()
+    terms = glossary.filter(F.length("target_term") > 0)
+    wanted = terms.select("project", "source_term").distinct().select(
+        "project", "source_term", F.explode(_pieces(F.col("source_term"))).alias("piece"))
     # Single non-letters are anchors of letterless terms only.
     symbols = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\P{L})"), F.lit(1)))
-    anchors = F.concat(letter_runs(F.col("text")), symbols, F.array(F.lit("")))
-    texts = source.select("project", "key", "text", F.explode(anchors).alias("_anchor"))
-    used = texts.join(wanted, ["project", "_anchor"]).filter(
+    held = source.select("project", "key", F.explode(F.concat(letter_runs(F.col("text")), symbols, F.array(F.lit("")))).alias("piece"))
+    hits = durable(held.join(wanted.select("project", "piece").distinct(), ["project", "piece"], "left_semi"))
+    counts = hits.groupBy("project", "piece").agg(F.count(F.lit(1)).alias("n"))
+    # A term with a piece that no text holds is in none.
+    anchors = wanted.join(counts, ["project", "piece"], "left").groupBy("project", "source_term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("a")).filter("a.n > 0").select(
+        "project", "source_term", F.col("a.piece").alias("piece"))
+    used = hits.join(anchors, ["project", "piece"]).join(source.select("project", "key", "text"), ["project", "key"]).filter(
         contains_term(F.col("text"), F.col("source_term"))).select("project", "key", "source_term")
     expected = used.join(
         terms.select("project", "source_term", "locale", "target_term"), ["project", "source_term"])

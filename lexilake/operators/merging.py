@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexilake.diagnostics import diagnose, union_diagnostics
 from lexilake.operators.rendering import expand_objects, leaf_json
 from lexilake.session import durable
-from lexilake.sources.documents import strict_json
+from lexilake.sources.documents import strict_json, take_repeated_members
 
 # One conflict block: an opening line, a line of seven equal signs, a closing line.
 _BLOCK = r"(?md)^<<<<<<< [^\n]*\n([\s\S]*?)^=======\n([\s\S]*?)^>>>>>>> [^\n]*(?:\n|\z)"
@@ -38,6 +38,7 @@ def conflict_sections(files: DataFrame) -> DataFrame:
 
 def judged_sections(files: DataFrame) -> DataFrame:
     """:func:`conflict_sections` with ``parses`` (both sides are JSON), stored once for all its readers."""
+    take_repeated_members(files.sparkSession)
     sections = durable(conflict_sections(files).drop("text"))
     parses = strict_json(F.col("left")).isNotNull() & strict_json(F.col("right")).isNotNull()
     return durable(sections.withColumn("parses", F.coalesce(parses, F.lit(False))))

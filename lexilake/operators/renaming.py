@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, shape, union_diagnostics
 from lexilake.operators.linting import lint_keys, renameable
-from lexilake.session import durable
+from lexilake.session import durable, forget
 
 
 def rename_key(df: DataFrame, project: int, from_: str, to: str) -> DataFrame:
@@ -80,33 +80,61 @@ _TOKEN_CHARACTERS = "A-Za-z0-9_.-"
 _SEGMENT = 1024
 
 
-def _plan_shape(renames: DataFrame) -> tuple[str, int, int]:
-    """Characters of the keys to replace and their least and greatest length."""
+# Keys are found by substrings of one of these lengths: of each key the longest that it holds.
+_GRAMS = (1, 2, 4, 8)
+
+
+def _gram_size(text) -> F.Column:
+    """The length of the substrings that a key is found by."""
+    size = F.lit(_GRAMS[0])
+    for n in _GRAMS[1:]:
+        size = F.when(F.length(text) >= n, n).otherwise(size)
+    return size
+
+
+def _plan_shape(renames: DataFrame) -> tuple[str, int, int, list[int]]:
+    """Characters of the keys to replace, their least and greatest length, and the lengths of their substrings."""
     row = renames.select("from_key", F.explode(F.array_distinct(F.split("from_key", ""))).alias("c")).agg(
         F.collect_set("c").alias("chars"), F.min(F.length("from_key")).alias("least"),
-        F.max(F.length("from_key")).alias("most")).first()
-    return "".join(f"\\x{{{ord(c):x}}}" for c in sorted(row["chars"]) if c), row["least"] or 0, row["most"] or 0
+        F.max(F.length("from_key")).alias("most"), F.collect_set(_gram_size("from_key")).alias("sizes")).first()
+    return ("".join(f"\\x{{{ord(c):x}}}" for c in sorted(row["chars"]) if c), row["least"] or 0, row["most"] or 0,
+            sorted(row["sizes"]))
+
+
+def _grams_of(text, size: int) -> F.Column:
+    """The distinct substrings of a length, cut in one pass of an expression."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def _keys_inside(runs: DataFrame, renames: DataFrame, least: int, most: int) -> DataFrame:
+def _keys_inside(runs: DataFrame, renames: DataFrame, least: int, most: int, sizes: list[int]) -> DataFrame:
     """(project, run_id, from_key): the keys that occur anywhere in each run.
 
-    Every key is anchored on its first ``least`` characters.  Each position of a run gives one row, with the
-    anchor that would start there and the characters after it, whatever the lengths in the plan; rows meet
-    keys on the anchor, and the whole key is compared then.
+    Runs are cut into segments that overlap by the longest key.  Of all substrings of a key of its length class the
+    one that the fewest segments hold is its anchor; segments meet keys on anchors alone, and what meets is compared
+    as a whole.  So a short key among many long ones costs a row for each segment that holds it and nothing else, and
+    a beginning that all keys share is nobody's anchor.  A key with a substring that no segment holds is nowhere.
     """
-    width = F.length("run")
     # One pass of an expression cuts a run; taking substrings by position would scan it again for each.
     piece = F.lit(f"(?s)(.{{1,{_SEGMENT}}})(?=(.{{0,{most - 1}}}))")
     own, ahead = (F.regexp_extract_all("run", piece, F.lit(group)) for group in (1, 2))
-    segments = F.zip_with(own, ahead, lambda a, b: F.concat(a, b))
-    segment = runs.filter(width >= least).select("project", "run_id", F.explode(segments).alias("segment"))
-    starts = F.sequence(F.lit(1), F.least(F.lit(_SEGMENT), F.length("segment") - least + 1))
-    windows = segment.filter(F.length("segment") >= least).select("project", "run_id", F.explode(F.array_distinct(F.transform(
-        starts, lambda i: F.substring(F.col("segment"), i, F.lit(most))))).alias("window"))
-    keys = renames.select("project", "from_key", F.substring("from_key", 1, least).alias("anchor"))
-    return windows.withColumn("anchor", F.substring("window", 1, least)).join(keys, ["project", "anchor"]).filter(
-        F.startswith("window", "from_key")).select("project", "run_id", "from_key").distinct()
+    segments = durable(runs.filter(F.length("run") >= least).select("project", "run_id", F.posexplode(
+        F.zip_with(own, ahead, lambda a, b: F.concat(a, b))).alias("at", "segment")).filter(F.length("segment") >= least))
+    size = _gram_size("from_key")
+    of_keys = F.lit(None).cast("array<string>")
+    for n in sizes:
+        of_keys = F.when(size == n, _grams_of(F.col("from_key"), n)).otherwise(of_keys)
+    keyed = durable(renames.select("project", "from_key", F.explode(of_keys).alias("gram")))
+    held = segments.select("project", "run_id", "at", F.explode(F.concat(*[_grams_of(F.col("segment"), n) for n in sizes])).alias("gram"))
+    hits = durable(held.join(keyed.select("project", "gram").distinct(), ["project", "gram"], "left_semi"))
+    counts = hits.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = keyed.join(counts, ["project", "gram"], "left").groupBy("project", "from_key").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).filter("a.n > 0").select(
+        "project", "from_key", F.col("a.gram").alias("gram"))
+    met = hits.join(anchors, ["project", "gram"]).select("project", "run_id", "at", "from_key")
+    found = durable(met.join(segments, ["project", "run_id", "at"]).filter(F.contains("segment", F.col("from_key"))).select(
+        "project", "run_id", "from_key").distinct())
+    forget(segments, keyed, hits)
+    return found
 
 
 def _rewrite_run(run, matches):
@@ -139,13 +167,13 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
     number of replacements.
 
     A key can only occur inside an unbroken run of characters that keys are made of, so the
-    work is done once per distinct run of the corpus: its positions meet the plan in an
-    equi-join on the start of a key.  Neither the plan nor the corpus passes through the driver or a
+    work is done once per distinct run of the corpus: its segments meet the plan in an
+    equi-join on the rarest part of a key.  Neither the plan nor the corpus passes through the driver or a
     broadcast.  ``corpus`` has project, path (unique in its project) and text.
     """
     renames = durable(planned_renames(plan).filter(F.length("from_key") > 0).groupBy("project", "from_key").agg(
         F.max("to_key").alias("to_key")))
-    characters, least, most = _plan_shape(renames)
+    characters, least, most, sizes = _plan_shape(renames)
     texts = corpus.filter(~F.contains("text", F.lit("\x00")))
     if not least:
         return texts.limit(0).withColumn("replacements", F.lit(0).cast("bigint"))
@@ -159,7 +187,7 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
     if whole_token:
         parts = runs.select("project", "run_id", F.col("run").alias("from_key"))
     else:
-        parts = _keys_inside(runs, renames, least, most)
+        parts = _keys_inside(runs, renames, least, most, sizes)
     longest_first = F.array_sort(F.collect_list(F.struct(
         (-F.length("from_key")).alias("_size"), "from_key", "to_key")))
     rewritten = (

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexilake.diagnostics import has_errors, union_diagnostics
-from lexilake.operators.audit import (
-    check_entries, check_missing, check_orphans, configured, expected_platform, platform_drift,
-)
+from lexilake.diagnostics import has_errors, shape, union_diagnostics
+from lexilake.operators.audit import audit_keys, missing_platforms
 from lexilake.operators.coverage import locale_coverage, platform_inventory
 from lexilake.operators.linting import lint_glossary, lint_keys
 from lexilake.operators.planning import estimate_requests, plan_summary, plan_sync, status_summary
@@ -17,17 +15,15 @@ from lexilake.plans.catalog import Catalog
 
 
 def audit_catalog(c: Catalog) -> DataFrame:
-    """Every finding of a full check: keys, missing, stale, placeholders, orphans, platform drift."""
-    entries = configured(c.entries, c.locales)
+    """Every finding of a full check: of readers, keys, missing, stale, placeholders, orphans, platforms and their drift."""
     parts = [
         lint_keys(c.source, c.rules),
-        check_missing(c.source, entries, c.locales),
-        check_entries(c.source, entries),
-        check_orphans(entries, c.source),
+        audit_keys(c.source, c.entries, c.locales, c.platforms, c.platform_entries, c.source_locale),
     ]
-    if c.platform_entries is not None:
-        expected = expected_platform(c.source, entries, c.platforms, c.source_locale)
-        parts.append(platform_drift(expected, c.platform_entries))
+    if c.reader_findings is not None:
+        parts.append(shape(c.reader_findings))
+    if c.platforms is not None and c.resources is not None:
+        parts.append(missing_platforms(c.platforms, c.resources))
     return union_diagnostics(*parts)
 
 

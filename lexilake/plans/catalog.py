@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Catalog:
-    """The tables of a lake of projects; every one has a ``project`` column."""
+    """The tables of a lake of projects; every one has a ``project`` column.
+
+    ``reader_findings`` are those of the readers that made the tables, which audits repeat and runs heed;
+    ``resources`` (project, platform) are the platforms whose files are there.
+    """
 
     source: DataFrame
     entries: DataFrame
@@ -22,4 +26,6 @@ class Catalog:
     platform_entries: DataFrame | None = None
     history: DataFrame | None = None
     state: DataFrame | None = None
+    reader_findings: DataFrame | None = None
+    resources: DataFrame | None = None
     source_locale: str = "en"

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.diagnostics import diagnose, has_errors, union_diagnostics
+from lexilake.diagnostics import diagnose, has_errors, shape, union_diagnostics
 from lexilake.operators.applying import apply_responses, import_catalog, upsert_entries
 from lexilake.operators.audit import archived_warnings, configured, orphaned_reviewed, sync_gate
 from lexilake.operators.cache import gc_cache, upsert_cache
+from lexilake.operators.coverage import import_report
 from lexilake.operators.linting import lint_keys
 from lexilake.operators.planning import plan_summary, plan_sync
 from lexilake.operators.restoring import restore_as_of
 from lexilake.operators.rows import live_entries, refresh_stale_flags, removed_entries, snapshot_path_guard
 from lexilake.plans.catalog import Catalog
+from lexilake.providers import PLATFORM_FORMATS
 from lexilake.session import durable
 from lexilake.sinks.archive import name_archives
 
@@ -53,6 +55,8 @@ def apply_sync(c: Catalog, responses: DataFrame, provider_id: str, now: Column,
     """
     targeted = configured(c.entries, c.locales)
     before = union_diagnostics(lint_keys(c.source, c.rules), sync_gate(targeted, c.source))
+    if c.reader_findings is not None:
+        before = before.unionByName(shape(c.reader_findings))
     # One row per blocked project; the gate is settled before anything is planned.
     blocked = durable(has_errors(before).filter("not ok").select("project"))
 
@@ -86,9 +90,25 @@ def apply_sync(c: Catalog, responses: DataFrame, provider_id: str, now: Column,
         diagnostics=union_diagnostics(before, found, archived_warnings(archive.filter("reason = 'key'"))))
 
 
-def import_native(platform_entries: DataFrame, locales: DataFrame, from_: str,
-                  now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return import_catalog(platform_entries, locales, from_, now)
+@dataclass(frozen=True)
+class ImportResult:
+    """What an import gives: source keys, reviewed entries, findings of reader and import, counts per locale."""
+
+    source: DataFrame
+    entries: DataFrame
+    diagnostics: DataFrame
+    report: DataFrame
+
+
+def import_files(spark: SparkSession, path: str, kind: str, locales: DataFrame, now: Column, **options) -> ImportResult:
+    """Take over the native resources below ``path``, of one of the registered formats, as catalogs.
+
+    ``options`` go to the reader of the format.
+    """
+    read, bad = PLATFORM_FORMATS[kind].ingest(spark, path, **options)
+    rows = durable(read)
+    source, entries, found = import_catalog(rows, locales, kind, now)
+    return ImportResult(source, entries, union_diagnostics(shape(bad), found), import_report(source, entries, locales))
 
 
 def restore(snapshots: DataFrame, current: DataFrame, history: DataFrame,

@@ -24,7 +24,7 @@ def numbered_findings(diags: DataFrame) -> DataFrame:
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return placed.withColumn("_at", inside).join(F.broadcast(starts), "_range").select(
+    return placed.withColumn("_at", inside).join(starts, "_range").select(
         (F.col("_before") + F.col("_at")).alias("position"), *diags.columns)
 
 

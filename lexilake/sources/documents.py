@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None,
                    project_pattern: str | None = None) -> DataFrame:
-    """One row per file below ``path``.  ``project_pattern`` captures the project id in the path.
-
-    A member name that a JSON document repeats counts with its last value; without this setting of the
-    session Spark takes no such document.
-    """
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    """One row per file below ``path``.  ``project_pattern`` captures the project id in the path."""
+    take_repeated_members(spark)
     files = spark.read.text(
         path, wholetext=True, recursiveFileLookup=True, **({"pathGlobFilter": glob} if glob else {}),
     ).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -21,6 +17,16 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None,
     return files.select(project.alias("project"), "path", "text")
 
 
+def take_repeated_members(spark: SparkSession) -> None:
+    """Let a member name that a JSON document repeats count with its last value.
+
+    Spark has this for a session only, and takes no such document without it; all that parses documents asks for it.
+    """
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    if spark.conf.get(setting) != "true":
+        spark.conf.set(setting, "true")
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column so that it is computed once per row.
 

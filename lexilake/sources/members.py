@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexilake.session import durable
 from lexilake.sinks.documents import MANIFEST
-from lexilake.sources.documents import is_absent, once, strict_json
+from lexilake.sources.documents import is_absent, once, strict_json, take_repeated_members
 
 DOCUMENT = ["project", "path"]
 _STRING = r'"[^"]*("|\z)'
@@ -157,6 +157,7 @@ def read_members(spark: SparkSession, path: str, glob: str | None = None, projec
     ``ids`` are the columns that name a document of a manifest.  An empty file, and a document without all its parts,
     has a row that is not good.
     """
+    take_repeated_members(spark)
     if ids and has_manifest(spark, path):
         blocks, torn = read_parts(spark, path, ids)
         return durable(members(mark_ends(blocks)).unionByName(_unusable(torn)))

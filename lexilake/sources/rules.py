@@ -82,8 +82,8 @@ def stable_object(named: list[tuple[str, Column]]) -> Column:
 def stable_map(values: Column, render, indent: int) -> Column:
     """A map as a JSON object in ICU order of its keys; ``render`` makes the text of a value at a depth."""
     pad = "  " * (indent + 1)
-    entries = F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(
-        F.collate(e["key"], "UNICODE").alias("order"), e["key"].alias("key"), e["value"].alias("value"))))
-    lines = F.transform(entries, lambda e: F.concat(F.lit(pad), json_string(e["key"]), F.lit(": "), render(e["value"], indent + 1)))
+    names = F.array_sort(F.transform(F.map_keys(values), lambda k: F.struct(F.collate(k, "UNICODE").alias("order"), k.alias("key"))))
+    lines = F.transform(names, lambda e: F.concat(
+        F.lit(pad), json_string(e["key"]), F.lit(": "), render(F.element_at(values, e["key"]), indent + 1)))
     return F.when(F.size(values) == 0, "{}").otherwise(
         F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n" + "  " * indent + "}")))

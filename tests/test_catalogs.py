@@ -40,6 +40,15 @@ def test_healthy_project_is_clean(spark):
     assert audit_plan.audit_catalog(project(spark, src, ent)).count() == 0
 
 
+def test_reader_findings_and_missing_platforms_are_reported(spark):
+    src = t.source(spark, [("home.title", "Hello", None, {})])
+    ent = t.entries(spark, src, [(loc, "home.title", "x", True, True) for loc in ("de", "es")])
+    found = spark.createDataFrame([(0, "L10N_E0011", "error", "a.json")], "project int, code string, level string, path string")
+    platforms = spark.createDataFrame([(0, "ios"), (0, "android")], "project int, platform string")
+    c = project(spark, src, ent, reader_findings=found, platforms=platforms, resources=platforms.limit(1))
+    assert codes(audit_plan.audit_catalog(c)) == ["L10N_E0011", "L10N_E0030"]
+
+
 def test_glossary_needs_whole_words(spark):
     src = t.source(spark, [("a", "Open the Board", None, {}), ("b", "Boarding pass", None, {}), ("c", "100% Board-free", None, {})])
     ent = t.entries(spark, src, [("de", k, x, False, True) for k, x in [("a", "Tafeln"), ("b", "x"), ("c", "Tafel: x")]])
@@ -144,7 +153,7 @@ def test_drift_reports_both_text_and_placeholders(spark):
 
 def test_written_catalog_is_canonical_json(spark, tmp_path):
     from lexilake.sinks.catalogs import write_catalogs, write_sources
-    from lexilake.sources.catalogs import parse_source_catalogs, parse_translations
+    from lexilake.sources.catalogs import parse_source_catalogs, parse_translations, read_translations
 
     src = t.source(spark, [(k, f"text {k} \"q\"", None if k == "b" else "d", {"n": "number"}) for k in ("b", "a.b", "a_b", "A", "ab")])
     ent = t.entries(spark, src, [("de", k, "x\ny", True, True) for k in ("b", "a.b", "a_b", "A", "ab")] + [("es", "a.b", "s", False, False)])
@@ -152,26 +161,32 @@ def test_written_catalog_is_canonical_json(spark, tmp_path):
     write_sources(src, str(tmp_path / "s"))
 
     def document(folder):
-        return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+        parts = sorted(folder.glob("part=*"), key=lambda p: int(p.name[5:]))
+        return "".join(f.read_text() for p in parts for f in p.glob("part-*"))
 
     de = document(tmp_path / "t" / "project=0" / "locale=de")
     loaded = json.loads(de)
     assert de == json.dumps(loaded, indent=2, ensure_ascii=False) + "\n"
     assert list(loaded["entries"]) == ["a_b", "a.b", "A", "ab", "b"] or list(loaded["entries"]) == ["A", "a_b", "a.b", "ab", "b"]
     es = document(tmp_path / "t" / "project=0" / "locale=es")
-    # A document too large for one task spreads over several files with the same text.
-    from lexilake.sinks.catalogs import render_catalog
-    from lexilake.sinks.documents import write_documents
-
-    # Without AQE the small test ranges are not put together again.
+    # The same text in more parts, which are read as one document, and not without one of them or with one cut.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        write_documents(render_catalog(ent), ["project", "locale"], str(tmp_path / "w"), whole=600)
+        write_catalogs(ent, str(tmp_path / "w"), parts=6)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    parts = list((tmp_path / "w" / "project=0" / "locale=de").glob("part-*"))
+    parts = sorted((tmp_path / "w" / "project=0" / "locale=de").glob("part=*/part-*"))
     assert len(parts) > 1 and document(tmp_path / "w" / "project=0" / "locale=de") == de
     assert document(tmp_path / "w" / "project=0" / "locale=es") == es
+    rows, bad = read_translations(spark, str(tmp_path / "w"))
+    assert rows.count() == 6 and bad.count() == 0
+    body = parts[0].read_text()
+    parts[0].write_text(body[:-1])
+    parts[0].with_name(f".{parts[0].name}.crc").unlink()
+    for change in (lambda: None, parts[0].unlink):
+        change()
+        rows, bad = read_translations(spark, str(tmp_path / "w"))
+        assert {r.locale for r in rows.collect()} == {"es"} and [r.code for r in bad.collect()] == ["L10N_E0011"]
     docs = spark.createDataFrame([(0, "de", de), (0, "es", es), (0, "bad", de + "x")], "project int, path string, text string")
     rows, bad = parse_translations(docs)
     assert rows.count() == 6 and [r.path for r in bad.collect()] == ["bad"]
@@ -189,7 +204,7 @@ def test_catalog_files_are_read_back(spark, tmp_path):
 
     src = t.source(spark, [("a.b", "A\nB", "d", {})])
     write_sources(src, str(tmp_path / "s"))
-    rows, bad = read_source_catalogs(spark, str(tmp_path / "s"), glob="part-*", project_pattern=r"project=([0-9]+)")
+    rows, bad = read_source_catalogs(spark, str(tmp_path / "s"))
     assert [tuple(r) for r in rows.collect()] == [tuple(r) for r in src.select(rows.columns).collect()] and bad.count() == 0
     for name, body in {"src/a.ts": "x", "src/b.bin": "x", "node_modules/c.ts": "x", "l10n/d.json": "x", "e.XML": "a\x00b", "f.yml": "ok"}.items():
         (tmp_path / "c" / name).parent.mkdir(parents=True, exist_ok=True)

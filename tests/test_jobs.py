@@ -66,19 +66,29 @@ def test_android(spark):
 
 
 def test_android_round_trip_through_files(spark, tmp_path):
-    from lexilake.sinks.documents import write_documents
+    from lexilake.sinks.documents import write_files
 
     canonical = spark.createDataFrame([
         (0, "en", "a.b", "Hi {name} \"q\" \\ 5%", None, [("name", "string")]), (0, "pt-BR", "a.b", "@Oi {name}\n?", None, [("name", "string")])],
         "project int, locale string, key string, text string, comment string, placeholders array<struct<name:string,type:string>>")
     out = native.export_android(canonical, "res/values/strings.xml")
     assert {r.path for r in out.collect()} == {"res/values/strings.xml", "res/values-pt-rBR/strings.xml"}
-    write_documents(out, ["project", "locale"], str(tmp_path / "x"))
+    write_files(out, ["project", "locale"], str(tmp_path / "x"))
     back, bad = PLATFORM_FORMATS["android"].ingest(spark, str(tmp_path / "x"), glob="part-*", project_pattern=r"project=([0-9]+)")
     assert bad.count() == 0
     assert {r.text for r in back.collect()} == {"Hi {name} \"q\" \\ 5%", "@Oi {name}\n?"}
 
 
+def test_comments_of_an_existing_catalog_stay(spark):
+    schema = "project int, locale string, key string, text string, comment string, placeholders array<struct<name:string,type:string>>"
+    new = spark.createDataFrame([(0, "en", "a", "A", None, []), (0, "de", "a", "B", None, []), (0, "en", "b", "B", "own", [])], schema)
+    old = spark.createDataFrame([(0, "en", "a", "x", "kept", []), (0, "en", "b", "x", "lost", []), (0, "en", "gone", "x", "gone", [])], schema)
+    body = {r.sort_key: r.fragment for r in native.export_xcstrings(new, "L.xcstrings", existing=old).filter("section = 1").collect()}
+    assert set(body) == {"a", "b"} and '"comment": "kept"' in body["a"] and '"comment": "own"' in body["b"]
+    before = spark.createDataFrame([(0, "de", "x"), (0, "es", "y")], "project int, locale string, path string")
+    assert [r.locale for r in native.removed_files(before, before.filter("locale = 'de'")).collect()] == ["es"]
+
+
 @pytest.mark.parametrize("text,want", [
     ('"a" = "x";\n/* c */ "b.c"="y \\"q\\" \\u00e9" ; // end', {"a": "x", "b.c": 'y "q" é'}),
     ('"a" = "x"', None), ('"a" "x";', None), ("", {}), ('"a" = "1"; "a" = "2";', {"a": "2"}), ('"a" = "raw\nline";', None),
