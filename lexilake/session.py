@@ -81,11 +81,27 @@ def durable(df: DataFrame) -> DataFrame:
     return stored
 
 
+def durable_by(df: DataFrame, column: str) -> DataFrame:
+    """As ``durable``, in buckets of a column, so that joins on it do not shuffle this table again.
+
+    There are as many buckets as shuffle partitions; a table that comes from a join on the column is in them already.
+    """
+    spark = df.sparkSession
+    path, name = shared_path(spark, "buckets"), f"buckets_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortBy(
+        column).saveAsTable(name)
+    stored = spark.table(name)
+    stored._stored_at, stored._stored_as = path, name
+    return stored
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``durable`` wrote and that no plan reads any more; others are left alone."""
+    """Delete tables that ``durable`` or ``durable_by`` wrote and that no plan reads any more; others are left alone."""
     for table in tables:
         path = getattr(table, "_stored_at", None)
         if path is not None:
-            sc = table.sparkSession.sparkContext
-            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+            spark = table.sparkSession
+            if hasattr(table, "_stored_as"):
+                spark.sql(f"DROP TABLE IF EXISTS {table._stored_as}")
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
