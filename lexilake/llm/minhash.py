@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.llm.components import components
 from lexilake.llm.hashing import U, mix, shingle_sets
 from lexilake.llm.shared import map_rows, pa_schema, slices
-from lexilake.session import durable, forget, ship_package
+from lexilake.session import durable, durable_by, forget, ship_package
 
 BINS = 256
 #: A pair right at the threshold is missed by all bands of a round with at most this probability.
@@ -92,13 +93,30 @@ class Signer:
         return mix((mix(rows) * self.factors).sum(axis=1, dtype=np.uint64) ^ self.salts)
 
 
+def pack(docs: DataFrame) -> DataFrame:
+    """(id, text) with texts compressed, each by itself: about half of what shuffles would move of them otherwise."""
+    def make():
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return lambda b: {"id": b.column(0), "text": [compress((t or "").encode()) for t in b.column(1).to_pylist()]}
+
+    return map_rows(docs.select("id", "text"), make, "id long, text binary", "text")
+
+
+def unpacked(texts: pa.Array) -> pa.Array:
+    """Texts as they were; those that are not packed stay."""
+    if not pa.types.is_binary(texts.type) and not pa.types.is_large_binary(texts.type):
+        return texts
+    expand = zstandard.ZstdDecompressor().decompress
+    return pa.array([expand(t) for t in texts.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
 def sign(docs: DataFrame, words: int, signers: list[tuple[int, int, int]]) -> DataFrame:
-    """(id, n_shingles, set_id, bands) of each document (id, text); an empty set has null bands."""
+    """(id, n_shingles, set_id, bands) of each document (id, text), packed or not; an empty set has null bands."""
     def make():
         hashers = [Signer(*signer) for signer in signers]
 
         def run(b: pa.RecordBatch) -> dict:
-            sets = shingle_sets(b.column(1), words)
+            sets = shingle_sets(unpacked(b.column(1)), words)
             return {
                 "id": b.column(0), "n_shingles": [len(s) for s in sets],
                 "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
@@ -121,7 +139,7 @@ def _owned(rows: DataFrame, labels: DataFrame | None, key: str, own: str) -> Dat
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(bucket, id, size, n): the members of buckets that are not within one component, ``n`` in each.
 
-    Of buckets with the same members one is taken.
+    Of buckets with the same members one is taken.  The plan is the same at every size.
     """
     members = members.select("bucket", "id", "size")
     own = _owned(members, labels, "id", "own")
@@ -129,7 +147,7 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("all"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"),
         F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high")
     one = kinds.groupBy("n", "all", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    return members.join(one, "bucket")
+    return members.join(one.hint("merge"), "bucket")
 
 
 def _stars(members: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -195,7 +213,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, share: tuple[int, int
         for batch in slices(batches, "text"):
             a, b = [], []
             for h, member, i, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(),
-                                       batch.column(3).to_pylist(), shingle_sets(batch.column(4), words)):
+                                       batch.column(3).to_pylist(), shingle_sets(unpacked(batch.column(4)), words)):
                 if not member:
                     centre = [s] if h != hub else [*centre, s]
                     hub = h
@@ -260,7 +278,7 @@ def confirm_cells(cells: DataFrame, docs: DataFrame, words: int, share: tuple[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, sets = None, [], []
         for batch in slices(batches, "text"):
-            for *key, i, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingle_sets(batch.column(4), words)):
+            for *key, i, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingle_sets(unpacked(batch.column(4)), words)):
                 if key != cell:
                     if len(ids) > 1:
                         yield forest(ids, sets)
@@ -299,7 +317,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     linkable = signed.filter("id IS NOT NULL AND n_shingles > 0")
     classes = durable(linkable.groupBy("set_id").agg(F.min("id").alias("rep")))
     reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("size"), "bands")
-    texts, labels = source, None
+    texts, labels = pack(source), None
     rounds = [[], *later_rounds(threshold, rows)]
     for number, signers in enumerate(rounds):
         last = number == len(rounds) - 1
@@ -308,9 +326,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
         if number:
             buckets = durable(buckets.distinct())
         members = durable(_mixed(buckets, labels))
-        # Texts of candidates are gathered once, by one plan at every size; later rounds take theirs from these.
+        # Texts of candidates are gathered once, by one plan at every size, in buckets of their ids, so that no
+        # confirmation shuffles more of them than it compares; later rounds take theirs from these.
         earlier = texts
-        texts = durable(texts.join(members.select("id").distinct().hint("merge"), "id"))
+        texts = durable_by(texts.join(members.select("id").distinct().hint("merge"), "id"), "id")
         if number:
             forget(earlier, buckets)
         stars = durable(_stars(members, share))
