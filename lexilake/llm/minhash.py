@@ -315,8 +315,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = durable(sign(source, words, [(bins, rows, 0)]))
     linkable = signed.filter("id IS NOT NULL AND n_shingles > 0")
-    classes = durable(linkable.groupBy("set_id").agg(F.min("id").alias("rep")))
-    reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("size"), "bands")
+    # A class comes with its own bands, so no join has to bring them.
+    classes = durable(linkable.groupBy("set_id").agg(
+        F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
+    reps = classes.select(F.col("rep").alias("id"), "size", "bands")
     texts, labels = pack(source), None
     rounds = [[], *later_rounds(threshold, rows)]
     for number, signers in enumerate(rounds):
@@ -351,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, share: tuple[int, int] = (8
         texts, earlier = durable(texts.join(inside.hint("merge"), "id")), texts
         forget(earlier, inside)
     forget(texts)
-    placed = signed.join(classes, "set_id", "left").join(
+    placed = signed.join(classes.select("set_id", "rep"), "set_id", "left").join(
         labels.withColumnRenamed("key", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return placed.select(

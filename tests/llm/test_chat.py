@@ -40,3 +40,29 @@ def test_ties_and_repeats_are_ordered(spark):
     rows = [(1, 0, "message", "user", "b"), (1, 0, "message", "user", "a"), (1, 0, "message", "user", "a")]
     df = spark.createDataFrame(rows, "conv_id long, seq long, kind string, role string, text string")
     assert [t["text"] for t in chat.parse(chat.format_conversations(df)).first()["turns"]] == ["a", "a", "b"]
+
+
+def test_digests_come_from_the_mask(spark):
+    rows = [(1, 0, "user", "hi <|end|>"), (1, 1, "assistant", "a <| b\\|>"), (1, 2, "user", "x"), (1, 3, "assistant", "é🙂"), (2, 0, "user", "only asked")]
+    log = chat.log_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert log.filter("kind = 'message'").count() == len(rows) < log.count()
+    made = chat.format_conversations(log)
+    got = {r.conv_id: r for r in chat.learned(made).collect()}
+    assert got[1].learned == "a <| b\\|>é🙂" and got[2].learned == ""
+    right = {r.conv_id: r for r in chat.digests(made).collect()}
+    shifted = made.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct(
+        (s["start"] + 1).alias("start"), s["length"].alias("length"))))
+    wrong = {r.conv_id: r for r in chat.digests(shifted).collect()}
+    assert right[1].loss_sha256 != wrong[1].loss_sha256 and right[1].turns_sha256 == wrong[1].turns_sha256
+    assert (right[1].loss_chars, right[2].loss_chars) == (len("a <| b\\|>é🙂"), 0)
+
+
+def test_a_log_of_any_messages_folds_back(spark):
+    rows = [(c, i, role, text) for c, role in enumerate(["user", "assistant", None]) for i, text in enumerate(NASTY)] + [(0, 3, "user", "tie"), (None, 0, "user", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id is None, r.conv_id), r.position, r.role, r.text) for r in chat.fold_events(chat.log_of(df)).collect())
+    want = []
+    for c in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == c)
+        want += [((c is None, c), p, role, text) for p, (_, role, text) in enumerate(mine, 1)]
+    assert got == sorted(want)
