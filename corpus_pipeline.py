@@ -40,12 +40,13 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
         kept = durable(minhash.near_duplicates(docs).filter("kept").select("doc_id"))
-        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+        # The same plan at every size.
+        return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     order = [F.asc_nulls_last("r.doc_id"), F.asc("r.text")]
     rows = durable(docs.select(F.struct("*").alias("r")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         "at", F.monotonically_increasing_id()))
     kept = durable(minhash.near_duplicates(rows.select("at", F.col("r.text").alias("text")), key="at").filter("kept").select("at"))
-    return rows.join(kept, "at", "left_semi").select("r.*")
+    return rows.join(kept.hint("merge"), "at", "left_semi").select("r.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
