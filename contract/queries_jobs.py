@@ -330,12 +330,14 @@ def plan_renames_query(lake):
 @query("plan_renames_default", r"""
   SELECT project, key AS from_key, CASE WHEN made NOT IN ('', key) THEN made END AS to_key, 'restyled' AS rationale,
     CASE WHEN made IN ('', key) THEN 'no other spelling' END AS skip_reason
-  FROM (SELECT *, array_to_string(CASE WHEN len(w) <= max_depth THEN w WHEN max_depth = 1 THEN [array_to_string(w, '')]
-        ELSE list_append(w[1:max_depth - 1], w[-1]) END, CASE key_case WHEN 'dotted.lower' THEN '.' WHEN 'kebab' THEN '-' ELSE '_' END) AS made
+  FROM (SELECT *, CASE key_case WHEN 'dotted.lower' THEN array_to_string(cut, '.') WHEN 'kebab' THEN array_to_string(cut, '-')
+      ELSE array_to_string(cut, '_') END AS made
+    FROM (SELECT *, CASE WHEN len(w) <= max_depth THEN w WHEN max_depth = 1 THEN [array_to_string(w, '')]
+      ELSE list_append(w[1:max_depth - 1], w[-1]) END AS cut
     FROM (SELECT c.project, c.key, key_case, max_depth, list_filter(regexp_split_to_array(lower(
           substr(c.key, coalesce(length(list_filter(forbidden_prefixes, lambda p: p <> '' AND starts_with(c.key, p))[1]), 0) + 1)),
           '[^a-z0-9]+'), lambda x: x <> '') AS w
-      FROM (SELECT DISTINCT project, key FROM x_lint WHERE code BETWEEN 'L10N_E0020' AND 'L10N_E0023') c JOIN v_rules r ON r.project = c.project))""",
+      FROM (SELECT DISTINCT project, key FROM x_lint WHERE code BETWEEN 'L10N_E0020' AND 'L10N_E0023') c JOIN v_rules r ON r.project = c.project)))""",
        x_lint=LINT)
 def plan_renames_default(lake):
     found = linting.lint_keys(lake.source, lake.rules)
