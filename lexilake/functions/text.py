@@ -95,7 +95,9 @@ def letter_runs(text: Column) -> Column:
 def classify_failure(stderr: Column, stdout: Column) -> Column:
     """Provider failure class of one run: code and cause."""
     both = F.concat(F.coalesce(stderr, F.lit("")), F.lit("\n"), F.coalesce(stdout, F.lit("")))
-    limited = both.rlike(r"(?i)(rate limit|quota|429|too many requests|usage limit)")
+    # A bare 429 may be part of a path, a port or a name, so messages that name a cause go before it.
+    limited = both.rlike(r"(?i)(rate limit|quota|too many requests|usage limit|\b(http(/[0-9.]+)?|status|code|error)[ \t:=]*429\b)")
+    numbered = both.rlike(r"(?<![0-9])429(?![0-9])")
     session = F.regexp_extract(
         both, r"(?i)cannot access session files at (.+?) \(permission denied\)", 1
     )
@@ -103,15 +105,17 @@ def classify_failure(stderr: Column, stdout: Column) -> Column:
     lines = F.transform(F.split(both, "\n"), js_trim)
     thread = F.get(F.filter(lines, lambda l: l.startswith("Error: thread/start:")), 0)
     crash = F.lit("L10N_E0054")
+    rate_limit = F.struct(F.lit("L10N_E0053").alias("code"), F.lit("rate_limit").alias("reason"),
+                          F.lit(None).cast("string").alias("detail"))
     return (
-        F.when(limited, F.struct(F.lit("L10N_E0053").alias("code"), F.lit("rate_limit").alias("reason"),
-                                 F.lit(None).cast("string").alias("detail")))
+        F.when(limited, rate_limit)
         .when(session != "", F.struct(crash.alias("code"), F.lit("session_files").alias("reason"),
                                       session.alias("detail")))
         .when(database != "", F.struct(crash.alias("code"), F.lit("state_database").alias("reason"),
                                        database.alias("detail")))
         .when(thread.isNotNull(), F.struct(crash.alias("code"), F.lit("thread_start").alias("reason"),
                                            thread.alias("detail")))
+        .when(numbered, rate_limit)
         .otherwise(F.struct(crash.alias("code"), F.lit("exit").alias("reason"),
                             F.lit(None).cast("string").alias("detail")))
     )

@@ -112,3 +112,15 @@ def test_fingerprint_ignores_order_and_sees_change(spark):
     assert len(prints) == 1
     rows[7] = (0, "k7", "other")
     assert catalog_fingerprint(spark.createDataFrame(rows, schema)).first()[1] not in prints
+
+
+@pytest.mark.parametrize("stderr,reason,detail", [
+    ("Tool cannot access session files at /u/1429 (permission denied)", "session_files", "/u/1429"),
+    ("failed to open state db at /db429: attempt to write a readonly database", "state_database", "/db429"),
+    ("x\n  Error: thread/start: no 429  \ny", "thread_start", "Error: thread/start: no 429"),
+    ("Error: thread/start: HTTP 429", "rate_limit", None), ("error 429", "rate_limit", None), ("status code: 429", "rate_limit", None),
+    ("429", "rate_limit", None), ("took 14290 ms", "exit", None), ("Too Many Requests", "rate_limit", None), ("boom", "exit", None),
+])
+def test_a_failure_is_not_a_rate_limit_for_a_number_in_its_message(spark, stderr, reason, detail):
+    got = one(spark, text.classify_failure(F.col("e"), F.lit("")), e=stderr)
+    assert (got["reason"], got["detail"]) == (reason, detail)
