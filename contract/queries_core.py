@@ -10,6 +10,7 @@ from lexilake.diagnostics import check_summary, has_errors
 from lexilake.functions.text import extract_placeholders, has_parity
 from lexilake.operators import audit, cache, coverage, linting, planning, ranking, rows
 from lexilake.plans import audit as audit_plan
+from lexilake.session import shuffled
 from lexilake.sources.rules import CONFIG, project_rules
 
 # --- shared SQL ------------------------------------------------------------------------------
@@ -580,6 +581,6 @@ def placeholder_parity(lake):
     from lexilake.functions.text import is_blank
 
     s = lake.source.select("project", "key", F.col("text").alias("source_text"))
-    return lake.entries.join(s, ["project", "key"]).filter(~is_blank(F.col("text"))).groupBy("project").agg(
+    return lake.entries.join(shuffled(s), ["project", "key"]).filter(~is_blank(F.col("text"))).groupBy("project").agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count_if(has_parity(F.col("source_text"), F.col("text"))).alias("in_parity"))

@@ -12,7 +12,7 @@ from lexilake.functions.text import extract_placeholders
 from lexilake.operators import applying, audit, coverage, dedupe, linting, merging, near, ranking, renaming, restoring
 from lexilake.plans import review, sync as sync_plan
 from lexilake.providers import plan_renames, plan_renames_with, translate_with
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 from lexilake.sinks.archive import name_archives
 
 NOW = "timestamp_ntz'2024-05-01 12:34:56'"
@@ -36,7 +36,7 @@ RESPONSES = """
 def responses_of(lake, tasks):
     m = F.length(F.concat("source_text", "locale")) % 7
     asked = tasks.filter(F.col("cache_text").isNull()).join(
-        lake.source.select("project", "key", F.col("text").alias("source_text")), ["project", "key"]).select(
+        shuffled(lake.source.select("project", "key", F.col("text").alias("source_text"))), ["project", "key"]).select(
         "locale", "source_text").distinct().filter(m != 3)
     return asked.select(
         F.lit("en").alias("source_locale"), "locale", "source_text", F.lit(0).cast("bigint").alias("response_no"),
@@ -106,7 +106,7 @@ def import_catalog(lake):
     source, entries, findings = applying.import_catalog(lake.platform_entries, lake.locales, "ios", now())
     texts = lake.platform_entries.select("project", "locale", "key", "text")
     reported = findings.filter("code = 'L10N_E0041'").select("project", "locale", "key", "code").join(
-        texts, ["project", "locale", "key"])
+        shuffled(texts), ["project", "locale", "key"])
     return entries.select(F.lit("entry").alias("kind"), "project", "locale", "key", "text", "reviewed").unionByName(
         source.select(F.lit("source").alias("kind"), "project", "locale", "key", "text",
                       F.lit(False).alias("reviewed"))).unionByName(
@@ -174,7 +174,7 @@ def _plan(lake):
                               "[^a-z0-9]+", ".")
     to = (F.when(pk % 41 == 0, None).when(pk % 19 == 0, F.col("key")).when(pk % 31 == 0, "economy.shared")
           .when(pk % 43 == 0, "Bad Key").when(pk % 9 == 0, F.concat(F.lit("ghost.k"), pk.cast("string"))).otherwise(styled))
-    plan = c.join(lake.source.select("project", "key", "pk"), ["project", "key"]).select(
+    plan = c.join(shuffled(lake.source.select("project", "key", "pk")), ["project", "key"]).select(
         "project", F.col("key").alias("from_key"), to.alias("to_key"))
     stray = lake.source.filter(pk % 97 == 1).select(
         "project", F.concat(F.lit("unknown.k"), pk.cast("string")).alias("from_key"),
@@ -255,7 +255,7 @@ CORPUS = """
 
 def corpus_of(lake):
     """An order has a handful of items, so a file gathers that many lines.  Stored, as files are."""
-    items = lake.table("lineitem").join(lake.parts.select("pk", "key", "text"), F.col("l_partkey") == F.col("pk"))
+    items = lake.table("lineitem").join(shuffled(lake.parts.select("pk", "key", "text")), F.col("l_partkey") == F.col("pk"))
     line = F.concat(F.lit('t("'), F.col("key"), F.lit('"); // '), F.col("text"))
     files = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
         "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", line.alias("line")))).alias("lines"))
@@ -407,7 +407,7 @@ GROUP_VIEWS = {"x_groups": GROUPS, "x_exact": EXACT_KEYS, "x_cleaned": CLEANED}
 def _groups(lake):
     s = lake.source.filter(F.col("pk") % 3 == 0).select("project", "pk", F.col("key").alias("canonical_key"))
     t = lake.source.select("project", (F.col("pk") - 1).alias("pk"), F.col("key").alias("_next"))
-    spread = s.join(t, ["project", "pk"]).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    spread = s.join(shuffled(t), ["project", "pk"]).withColumn("v", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return spread.select(
         "project", (F.col("pk") * 10 + F.col("v")).alias("group_id"), "canonical_key",
         F.when(F.col("v") == 0, F.concat(F.lit("no.such.k"), F.col("pk").cast("string"))).otherwise(

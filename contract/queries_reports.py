@@ -21,7 +21,7 @@ from lexilake.plans import rename as rename_plan
 from lexilake.plans import review
 from lexilake.plans import sync as sync_plan
 from lexilake.providers import PLATFORM_FORMATS
-from lexilake.session import shared_path
+from lexilake.session import shared_path, shuffled
 from lexilake.sinks import platforms as native
 from lexilake.sinks import reports
 from lexilake.sinks.documents import write_files
@@ -73,7 +73,7 @@ class OpenLake(Lake):
     def entries(self):
         texts = self.base.parts.select("pk", F.col("text").alias("_source"))
         kept = F.startswith("key", F.lit("legacy.k")) | (is_blank(F.col("text")) & ~F.col("reviewed"))
-        said = self.base.entries.join(texts, "pk").withColumn("text", F.when(kept, F.col("text")).otherwise(
+        said = self.base.entries.join(shuffled(texts), "pk").withColumn("text", F.when(kept, F.col("text")).otherwise(
             F.concat(F.lit("["), "locale", F.lit("] "), "_source"))).drop("_source")
         return self.base.entries.unionByName(said.withColumn("project", F.col("project") + 10))
 
@@ -106,7 +106,7 @@ TASK_OUTCOMES = f"""
 def task_responses(lake, tasks):
     m = F.length(F.concat("source_text", "locale")) % 7
     asked = tasks.filter(F.col("cache_text").isNull()).join(
-        lake.source.select("project", "key", F.col("text").alias("source_text")), ["project", "key"]).filter(m != 3)
+        shuffled(lake.source.select("project", "key", F.col("text").alias("source_text"))), ["project", "key"]).filter(m != 3)
     return asked.select(
         "project", "locale", "key", F.lit(0).cast("bigint").alias("response_no"),
         F.when((m == 1) & (F.col("project") % 2 == 1), F.replace("source_text", F.lit("{name}"), F.lit(""))).otherwise(
@@ -321,7 +321,7 @@ def import_files(lake):
     texts = platform.select("project", "locale", "key", "text")
     columns = ["project", "locale", "key", "text"]
     mismatch = done.diagnostics.filter("code = 'L10N_E0041'").select("project", "locale", "key", F.col("code").alias("kind")).join(
-        texts, ["project", "locale", "key"])
+        shuffled(texts), ["project", "locale", "key"])
     return done.entries.select(F.lit("entry").alias("kind"), *columns, n).unionByName(
         done.source.select(F.lit("source").alias("kind"), *columns, n)).unionByName(mismatch.select("kind", *columns, n)).unionByName(
         done.report.select(F.lit("report").alias("kind"), "project", "locale", none.alias("key"), none.alias("text"), F.col("imported").alias("n")))

@@ -9,7 +9,7 @@ from lexilake.diagnostics import diagnose, shape, union_diagnostics
 from lexilake.functions.hashing import source_hash
 from lexilake.functions.text import has_parity, is_blank
 from lexilake.schemas import CACHE_KEY, ENTRY_COLUMNS
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 
 
 # A provider's answer is that of one task; a recorded one is that of a text.
@@ -35,9 +35,9 @@ def task_outcomes(tasks: DataFrame, responses: DataFrame, source: DataFrame,
     s = source.select("project", "key", F.col("text").alias("source_text"))
     first = first_responses(responses)
     answered = (
-        tasks.join(s, ["project", "key"])
+        tasks.join(shuffled(s), ["project", "key"])
         .withColumn("source_locale", F.lit(source_locale))
-        .join(first, [k for k in first.columns if k in TASK_KEY + TEXT_KEY], "left"))
+        .join(shuffled(first), [k for k in first.columns if k in TASK_KEY + TEXT_KEY], "left"))
     cached = F.col("cache_text").isNotNull()
     text = F.when(cached, F.col("cache_text")).otherwise(F.col("response_text"))
     judged = answered.withColumn("text", text).withColumn(
@@ -88,7 +88,7 @@ def apply_responses(tasks: DataFrame, responses: DataFrame, source: DataFrame, c
 def upsert_entries(entries: DataFrame, new: DataFrame) -> DataFrame:
     """New entries replace those of the same project, locale and key."""
     at = ["project", "locale", "key"]
-    return entries.join(new.select(*at), at, "left_anti").unionByName(new.select(*ENTRY_COLUMNS))
+    return entries.join(shuffled(new.select(*at)), at, "left_anti").unionByName(new.select(*ENTRY_COLUMNS))
 
 
 def source_from_platform(platform_entries: DataFrame, locales: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def import_catalog(platform_entries: DataFrame, locales: DataFrame, from_: str,
     targets = locales.filter(~F.col("is_source")).select("project", "locale")
     native = platform_entries.join(targets, ["project", "locale"], "left_semi").filter(
         ~is_blank(F.col("text"))).select("project", "locale", "key", "text")
-    pairs = native.join(source.select(
-        "project", "key", F.col("text").alias("source_text"), "source_hash"), ["project", "key"])
+    pairs = native.join(shuffled(source.select(
+        "project", "key", F.col("text").alias("source_text"), "source_hash")), ["project", "key"])
     parity = has_parity(F.col("source_text"), F.col("text"))
     entries = pairs.filter(parity).select(
         "project", "locale", "key", "text", F.lit(True).alias("reviewed"), F.lit(False).alias("stale"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilake.session import shuffled
+
 
 def locale_coverage(source: DataFrame, entries: DataFrame, locales: DataFrame) -> DataFrame:
     """Entries per locale by origin and freshness.
@@ -15,7 +17,7 @@ def locale_coverage(source: DataFrame, entries: DataFrame, locales: DataFrame) -
     targets = locales.filter(~F.col("is_source")).select("project", "locale").distinct()
     s = source.select("project", "key", F.col("source_hash").alias("_expected"))
     matched = F.col("_expected").isNotNull()
-    counted = entries.join(s, ["project", "key"], "left").groupBy("project", "locale").agg(
+    counted = entries.join(shuffled(s), ["project", "key"], "left").groupBy("project", "locale").agg(
         F.count(F.lit(1)).alias("total_entries"),
         F.count_if(matched & F.col("reviewed")).alias("reviewed"),
         F.count_if(matched & ~F.col("reviewed")).alias("machine_translated"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexilake.diagnostics import diagnose
 from lexilake.functions.hashing import set_fingerprint
 from lexilake.functions.text import js_trim
+from lexilake.session import shuffled
 
 
 def exact_duplicates(source: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def exact_duplicates(source: DataFrame) -> DataFrame:
     hashed = source.select("project", "key", F.sha2("text", 256).alias("text_hash"))
     groups = hashed.groupBy("project", "text_hash").agg(
         F.min("key").alias("canonical_key"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    return hashed.join(groups, ["project", "text_hash"]).select(
+    return hashed.join(shuffled(groups), ["project", "text_hash"]).select(
         "project", "text_hash", "key", "canonical_key", "n")
 
 
@@ -40,19 +41,19 @@ def normalize_dup_groups(groups: DataFrame, source: DataFrame, exact: DataFrame)
     """
     keys = source.select("project", "key")
     known = groups.filter(F.col("canonical_key") != F.col("duplicate_key")).join(
-        keys.withColumnRenamed("key", "canonical_key"), ["project", "canonical_key"], "left_semi").join(
-        keys.withColumnRenamed("key", "duplicate_key"), ["project", "duplicate_key"], "left_semi").dropDuplicates(
+        shuffled(keys.withColumnRenamed("key", "canonical_key")), ["project", "canonical_key"], "left_semi").join(
+        shuffled(keys.withColumnRenamed("key", "duplicate_key")), ["project", "duplicate_key"], "left_semi").dropDuplicates(
         ["project", "group_id", "canonical_key", "duplicate_key"])
     heads = known.select("project", "group_id", F.col("canonical_key").alias("key")).distinct()
     members = heads.unionByName(known.select("project", "group_id", F.col("duplicate_key").alias("key")))
-    belongs = members.join(exact.select("project", "key", "text_hash"), ["project", "key"], "left")
+    belongs = members.join(shuffled(exact.select("project", "key", "text_hash")), ["project", "key"], "left")
     judged = belongs.groupBy("project", "group_id").agg(
         set_fingerprint(F.sha2("key", 256)).alias("_set"),
         F.min("text_hash").alias("_low"), F.max("text_hash").alias("_high"),
         F.count("text_hash").alias("_exact"), F.count(F.lit(1)).alias("_all"))
     one_exact_group = (F.col("_exact") == F.col("_all")) & (F.col("_low") == F.col("_high"))
     last = judged.filter(~one_exact_group).groupBy("project", "_set").agg(F.max("group_id").alias("group_id"))
-    return known.join(last.select("project", "group_id"), ["project", "group_id"]).select(
+    return known.join(shuffled(last.select("project", "group_id")), ["project", "group_id"]).select(
         "project", "group_id", "canonical_key", "duplicate_key",
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"),
         js_trim(F.col("rationale")).alias("rationale"), "model_version")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexilake.diagnostics import diagnose, explode_findings, finding
 from lexilake.functions.keys import first_forbidden_prefix, key_matches_case, split_key
 from lexilake.functions.text import contains_plural, contains_term, is_blank, letter_runs
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 
 RENAMEABLE = ["L10N_E0020", "L10N_E0021", "L10N_E0022", "L10N_E0023"]
 
@@ -42,7 +42,7 @@ def rename_candidates(diags: DataFrame, source: DataFrame) -> DataFrame:
     """Keys with curable findings and their sorted distinct codes."""
     per_key = renameable(diags).groupBy("project", "key").agg(
         F.array_sort(F.collect_set("code")).alias("violations"))
-    return per_key.join(source.select("project", "key", "text", "description"), ["project", "key"])
+    return per_key.join(shuffled(source.select("project", "key", "text", "description")), ["project", "key"])
 
 
 def _pieces(term):
@@ -73,12 +73,12 @@ def lint_glossary(source: DataFrame, entries: DataFrame, glossary: DataFrame) ->
     anchors = wanted.join(counts, ["project", "piece"], "left").groupBy("project", "source_term").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("a")).filter("a.n > 0").select(
         "project", "source_term", F.col("a.piece").alias("piece"))
-    used = hits.join(anchors, ["project", "piece"]).join(source.select("project", "key", "text"), ["project", "key"]).filter(
+    used = hits.join(anchors, ["project", "piece"]).join(shuffled(source.select("project", "key", "text")), ["project", "key"]).filter(
         contains_term(F.col("text"), F.col("source_term"))).select("project", "key", "source_term")
     expected = used.join(
         terms.select("project", "source_term", "locale", "target_term"), ["project", "source_term"])
     lost = expected.join(
-        entries.select("project", "locale", "key", "text").filter(~is_blank(F.col("text"))),
+        shuffled(entries.select("project", "locale", "key", "text").filter(~is_blank(F.col("text")))),
         ["project", "locale", "key"],
     ).filter(~contains_term(F.col("text"), F.col("target_term")))
     return diagnose(lost, "L10N_E0087", {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, union_diagnostics
 from lexilake.operators.rendering import expand_objects, leaf_json
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 from lexilake.sources.documents import strict_json, take_repeated_members
 
 # One conflict block: an opening line, a line of seven equal signs, a closing line.
@@ -70,7 +70,7 @@ def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tup
     judged = joined.select(*at, F.coalesce("_lk", "_rk").alias("kind"), F.coalesce("_lv", "_rv").alias("value"),
                            F.when(F.col("_lk").isNotNull(), F.col("_l")).otherwise(F.col("_r")).alias("v"), differs.alias("_conflict"))
     conflicts = judged.filter("_conflict").groupBy(*id_cols).agg(F.min("path").alias("conflict_path"))
-    merged = judged.join(conflicts, id_cols, "left_anti").drop("_conflict")
+    merged = judged.join(shuffled(conflicts), id_cols, "left_anti").drop("_conflict")
     return merged, conflicts.withColumn("conflict_path", F.array_join("conflict_path", "."))
 
 
@@ -85,7 +85,7 @@ def merge_findings(sections: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 def merge_summary(sections: DataFrame, conflicts: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
     """Files scanned, merged and failed per project, and those that are ``rewritten`` (project, path) if given."""
-    judged = sections.join(conflicts.select("project", "path", F.lit(True).alias("_clash")),
+    judged = sections.join(shuffled(conflicts.select("project", "path", F.lit(True).alias("_clash"))),
                            ["project", "path"], "left")
     fine = ~F.col("malformed") & F.col("parses") & F.col("_clash").isNull()
     counts = judged.groupBy("project").agg(

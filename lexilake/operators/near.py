@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexilake.operators.components import connected_components
 from lexilake.operators.similarity_join import alike_components
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 from lexilake.sources.documents import once
 
 __all__ = ["connected_components", "jaccard", "near_duplicates", "shingles", "words_of"]
@@ -53,18 +53,18 @@ def near_duplicates(source: DataFrame, threshold: float = 0.7) -> DataFrame:
     # Hashes and keys alone find the first of each set of copies; only its text moves.
     hashed = durable(source.select("project", "key", F.sha2("text", 256).alias("text_hash")))
     firsts = hashed.groupBy("project", "text_hash").agg(F.min("key").alias("key"))
-    texts = source.select("project", "key", "text").join(firsts, ["project", "key"])
+    texts = source.select("project", "key", "text").join(shuffled(firsts), ["project", "key"])
     docs = durable(once(texts, "_words", words_of(F.col("text"))).select(
         "project", "text_hash", "key", shingles(F.col("_words")).alias("elements")))
     components = alike_components(docs.drop("text_hash"), (share.numerator, share.denominator))
     roots = components.select("project", F.col("component").alias("key"), "component").distinct()
     labelled = durable(components.unionByName(roots))
     first = docs.select("project", F.col("key").alias("component"), F.col("elements").alias("_first"))
-    confidence = components.join(docs.drop("text_hash"), ["project", "key"]).join(first, ["project", "component"]).groupBy(
+    confidence = components.join(shuffled(docs.drop("text_hash")), ["project", "key"]).join(shuffled(first), ["project", "component"]).groupBy(
         "project", "component").agg(F.min(jaccard(F.col("elements"), F.col("_first"))).alias("confidence"))
     copies = hashed.select("project", "text_hash", F.col("key").alias("duplicate_key"))
-    grouped = labelled.join(docs.select("project", "key", "text_hash"), ["project", "key"]).select(
+    grouped = labelled.join(shuffled(docs.select("project", "key", "text_hash")), ["project", "key"]).select(
         "project", "component", "text_hash")
-    return grouped.join(copies, ["project", "text_hash"]).join(confidence, ["project", "component"]).filter(
+    return grouped.join(shuffled(copies), ["project", "text_hash"]).join(shuffled(confidence), ["project", "component"]).filter(
         F.col("duplicate_key") != F.col("component")).select(
         "project", F.col("component").alias("canonical_key"), "duplicate_key", "confidence")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilake.functions.hashing import percent_complete
 from lexilake.functions.text import canonical_placeholders, is_blank
+from lexilake.session import shuffled
 
 HIT = ["cache_text", "cache_model", "cached_at"]
 
@@ -27,7 +28,7 @@ def classify_pairs(source: DataFrame, entries: DataFrame, locales: DataFrame) ->
         .when(F.col("_hash") == F.col("source_hash"), F.lit("current"))
         .when(F.col("reviewed"), F.lit("reviewed_stale"))
         .otherwise(F.lit("stale")))
-    return grid.join(have, ["project", "locale", "key"], "left").select(
+    return grid.join(shuffled(have), ["project", "locale", "key"], "left").select(
         "project", "locale", "key", "source_hash", state.alias("reason"))
 
 
@@ -45,7 +46,7 @@ def newest_cache(cache: DataFrame, configs: DataFrame) -> DataFrame:
 
 def cache_lookup(tasks: DataFrame, cache: DataFrame, configs: DataFrame) -> DataFrame:
     """Add the newest matching cache row to each task: reduce first, then one equi-join."""
-    return tasks.join(newest_cache(cache, configs), ["project", "source_hash", "locale"], "left")
+    return tasks.join(shuffled(newest_cache(cache, configs)), ["project", "source_hash", "locale"], "left")
 
 
 def plan_sync(source: DataFrame, entries: DataFrame, locales: DataFrame, cache: DataFrame,
@@ -76,7 +77,7 @@ def plan_summary(source: DataFrame, entries: DataFrame, locales: DataFrame, cach
     pairs = classify_pairs(source, entries, locales)
     hits = newest_cache(cache, configs).select("project", "source_hash", "locale", F.lit(True).alias("_hit"))
     pending = F.col("reason").isin("missing", "stale")
-    counted = pairs.join(hits, ["project", "source_hash", "locale"], "left").groupBy("project", "locale").agg(
+    counted = pairs.join(shuffled(hits), ["project", "source_hash", "locale"], "left").groupBy("project", "locale").agg(
         F.count_if(F.col("reason") == "missing").alias("missing"),
         F.count_if(F.col("reason") == "stale").alias("stale_retranslations"),
         F.count_if(F.col("reason") == "reviewed_stale").alias("reviewed_stale"),
@@ -86,7 +87,7 @@ def plan_summary(source: DataFrame, entries: DataFrame, locales: DataFrame, cach
     gone = (
         entries.select("project", "locale", "key")
         .join(targets, ["project", "locale"], "left_semi")
-        .join(source.select("project", "key"), ["project", "key"], "left_anti")
+        .join(shuffled(source.select("project", "key")), ["project", "key"], "left_anti")
         .groupBy("project", "locale").agg(F.count(F.lit(1)).alias("removed")))
     per_locale = counted.join(gone, ["project", "locale"], "left").withColumn(
         "removed", F.coalesce("removed", F.lit(0)))
@@ -135,7 +136,7 @@ def translation_requests(tasks: DataFrame, source: DataFrame, glossary: DataFram
     s = source.select("project", "key", "text", "description",
                       canonical_placeholders(F.col("text"), F.col("placeholders")).alias("placeholders"))
     empty = F.array().cast("array<struct<source:string,target:string>>")
-    return tasks.join(s, ["project", "key"]).join(terms, ["project", "locale"], "left").select(
+    return tasks.join(shuffled(s), ["project", "key"]).join(terms, ["project", "locale"], "left").select(
         "project", "locale", "key", F.lit(source_locale).alias("source_locale"),
         F.col("text").alias("source_text"), "description", "placeholders",
         F.coalesce("glossary", empty).alias("glossary"), "source_hash")

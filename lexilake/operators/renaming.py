@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose, shape, union_diagnostics
 from lexilake.operators.linting import lint_keys, renameable
-from lexilake.session import durable, forget
+from lexilake.session import durable, forget, shuffled
 
 
 def rename_key(df: DataFrame, project: int, from_: str, to: str) -> DataFrame:
@@ -35,7 +35,7 @@ def planned_renames(plan: DataFrame) -> DataFrame:
 def apply_renames(df: DataFrame, plan: DataFrame) -> DataFrame:
     """Rename keys of any table with ``project`` and ``key`` by a plan."""
     renames = planned_renames(plan).select("project", F.col("from_key").alias("key"), F.col("to_key").alias("_to"))
-    return df.join(renames, ["project", "key"], "left").withColumn(
+    return df.join(shuffled(renames), ["project", "key"], "left").withColumn(
         "key", F.coalesce("_to", "key")).select(*df.columns)
 
 
@@ -45,20 +45,20 @@ def validate_renames(plan: DataFrame, source: DataFrame, rules: DataFrame,
     renames = planned_renames(plan).select("project", "from_key", "to_key")
     keys = source.select("project", "key")
     froms = renames.select("project", F.col("from_key").alias("key"))
-    remaining = keys.join(froms, ["project", "key"], "left_anti")
+    remaining = keys.join(shuffled(froms), ["project", "key"], "left_anti")
     by_to = renames.withColumnRenamed("to_key", "key")
 
     undecided = candidates.select("project", "key").join(
-        plan.select("project", F.col("from_key").alias("key"), "to_key", "skip_reason"),
+        shuffled(plan.select("project", F.col("from_key").alias("key"), "to_key", "skip_reason")),
         ["project", "key"], "left").filter(F.coalesce(F.length("to_key"), F.lit(0)) == 0)
-    unknown = froms.join(keys, ["project", "key"], "left_anti")
+    unknown = froms.join(shuffled(keys), ["project", "key"], "left_anti")
     noop = renames.filter(F.col("from_key") == F.col("to_key")).withColumnRenamed("from_key", "key")
-    collides = by_to.join(remaining, ["project", "key"], "left_semi")
+    collides = by_to.join(shuffled(remaining), ["project", "key"], "left_semi")
     repeated = by_to.groupBy("project", "key").count().filter(F.col("count") > 1).select("project", "key")
-    doubled = by_to.join(repeated, ["project", "key"], "left_semi")
+    doubled = by_to.join(shuffled(repeated), ["project", "key"], "left_semi")
 
     destinations = by_to.select("project", "key").distinct()
-    renamed = apply_renames(keys, plan).distinct().join(destinations, ["project", "key"], "left_semi")
+    renamed = apply_renames(keys, plan).distinct().join(shuffled(destinations), ["project", "key"], "left_semi")
     still_bad = renameable(lint_keys(renamed.withColumn("text", F.lit("")), rules))
     return union_diagnostics(
         diagnose(undecided, "L10N_E0072", {"reason": F.col("skip_reason")}),
@@ -125,13 +125,13 @@ def _keys_inside(runs: DataFrame, renames: DataFrame, least: int, most: int, siz
         of_keys = F.when(size == n, _grams_of(F.col("from_key"), n)).otherwise(of_keys)
     keyed = durable(renames.select("project", "from_key", F.explode(of_keys).alias("gram")))
     held = segments.select("project", "run_id", "at", F.explode(F.concat(*[_grams_of(F.col("segment"), n) for n in sizes])).alias("gram"))
-    hits = durable(held.join(keyed.select("project", "gram").distinct(), ["project", "gram"], "left_semi"))
+    hits = durable(held.join(shuffled(keyed.select("project", "gram").distinct()), ["project", "gram"], "left_semi"))
     counts = hits.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = keyed.join(counts, ["project", "gram"], "left").groupBy("project", "from_key").agg(
+    anchors = keyed.join(shuffled(counts), ["project", "gram"], "left").groupBy("project", "from_key").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).filter("a.n > 0").select(
         "project", "from_key", F.col("a.gram").alias("gram"))
-    met = hits.join(anchors, ["project", "gram"]).select("project", "run_id", "at", "from_key")
-    found = durable(met.join(segments, ["project", "run_id", "at"]).filter(F.contains("segment", F.col("from_key"))).select(
+    met = hits.join(shuffled(anchors), ["project", "gram"]).select("project", "run_id", "at", "from_key")
+    found = durable(met.join(shuffled(segments), ["project", "run_id", "at"]).filter(F.contains("segment", F.col("from_key"))).select(
         "project", "run_id", "from_key").distinct())
     forget(segments, keyed, hits)
     return found
@@ -191,13 +191,13 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
     longest_first = F.array_sort(F.collect_list(F.struct(
         (-F.length("from_key")).alias("_size"), "from_key", "to_key")))
     rewritten = (
-        parts.join(renames, ["project", "from_key"])
+        parts.join(shuffled(renames), ["project", "from_key"])
         .groupBy("project", "run_id").agg(longest_first.alias("_matches"))
-        .join(runs, ["project", "run_id"])
+        .join(shuffled(runs), ["project", "run_id"])
         .withColumn("_new", _rewrite_run(F.col("run"), F.col("_matches")))
         .select("project", "run", F.col("_new.text").alias("new_run"), F.col("_new.n").alias("hits")))
     # Per text a map of the changed runs it mentions, which is smaller than the text itself.
-    changes = mentions.join(rewritten, ["project", "run"]).groupBy(*at).agg(
+    changes = mentions.join(shuffled(rewritten), ["project", "run"]).groupBy(*at).agg(
         F.map_from_entries(F.collect_list(F.struct("run", F.struct("new_run", "hits")))).alias("_changes"))
     runs_in_text, gaps = F.col("_runs"), F.split("text", pattern, -1)
     new_text = F.array_join(F.zip_with(
@@ -205,7 +205,7 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
         lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
     hits = F.aggregate(runs_in_text, F.lit(0).cast("bigint"),
                        lambda n, r: n + F.coalesce(F.try_element_at("_changes", r)["hits"], F.lit(0).cast("bigint")))
-    return texts.join(changes, at).withColumn("_runs", runs_of).withColumns(
+    return texts.join(shuffled(changes), at).withColumn("_runs", runs_of).withColumns(
         {"_text": new_text, "replacements": hits}).filter(F.col("_text") != F.col("text")).select(
         *[F.col("_text").alias("text") if c == "text" else F.col(c) for c in corpus.columns], "replacements")
 
@@ -213,7 +213,7 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
 def rename_report(entries_before: DataFrame, plan: DataFrame, rewritten: DataFrame) -> DataFrame:
     """Locales touched, reference files changed and replacements made, per project."""
     froms = planned_renames(plan).select("project", F.col("from_key").alias("key"))
-    touched = entries_before.join(froms, ["project", "key"], "left_semi").groupBy("project").agg(
+    touched = entries_before.join(shuffled(froms), ["project", "key"], "left_semi").groupBy("project").agg(
         F.count_distinct("locale").alias("locales_touched"))
     files = rewritten.groupBy("project").agg(
         F.count(F.lit(1)).alias("reference_files"), F.sum("replacements").alias("replacements"))

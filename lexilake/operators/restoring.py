@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.diagnostics import diagnose
+from lexilake.session import shuffled
 
 
 def managed_files(*path_frames: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def managed_files(*path_frames: DataFrame) -> DataFrame:
 
 def snapshot_tables(files: DataFrame, managed: DataFrame, history_id: str) -> DataFrame:
     """Content of every managed path now; NULL where there is no file."""
-    return managed.join(files.select("project", "path", "content"), ["project", "path"], "left").select(
+    return managed.join(shuffled(files.select("project", "path", "content")), ["project", "path"], "left").select(
         F.lit(history_id).alias("history_id"), "project", "path", "content")
 
 
@@ -38,6 +39,6 @@ def restore_as_of(snapshots: DataFrame, current: DataFrame, history: DataFrame,
         .when(F.col("content").isNull(), "delete")
         .when(F.col("content").eqNullSafe(F.col("_now")), "keep")
         .otherwise("write"))
-    plan = wanted.join(now, ["project", "path"], "left").withColumn("action", action).drop("_now")
+    plan = wanted.join(shuffled(now), ["project", "path"], "left").withColumn("action", action).drop("_now")
     unknown = snapshots.select("project").distinct().join(known, "project", "left_anti")
     return plan, diagnose(unknown, "L10N_E0062", {"history_id": F.lit(history_id)})

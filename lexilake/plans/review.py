@@ -14,7 +14,7 @@ from lexilake.operators.merging import (
 )
 from lexilake.operators.near import near_duplicates
 from lexilake.operators.rendering import render_documents
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 
 
 def suggested_groups(near: DataFrame, model_version: str = "minhash") -> DataFrame:
@@ -62,6 +62,6 @@ def repair_documents(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     plain = sections.filter("not conflicted and parses").withColumnRenamed("path", "doc")
     nodes = merged.unionByName(flatten_documents(plain, "left", ["project", "doc"]))
     texts = durable(render_documents(nodes, ["project", "doc"]).withColumnRenamed("doc", "path"))
-    rewritten = durable(texts.join(files.select("project", "path", F.col("text").alias("_was")), ["project", "path"]).filter(
+    rewritten = durable(texts.join(shuffled(files.select("project", "path", F.col("text").alias("_was"))), ["project", "path"]).filter(
         F.col("text") != F.col("_was")).drop("_was"))
     return rewritten, found, merge_summary(sections, conflicts, rewritten)

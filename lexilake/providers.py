@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.functions.keys import restyle_key
-from lexilake.session import durable, ship_package
+from lexilake.session import durable, ship_package, shuffled
 from lexilake.sinks import platforms as sink
 from lexilake.sources.android import ingest_android_strings
 from lexilake.sources.ios_strings import ingest_ios_strings
@@ -49,7 +49,7 @@ def translate_with(requests: DataFrame, fn: Callable[[dict], tuple[str, str]]) -
     # The provider is asked once even if its rows are read again.
     answers = durable(tasks.select("request_id", *asked).dropDuplicates(["request_id"]).mapInPandas(run, RESPONSES))
     named = [c for c in ("project", "locale", "key", "source_locale", "source_text") if c in requests.columns]
-    return tasks.select(*named, "request_id").join(answers, "request_id").drop("request_id")
+    return tasks.select(*named, "request_id").join(shuffled(answers), "request_id").drop("request_id")
 
 
 PLAN = "project int, from_key string, to_key string, rationale string, skip_reason string"

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.session import durable, forget
+from lexilake.session import durable, forget, shuffled
 
 BLOBS, MANIFESTS = "blobs", "manifests"
 MANIFEST_SCHEMA = "project int, path string, hash string, bytes bigint, history_id string"
@@ -51,7 +51,7 @@ def write_snapshot(files: DataFrame, path: str) -> None:
     spark = files.sparkSession
     hashed = files.withColumn("hash", content_hash())
     known = read_blobs(spark, path).select("hash").distinct()
-    fresh = hashed.filter("hash IS NOT NULL").select("hash", "content").dropDuplicates(["hash"]).join(known, "hash", "left_anti")
+    fresh = hashed.filter("hash IS NOT NULL").select("hash", "content").dropDuplicates(["hash"]).join(shuffled(known), "hash", "left_anti")
     # The blobs are read while more are added, so what to add is settled first.
     stored = durable(fresh.withColumn("prefix", F.substring("hash", 1, 2)))
     stored.select("hash", "content", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{path}/{BLOBS}")
@@ -62,7 +62,7 @@ def write_snapshot(files: DataFrame, path: str) -> None:
 
 def contents(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
     """The rows of a manifest with their contents; rows without a file keep none."""
-    return manifest.join(blobs.select("hash", "content"), "hash", "left")
+    return manifest.join(shuffled(blobs.select("hash", "content")), "hash", "left")
 
 
 def read_snapshot(spark: SparkSession, path: str, history_id: str) -> DataFrame:
@@ -86,7 +86,7 @@ def restore_plan(spark: SparkSession, path: str, history_id: str, current: DataF
     """
     now = current if "hash" in current.columns else current.select("project", "path", content_hash().alias("hash"))
     wanted = read_manifests(spark, path).filter(F.col("history_id") == history_id)
-    changed = wanted.join(now.select("project", "path", F.col("hash").alias("_now")), ["project", "path"], "left").filter(
+    changed = wanted.join(shuffled(now.select("project", "path", F.col("hash").alias("_now"))), ["project", "path"], "left").filter(
         ~F.col("hash").eqNullSafe(F.col("_now")))
     return contents(changed, read_blobs(spark, path)).select(
         "project", "path", F.when(F.col("hash").isNull(), "delete").otherwise("write").alias("action"), "content")

@@ -14,6 +14,7 @@ from lexilake.functions.hashing import percent_complete
 from lexilake.operators.applying import upsert_entries
 from lexilake.operators.planning import plan_sync
 from lexilake.schemas import HISTORY
+from lexilake.session import shuffled
 
 
 def history_log(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +78,7 @@ def incremental_staleness(changes: DataFrame, read_tables: Callable[[], tuple],
             newest = newest.filter(~F.coalesce(F.col(deleted), F.lit(False)))
         newest = newest.drop(*[c for c in (version, deleted) if c])
         entries, locales, cache, configs = read_tables()
-        touched = entries.join(newest.select("project", "key"), ["project", "key"], "left_semi")
+        touched = entries.join(shuffled(newest.select("project", "key")), ["project", "key"], "left_semi")
         write_tasks(plan_sync(newest, touched, locales, cache, configs), batch_id)
 
     return changes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(

@@ -2,11 +2,14 @@
 
 import itertools
 import random
+import re
 
 import pytest
-
-from lexilake.operators import near, ranking, renaming, similarity_join
+import rows as t
+from lexilake import schemas
+from lexilake.operators import audit, cache, coverage, near, planning, ranking, renaming, rows, similarity_join
 from lexilake.operators.dedupe import exact_duplicates
+from lexilake.session import durable
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -21,6 +24,21 @@ def test_rank_of_a_group_larger_than_a_partition(spark):
     assert sorted(map(tuple, got.select("project", "key", "rank", "total").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_tables_of_keys_are_not_broadcast(spark):
+    """However small their files look, and so at every size."""
+    src = durable(t.source(spark, [("a", "x", None, {}), ("b", "y", None, {})]))
+    ent = durable(t.entries(spark, src, [("de", "a", "x", True, False), ("de", "c", "y", True, True)]))
+    loc, con = t.locales(spark, ["de"]), t.configs(spark)
+    kept = durable(spark.createDataFrame([], schemas.CACHE))
+    for df in (audit.check_stale(src, ent), audit.sync_gate(ent, src), rows.refresh_stale_flags(ent, src), rows.live_entries(ent, src),
+               coverage.locale_coverage(src, ent, loc), cache.gc_cache(kept, src), audit.canonical_entries(ent, src),
+               planning.plan_sync(src, ent, loc, kept, con)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(BroadcastHashJoin|BroadcastNestedLoopJoin|SortMergeJoin) (\[[^\]]*\])", plan)
+        assert any(kind == "SortMergeJoin" for kind, _ in joins)
+        assert not [on for kind, on in joins if kind.startswith("Broadcast") and re.search(r"\b(key|source_hash)#", on)]
+
+
 def rewrite(text, renames):
     """Longest key first, stand-ins so that no rename feeds another."""
     count, hidden = 0, []
