@@ -124,3 +124,41 @@ def test_later_rounds_keep_the_bound():
             bands = sum(bins // rows for bins, rows, _ in signers)
             assert (1 - threshold ** signers[0][1]) ** bands <= minhash.MISSED
             assert len({seed for _, _, seed in signers}) == len(signers)
+
+
+def test_buckets_that_share_members_are_compared_once(spark):
+    pick, rows = random.Random(5), []
+    crowd = range(10_000, 11_500)
+    for b in range(12):
+        rows += [(b, i) for i in pick.sample(crowd, 900)]
+    # Two large buckets with one member in common are less work apart.
+    rows += [(20, i) for i in range(2000)] + [(21, i) for i in range(1999, 4000)] + [(30, i) for i in range(5000, 5009)]
+    sizes = {b: sum(1 for c, _ in rows if c == b) for b, _ in rows}
+    members = spark.createDataFrame([(b, i, sizes[b]) for b, i in rows], "bucket long, id long, n long")
+    got = {}
+    for r in minhash._together(members).collect():
+        got.setdefault(r["bucket"], []).append((r["id"], r["n"]))
+    assert all(len(set(m)) == len(m) == m[0][1] for m in got.values())
+    groups = sorted((sorted(i for i, _ in m) for m in got.values()), key=lambda m: m[0])
+    assert groups == [list(range(2000)), list(range(1999, 4000)), list(range(5000, 5009)), sorted({i for b, i in rows if b < 12})]
+
+
+def test_a_group_of_like_texts_fills_few_cells(spark):
+    """Texts of one pattern that are mostly no links meet in most of their buckets, but are compared once."""
+    pick, rows = random.Random(9), []
+    for i in range(500):
+        words = [f"w{k}" for k in range(120)]
+        for at in pick.sample(range(120), pick.randint(1, 3)):
+            words[at] = f"x{pick.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words)))
+    made, cells = [], minhash._cells
+    minhash._cells = lambda members: made.append(cells(members)) or made[-1]
+    keep = minhash.forget
+    minhash.forget = lambda *tables: None
+    try:
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100))
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found.collect()}
+        assert sum(m.count() for m in made) <= 2 * len(rows)
+    finally:
+        minhash._cells, minhash.forget = cells, keep
+    assert got == brute(rows, 3, 85)
