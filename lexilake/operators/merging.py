@@ -63,8 +63,9 @@ def merge_catalogs(left: DataFrame, right: DataFrame, id_cols: list[str]) -> tup
     document is left out.  A conflict at the root is a conflict too.
     """
     at = [*id_cols, "path"]
+    # Conflicts are on both sides, so their filter makes this an inner join.
     joined = left.withColumnsRenamed({"kind": "_lk", "value": "_lv", "v": "_l"}).join(
-        right.withColumnsRenamed({"kind": "_rk", "value": "_rv", "v": "_r"}), at, "full_outer")
+        shuffled(right.withColumnsRenamed({"kind": "_rk", "value": "_rv", "v": "_r"})), at, "full_outer")
     both = F.col("_lk").isNotNull() & F.col("_rk").isNotNull()
     differs = both & ((F.col("_lk") != F.col("_rk")) | (F.coalesce("_lv", F.lit("")) != F.coalesce("_rv", F.lit(""))))
     judged = joined.select(*at, F.coalesce("_lk", "_rk").alias("kind"), F.coalesce("_lv", "_rv").alias("value"),

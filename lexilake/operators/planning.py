@@ -113,7 +113,7 @@ def status_summary(plan_totals: DataFrame, state: DataFrame) -> DataFrame:
         "project", "completed_translations", "total_translations", "status",
         percent_complete(done, planned).alias("percent_complete"),
         F.greatest(F.lit(0), planned - done).alias("remaining"))
-    return totals.join(progress, "project", "left").withColumn(
+    return totals.join(shuffled(progress), "project", "left").withColumn(
         "sync_state", F.coalesce("status", F.lit("idle"))).drop("status").withColumn(
         "provider_requests", F.col("pending") - F.col("cache_hits"))
 

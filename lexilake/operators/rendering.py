@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.functions.escape import json_string
-from lexilake.session import durable, forget
+from lexilake.session import durable, forget, shuffled
 from lexilake.sources.documents import is_object, json_type, members
 
 INDENT = "  "
@@ -95,7 +95,7 @@ def render_documents(nodes: DataFrame, ids: list[str]) -> DataFrame:
             bodies = done.select(*ids, F.slice("path", 1, d).alias("path"), F.struct(
                 "place", F.collate(name, "UNICODE").alias("order"), name.alias("name"), line.alias("line")).alias("item")).groupBy(
                 *ids, "path").agg(F.array_join(F.array_sort(F.collect_list("item"))["line"], ",\n").alias("_body"))
-            inside = here.join(bodies, [*ids, "path"], "left")
+            inside = here.join(shuffled(bodies), [*ids, "path"], "left")
         opened, closed = F.when(F.col("kind") == "object", "{").otherwise("["), F.when(F.col("kind") == "object", "}").otherwise("]")
         text = F.when(F.col("kind") == "leaf", F.col("text")).when(F.col("_body").isNull(), F.concat(opened, closed)).otherwise(
             F.concat(opened, F.lit("\n"), "_body", F.lit("\n" + INDENT * d), closed))

@@ -7,7 +7,7 @@ import re
 import pytest
 import rows as t
 from lexilake import schemas
-from lexilake.operators import audit, cache, coverage, near, planning, ranking, renaming, rows, similarity_join
+from lexilake.operators import audit, cache, coverage, merging, near, planning, ranking, renaming, rows, similarity_join
 from lexilake.operators.dedupe import exact_duplicates
 from lexilake.session import durable
 from pyspark.sql import functions as F
@@ -39,6 +39,18 @@ def test_tables_of_keys_are_not_broadcast(spark):
         assert not [on for kind, on in joins if kind.startswith("Broadcast") and re.search(r"\b(key|source_hash)#", on)]
 
 
+def test_nodes_of_documents_are_not_broadcast(spark):
+    side = durable(spark.createDataFrame([(0, "d", ["a"], "leaf", "1"), (0, "d", ["b"], "leaf", "2")],
+                                         "project int, doc string, path array<string>, kind string, value string").withColumn(
+        "v", F.parse_json("value")))
+    other = durable(side.withColumn("value", F.lit("3")))
+    merged, conflicts = merging.merge_catalogs(side, other, ["project", "doc"])
+    for df in (merged, conflicts):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert merged.count() == 0 and [tuple(r) for r in conflicts.collect()] == [(0, "d", "a")]
+
+
 def rewrite(text, renames):
     """Longest key first, stand-ins so that no rename feeds another."""
     count, hidden = 0, []
