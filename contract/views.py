@@ -54,6 +54,10 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @staticmethod
     def parts_of(part: DataFrame) -> DataFrame:
         """A source key per part, from a table or a stream of parts."""
@@ -88,7 +92,8 @@ class Lake:
     @cached_property
     def parts(self) -> DataFrame:
         """One row per part: the source key all projects share, stored once as a catalog would be."""
-        return durable(self.parts_of(self.table("part")))
+        # The file is small for its rows, and one block of it would keep all that is made of them in one task.
+        return durable(self.parts_of(self.table("part").repartition(self.tasks, "p_partkey")))
 
     @staticmethod
     def source_of(parts: DataFrame) -> DataFrame:
@@ -112,7 +117,9 @@ class Lake:
 
     @cached_property
     def entries(self) -> DataFrame:
-        newest = self.versions.groupBy("project", "locale", "pk", "orphan").agg(
+        # A key has a few dozen versions: dealt by key first, no task sorts its whole share of the scan, and the join needs no
+        # second shuffle.  The number of tasks is given, as AQE would merge them by their compressed size.
+        newest = self.versions.repartition(self.tasks, "pk").groupBy("project", "locale", "pk", "orphan").agg(
             F.max(F.struct("at", "ok", "ln", "sk", "price", "flag", "status")).alias("v"))
         source = self.parts.select("pk", "key", "text", "source_hash")
         ok, text = F.col("v.ok"), F.col("text")

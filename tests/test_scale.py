@@ -197,3 +197,14 @@ def test_exact_duplicates_stay_long_for_a_hot_text(spark):
                                   F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     got = exact_duplicates(df).collect()
     assert len(got) == 1000 and {r.canonical_key for r in got} == {"k00000"} and {r.n for r in got} == {1000}
+
+
+def test_versions_are_dealt_by_key_before_they_are_compared(spark):
+    """No task sorts its share of the scan, and parts are spread whatever the size of their file."""
+    from contract.views import Lake
+
+    lake = Lake(spark, "/root/testdata/sf0.001")
+    plan = lake.entries._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Aggregate") < plan.index("RepartitionByExpression [pk")
+    files = lake.parts.inputFiles()
+    assert len(files) > 1
