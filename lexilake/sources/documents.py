@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexilake.session import durable
+
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None,
                    project_pattern: str | None = None) -> DataFrame:
@@ -36,20 +38,41 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def judged_once(judged: DataFrame, **values: Column) -> DataFrame:
+    """Documents judged as variants (``text``, ``v``), stored with what is taken from them instead.
+
+    Rows and findings both come from the stored table, so no document is parsed twice.
+    """
+    return durable(judged.withColumns(values).drop("text", "v"))
+
+
 # Closes the wrapping array of strict_json; a document cannot fake it by chance.
 _END = '"lexilake:end"'
 
 
+def _wrapped(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_END}]")))
+
+
+def _unwrapped(wrapped: Column) -> Column:
+    whole = (F.try_variant_get(wrapped, "$[1]", "string") == _END.strip('"')) & F.try_variant_get(
+        wrapped, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+
+
 def strict_json(text: Column) -> Column:
     """The document as a variant, NULL unless the whole text is exactly one JSON value.
 
     The parser stops after the first value and ignores what follows, so the text is parsed as
-    the first of two array elements, of which the second must come out right.
+    the first of two array elements, of which the second must come out right.  It is bound to the
+    variable of a lambda, as generators and lambdas would parse it again at every mention.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_END}]")))
-    whole = (F.try_variant_get(wrapped, "$[1]", "string") == _END.strip('"')) & F.try_variant_get(
-        wrapped, "$[2]", "variant").isNull()
-    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+    return F.get(F.transform(F.array(_wrapped(text)), _unwrapped), 0)
+
+
+def parse_once(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """Add :func:`strict_json` of ``text``, by generated columns; the quickest way for a column of documents."""
+    return once(once(df, "_wrapped", _wrapped(text)), name, _unwrapped(F.col("_wrapped"))).drop("_wrapped")
 
 
 def json_type(v: Column, path: str = "$") -> Column:

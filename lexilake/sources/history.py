@@ -9,9 +9,9 @@ from lexilake.diagnostics import diagnose, union_diagnostics
 from lexilake.functions.text import is_blank
 from lexilake.operators.rows import INSTANT
 from lexilake.schemas import HISTORY
-from lexilake.session import durable
+from lexilake.session import durable, shuffled
 from lexilake.sources.documents import (
-    all_values, is_integer, is_object, is_string, json_type, members, once, strict_json,
+    all_values, is_integer, is_object, is_string, json_type, judged_once, members, once, parse_once,
 )
 from lexilake.sources.catalogs import judge
 from lexilake.sources.members import DOCUMENT, keyed, of_documents, read_blocks, read_members
@@ -53,30 +53,33 @@ def is_last_line(lines: DataFrame) -> DataFrame:
 
 
 def parse_history_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the logs (project, path, line_no, line).
+    """Rows of the logs (project, path, line_no, line), with ``is_last`` or without.
 
     A last line that cannot be used is dropped with a warning: an append may have been cut
-    short.  A bad line before it makes the whole log unusable.
+    short.  A bad line before it makes the whole log unusable.  Lines are parsed and judged
+    once, and what all outputs read is stored.
     """
-    parsed = once(is_last_line(lines), "_v", strict_json(F.col("line")))
-    judged = once(parsed, "good", _good_row(F.col("_v"))).drop("_v")
-    bad = judged.filter(~F.col("good") & ~is_blank(F.col("line")) | (is_blank(F.col("line")) & ~F.col("is_last")))
-    fatal = bad.filter(~F.col("is_last"))
-    usable = judged.filter("good").join(fatal.select("project", "path").distinct(), ["project", "path"], "left_anti")
-    rows = usable.select("project", "path", "line_no", F.from_json("line", HISTORY).alias("h")).select(
-        "project", "path", "line_no", "h.*")
-    first = fatal.groupBy("project", "path").agg(F.min("line_no").alias("line_no"))
+    parsed = parse_once(lines if "is_last" in lines.columns else is_last_line(lines), "_v", F.col("line"))
+    blank = is_blank(F.col("line"))
+    judged = durable(once(parsed, "good", _good_row(F.col("_v"))).select(
+        "project", "path", "line_no", "is_last", "good", (~F.col("good") & ~blank | (blank & ~F.col("is_last"))).alias("bad"),
+        F.when(F.col("good"), F.from_json("line", HISTORY)).alias("h")))
+    bad = judged.filter("bad").drop("h")
+    fatal = durable(bad.filter(~F.col("is_last")).groupBy("project", "path").agg(F.min("line_no").alias("line_no")))
+    unusable = shuffled(fatal.select("project", "path"))
+    rows = judged.filter("good").join(unusable, ["project", "path"], "left_anti").select("project", "path", "line_no", "h.*")
     return rows, union_diagnostics(
-        diagnose(bad.filter("is_last").join(fatal.select("project", "path").distinct(),
-                                            ["project", "path"], "left_anti"),
+        diagnose(bad.filter("is_last").join(unusable, ["project", "path"], "left_anti"),
                  "L10N_E0078", {"line": F.col("line_no")}),
-        diagnose(first, "L10N_E0062", {"line": F.col("line_no")}))
+        diagnose(fatal, "L10N_E0062", {"line": F.col("line_no")}))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """Documents as numbered lines."""
-    return docs.select("project", "path", F.posexplode(F.split("text", "\n", -1)).alias("_pos", "line")).select(
-        "project", "path", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line")
+    """Documents as numbered lines, without the empty ones at their end; ``is_last`` marks the last."""
+    lines = F.split(F.rtrim("text", F.lit("\n")), "\n", -1)
+    return docs.filter(F.rtrim("text", F.lit("\n")) != "").select(
+        "project", "path", F.size(lines).alias("_n"), F.posexplode(lines).alias("_pos", "line")).select(
+        "project", "path", (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line", (F.col("_pos") + 1 == F.col("_n")).alias("is_last"))
 
 
 def file_lines(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -104,12 +107,11 @@ def parse_snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text_or_null = lambda f: F.schema_of_variant(f).isin("STRING", "VOID")
     good = F.coalesce(is_integer(v, "$.version") & (F.try_variant_get(v, "$.version", "double") == 1)
                       & is_object(v, "$.files") & all_values(members(v, "$.files"), text_or_null), F.lit(False))
-    judged = once(once(docs, "v", strict_json(F.col("text"))), "good", good)
+    judged = judged_once(once(parse_once(docs, "v", F.col("text")), "good", good), _files=F.when(
+        F.col("good"), F.try_variant_get(v, "$.files", "map<string,string>")))
     history_id = F.regexp_extract("path", r"([^/]*?)(?:\.json)?\z", 1)
-    rows = judged.filter("good").select(
-        history_id.alias("history_id"), "project",
-        F.explode(F.from_json("text", "struct<files:map<string,string>>")["files"]).alias("path", "content"))
-    return rows, diagnose(judged.filter(~F.col("good")).drop("v", "text"), "L10N_E0062")
+    rows = judged.filter("good").select(history_id.alias("history_id"), "project", F.explode("_files").alias("path", "content"))
+    return rows, diagnose(judged.filter(~F.col("good")), "L10N_E0062")
 
 
 def snapshot_members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

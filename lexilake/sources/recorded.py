@@ -17,14 +17,19 @@ RECORDS = (
 def final_message(stdout):
     """Text of the last completed agent message; NULL for none or for a line that is no JSON."""
     lines = F.filter(F.transform(F.split(stdout, "\n"), js_trim), lambda l: l != "")
-    events = F.transform(lines, lambda l: strict_json(l))
-    broken = F.exists(events, lambda e: e.isNull())
-    messages = F.filter(events, lambda e: (
-        (F.try_variant_get(e, "$.type", "string") == "item.completed")
-        & (F.try_variant_get(e, "$.item.type", "string") == "agent_message")
-        & is_string(e, "$.item.text")))
-    last = F.try_variant_get(F.element_at(F.when(F.size(messages) > 0, messages), -1), "$.item.text", "string")
-    return F.when(~broken & (last != ""), last)
+    events = F.transform(lines, strict_json)
+
+    def last_of(events):
+        broken = F.exists(events, lambda e: e.isNull())
+        messages = F.filter(events, lambda e: (
+            (F.try_variant_get(e, "$.type", "string") == "item.completed")
+            & (F.try_variant_get(e, "$.item.type", "string") == "agent_message")
+            & is_string(e, "$.item.text")))
+        last = F.try_variant_get(F.try_element_at(messages, F.lit(-1)), "$.item.text", "string")
+        return F.when(~broken & (last != ""), last)
+
+    # Bound to a variable, as each mention would parse all lines again.
+    return F.get(F.transform(F.array(events), last_of), 0)
 
 
 def parse_recorded_responses(docs: DataFrame, model_version: str = "recorded") -> DataFrame:

@@ -229,3 +229,34 @@ def test_a_repeated_member_counts_with_its_last_value(spark, tmp_path):
     (tmp_path / "source.en.json").write_text('{"version":1,"keys":{"a":{"text":"one"},"b":{"text":"B"},"a":{"text":"two"}}}')
     rows, found = catalogs.read_source_catalogs(spark, str(tmp_path))
     assert {(r.key, r.text) for r in rows.collect()} == {("a", "two"), ("b", "B")} and found.count() == 0
+
+
+def test_documents_are_parsed_once_for_rows_and_findings(spark):
+    """Rows and findings read one stored table, and a document is parsed at one place of the plan."""
+    from lexilake.sources import catalogs, history
+    from lexilake.sources.documents import parse_once, strict_json
+
+    docs = spark.createDataFrame([
+        (0, "a", '{"version": 1, "locale": "de", "entries": {"k": {"text": "t", "model_version": "m", "provider": "p", "source_hash": "sha256:'
+         + "0" * 64 + '", "translated_at": "2024-01-01T00:00:00Z"}}}'), (0, "b", "{")], "project int, path string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for parse, good in ((catalogs.parse_translations, 1), (catalogs.parse_cache, 0), (catalogs.parse_source_catalogs, 0), (history.parse_snapshots, 0)):
+        rows, bad = parse(docs)
+        assert "parseJson" not in plan(rows) and "parseJson" not in plan(bad)
+        assert (rows.count(), bad.count()) == (good, 2 - good)
+    texts = spark.createDataFrame([('{"a": 1}',), ('{"a": 1} 2',), ("[1",), ("",), (None,)], "text string")
+    for df in (parse_once(texts, "v", texts.text), texts.withColumn("v", strict_json(texts.text))):
+        assert [r.good for r in df.selectExpr("v IS NOT NULL AS good").collect()] == [True, False, False, False, False]
+        assert plan(df).count("parseJson") == 1
+
+
+def test_lines_of_documents_end_at_the_last_that_is_not_empty(spark):
+    from lexilake.sources.history import document_lines, is_last_line
+
+    docs = spark.createDataFrame([(0, "a", "x\n\ny\n\n"), (0, "b", "\n\n"), (0, "c", ""), (0, "d", "z"), (0, "e", None), (0, "f", "x\n \n")],
+                                 "project int, path string, text string")
+    lines = document_lines(docs)
+    want = {("a", 1, "x", False), ("a", 2, "", False), ("a", 3, "y", True), ("d", 1, "z", True), ("f", 1, "x", False), ("f", 2, " ", True)}
+    assert {(r.path, r.line_no, r.line, r.is_last) for r in lines.collect()} == want
+    again = is_last_line(lines.drop("is_last"))
+    assert {(r.path, r.line_no, r.line, r.is_last) for r in again.collect()} == want
