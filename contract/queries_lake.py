@@ -9,7 +9,7 @@ from contract.registry import query
 from contract.views import Lake
 from lexilake.functions.escape import json_string
 from lexilake.operators import history_entries, restoring
-from lexilake.session import shared_path
+from lexilake.session import durable, shared_path
 from lexilake.sinks import catalogs as sink
 from lexilake.sinks import snapshots
 from lexilake.sinks.documents import write_files
@@ -154,11 +154,12 @@ SNAPSHOT_FILES = """
 def _snapshots(lake):
     """Two snapshots of every entry's file, of which a tenth change and some come or go; and where they are."""
     pk, text = F.col("pk"), F.col("text")
-    named = lake.entries.select("project", F.concat_ws("/", F.lit("l10n"), "locale", "key").alias("path"), "text", "pk")
+    # Stored, as files are: each snapshot reads them several times.
+    named = durable(lake.entries.select("project", F.concat_ws("/", F.lit("l10n"), "locale", "key").alias("path"), "text", "pk"))
     first = named.filter(pk % 6 != 0).select("project", "path", text.alias("content"))
     second = named.filter((pk % 10 == 0) | ((pk % 6 != 0) & (pk % 7 != 0))).select(
         "project", "path", F.when(pk % 10 == 0, F.concat(text, F.lit(" (new)"))).otherwise(text).alias("content"))
-    managed = restoring.managed_files(first, second, named)
+    managed = durable(restoring.managed_files(first, second, named))
     path = shared_path(lake.spark, "snapshots")
     for files, name in ((first, "h1"), (second, "h2"), (second, "h2")):
         snapshots.write_snapshot(restoring.snapshot_tables(files, managed, name), path)

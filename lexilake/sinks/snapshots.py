@@ -49,7 +49,8 @@ def write_snapshot(files: DataFrame, path: str) -> None:
     Of equal contents one is kept before any is moved; only contents whose hash is not known are written.
     """
     spark = files.sparkSession
-    hashed = files.withColumn("hash", content_hash())
+    # Both tables are written from the same rows; what makes the files runs once.
+    hashed = durable(files.withColumn("hash", content_hash()))
     known = read_blobs(spark, path).select("hash").distinct()
     fresh = hashed.filter("hash IS NOT NULL").select("hash", "content").dropDuplicates(["hash"]).join(shuffled(known), "hash", "left_anti")
     # The blobs are read while more are added, so what to add is settled first.
@@ -58,6 +59,7 @@ def write_snapshot(files: DataFrame, path: str) -> None:
     forget(stored)
     hashed.select("project", "path", "hash", F.octet_length("content").cast("bigint").alias("bytes"), "history_id").write.mode(
         "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("history_id").parquet(f"{path}/{MANIFESTS}")
+    forget(hashed)
 
 
 def contents(manifest: DataFrame, blobs: DataFrame) -> DataFrame:

@@ -260,3 +260,23 @@ def test_lines_of_documents_end_at_the_last_that_is_not_empty(spark):
     assert {(r.path, r.line_no, r.line, r.is_last) for r in lines.collect()} == want
     again = is_last_line(lines.drop("is_last"))
     assert {(r.path, r.line_no, r.line, r.is_last) for r in again.collect()} == want
+
+
+def test_a_snapshot_makes_its_files_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexilake.sinks import snapshots
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(path):
+        made.add(1)
+        return None if path == "c" else "same"
+
+    files = spark.createDataFrame([("h", 0, p) for p in "abc"], "history_id string, project int, path string").withColumn("content", content("path"))
+    for _ in range(2):
+        snapshots.write_snapshot(files, str(tmp_path))
+    assert made.value == 6
+    assert [r.content for r in snapshots.read_snapshot(spark, str(tmp_path), "h").orderBy("path").collect()] == ["same", "same", None]
+    assert snapshots.read_blobs(spark, str(tmp_path)).count() == 1
