@@ -113,27 +113,29 @@ def _keys_inside(runs: DataFrame, renames: DataFrame, least: int, most: int, siz
     one that the fewest segments hold is its anchor; segments meet keys on anchors alone, and what meets is compared
     as a whole.  So a short key among many long ones costs a row for each segment that holds it and nothing else, and
     a beginning that all keys share is nobody's anchor.  A key with a substring that no segment holds is nowhere.
+
+    Substrings are counted where they are cut, and only their counts are shuffled; they move once, to meet the anchors.
     """
     # One pass of an expression cuts a run; taking substrings by position would scan it again for each.
     piece = F.lit(f"(?s)(.{{1,{_SEGMENT}}})(?=(.{{0,{most - 1}}}))")
     own, ahead = (F.regexp_extract_all("run", piece, F.lit(group)) for group in (1, 2))
-    segments = durable(runs.filter(F.length("run") >= least).select("project", "run_id", F.posexplode(
-        F.zip_with(own, ahead, lambda a, b: F.concat(a, b))).alias("at", "segment")).filter(F.length("segment") >= least))
+    segments = durable(runs.filter(F.length("run") >= least).select("project", "run_id", F.explode(
+        F.zip_with(own, ahead, lambda a, b: F.concat(a, b))).alias("segment")).filter(F.length("segment") >= least).withColumn(
+        "segment_id", F.monotonically_increasing_id()))
     size = _gram_size("from_key")
     of_keys = F.lit(None).cast("array<string>")
     for n in sizes:
         of_keys = F.when(size == n, _grams_of(F.col("from_key"), n)).otherwise(of_keys)
-    keyed = durable(renames.select("project", "from_key", F.explode(of_keys).alias("gram")))
-    held = segments.select("project", "run_id", "at", F.explode(F.concat(*[_grams_of(F.col("segment"), n) for n in sizes])).alias("gram"))
-    hits = durable(held.join(shuffled(keyed.select("project", "gram").distinct()), ["project", "gram"], "left_semi"))
-    counts = hits.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
-    anchors = keyed.join(shuffled(counts), ["project", "gram"], "left").groupBy("project", "from_key").agg(
+    keyed = renames.select("project", "from_key", F.explode(of_keys).alias("gram"))
+    held = segments.select("project", "segment_id", F.explode(F.concat(*[_grams_of(F.col("segment"), n) for n in sizes])).alias("gram"))
+    counts = held.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = durable(keyed.join(shuffled(counts), ["project", "gram"], "left").groupBy("project", "from_key").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).filter("a.n > 0").select(
-        "project", "from_key", F.col("a.gram").alias("gram"))
-    met = hits.join(shuffled(anchors), ["project", "gram"]).select("project", "run_id", "at", "from_key")
-    found = durable(met.join(shuffled(segments), ["project", "run_id", "at"]).filter(F.contains("segment", F.col("from_key"))).select(
+        "project", "from_key", F.col("a.gram").alias("gram")))
+    met = held.join(shuffled(anchors), ["project", "gram"]).select("project", "segment_id", "from_key")
+    found = durable(met.join(shuffled(segments), ["project", "segment_id"]).filter(F.contains("segment", F.col("from_key"))).select(
         "project", "run_id", "from_key").distinct())
-    forget(segments, keyed, hits)
+    forget(segments, anchors)
     return found
 
 
@@ -183,7 +185,8 @@ def bulk_reference_rewrite(corpus: DataFrame, plan: DataFrame, whole_token: bool
 
     mentions = texts.select(*at, F.explode(F.array_distinct(runs_of)).alias("run")).filter(
         F.length("run") >= least)
-    runs = mentions.select("project", "run", F.sha2("run", 256).alias("run_id")).distinct()
+    # Stored once, with short numbers for the joins that follow.
+    runs = durable(mentions.select("project", "run").distinct().withColumn("run_id", F.monotonically_increasing_id()))
     if whole_token:
         parts = runs.select("project", "run_id", F.col("run").alias("from_key"))
     else:

@@ -96,6 +96,18 @@ def test_rewrite_inside_a_long_run(spark):
     assert (row.text, row.replacements) == ("".join(run).replace("a.b.c", "n"), 4)
 
 
+def test_rewrite_stores_no_substrings_and_moves_short_ids(spark, monkeypatch):
+    """A row for each substring of each run, with a hash of the run, was stored and moved several times."""
+    stored = []
+    monkeypatch.setattr(renaming, "durable", lambda df: stored.append(dict(df.dtypes)) or durable(df))
+    corpus = spark.createDataFrame([(0, "a", "see home.title.k1 and home.title.k12"), (0, "b", "home.title.k1")], "project int, path string, text string")
+    plan = spark.createDataFrame([(0, "home.title.k1", "x"), (0, "home.title.k12", "y")], "project int, from_key string, to_key string")
+    got = {r.path: (r.text, r.replacements) for r in renaming.bulk_reference_rewrite(corpus, plan).collect()}
+    assert got == {"a": ("see x and y", 2), "b": ("x", 1)}
+    assert {t["run_id"] for t in stored if "run_id" in t} == {"bigint"}
+    assert not [t for t in stored if "gram" in t and "from_key" not in t]
+
+
 def test_rewrite_does_not_chain_and_can_match_tokens(spark):
     corpus = spark.createDataFrame([(0, "f", "a.b a.bc c a.b")], "project int, path string, text string")
     plan = spark.createDataFrame([(0, "a.bc", "c"), (0, "a.b", "a.bc")], "project int, from_key string, to_key string")
