@@ -14,11 +14,14 @@ def numbered_findings(diags: DataFrame) -> DataFrame:
     """The findings with ``position``, from 1, in order of code, project, locale, key, path and details.
 
     Rows are dealt in ranges with sampled bounds and numbered inside each; what the ranges before hold is added.  Equal
-    findings are interchangeable, so the numbering is the same whenever it is made.
+    findings are interchangeable, so the numbering is the same whenever it is made.  They are stored before they are dealt,
+    as the sample of the bounds would make them all once more.
     """
     details = F.to_json(F.array_sort(F.map_entries(F.coalesce("details", F.create_map().cast("map<string,string>")))))
     order = [F.asc_nulls_first(c) for c in [*ORDER, "_details"]]
-    placed = durable(diags.withColumn("_details", details).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    made = durable(diags.withColumn("_details", details))
+    placed = durable(made.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    forget(made)
     sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # One row for each range.
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from lexilake import schemas
 from lexilake.operators import audit, cache, coverage, merging, near, planning, ranking, renaming, rows, similarity_join
 from lexilake.operators.dedupe import exact_duplicates
 from lexilake.session import durable
+from lexilake.sinks import reports
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -51,6 +52,22 @@ def test_nodes_of_documents_are_not_broadcast(spark):
     assert merged.count() == 0 and [tuple(r) for r in conflicts.collect()] == [(0, "d", "a")]
 
 
+def test_findings_are_made_once_for_their_numbers(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(i):
+        made.add(1)
+        return f"k{i:03d}"
+
+    diags = spark.range(0, 200, 1, 4).select(
+        F.lit(0).alias("project"), F.lit("L10N_E0063").alias("code"), F.lit("error").alias("level"), F.lit("de").alias("locale"),
+        key("id").alias("key"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("map<string,string>").alias("details"))
+    got = reports.numbered_findings(diags)
+    assert sorted((r.position, r.key) for r in got.collect()) == [(i + 1, f"k{i:03d}") for i in range(200)]
+    assert made.value == 200
+
+
 def rewrite(text, renames):
     """Longest key first, stand-ins so that no rename feeds another."""
     count, hidden = 0, []
