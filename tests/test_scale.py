@@ -10,7 +10,7 @@ from lexilake import schemas
 from lexilake.operators import audit, cache, coverage, merging, near, planning, ranking, renaming, rows, similarity_join
 from lexilake.operators.dedupe import exact_duplicates
 from lexilake.session import durable
-from lexilake.sinks import reports
+from lexilake.sinks import catalogs, documents, reports
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -68,6 +68,23 @@ def test_findings_are_made_once_for_their_numbers(spark):
     assert made.value == 200
 
 
+def test_fragments_are_not_dealt_to_find_their_last(spark, tmp_path, monkeypatch):
+    """A join by document for the separators shuffled every fragment once more."""
+    plans = []
+    monkeypatch.setattr(documents, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or durable(df))
+    src = durable(t.source(spark, [("a", "x", None, {}), ("b", "y", None, {}), ("c", "z", None, {})]))
+    monkeypatch.setattr(documents, "FEW_DOCUMENTS", 0)
+    for at in ("many", "few"):
+        catalogs.write_sources(src, str(tmp_path / at), parts=3)
+        assert plans and "Join" not in plans[0]
+        plans.clear()
+        monkeypatch.setattr(documents, "FEW_DOCUMENTS", 10)
+        parts = sorted((tmp_path / at).glob("project=*/locale=*/part=*"), key=lambda p: int(p.name[5:]))
+        lines = "".join(f.read_text() for p in parts for f in sorted(p.glob("part-*")))
+        want = "\n".join(r.fragment for r in catalogs.render_source(src).orderBy("section", "sort_key").collect()) + "\n"
+        assert lines == want
+
+
 def rewrite(text, renames):
     """Longest key first, stand-ins so that no rename feeds another."""
     count, hidden = 0, []
