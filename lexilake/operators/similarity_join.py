@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexilake.operators.components import connected_components
-from lexilake.session import durable, forget, ship_package
+from lexilake.session import durable, forget, ship_package, shuffled
 
 #: Sets whose prefixes share an element that are paired as a list; sets of a block of a longer one.
 LISTED, BLOCK = 64, 256
@@ -73,14 +73,28 @@ def prefixes(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     Elements of one set alone are in no other's prefix; they count, but do not come out.
     """
-    elements = sets.select("project", "key", F.explode("elements").alias("element"))
+    n = F.size("elements")
+    elements = sets.select("project", "key", n.alias("n"), F.explode("elements").alias("element"))
     counts = elements.groupBy("project", "element").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    ranked = elements.join(counts, ["project", "element"], "left").groupBy("project", "key").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "element"))).alias("order"))
-    n = F.size("order")
-    length = n - F.floor((n * share[0] + (share[1] - 1)) / share[1]).cast("int") + 1
-    return ranked.select("project", "key", n.alias("n"), F.posexplode(F.slice("order", 1, length)).alias("place", "e")).filter(
-        "e.c > 1").select("project", F.col("e.element").alias("element"), "key", "n", "place")
+    # Elements of one set alone come first, so their number gives the places of the others: only those are dealt by key.
+    by_key = Window.partitionBy("project", "key").orderBy("c", "element")
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    length = F.col("n") - F.floor((F.col("n") * share[0] + (share[1] - 1)) / share[1]).cast("int") + 1
+    return elements.join(counts.hint("shuffle_hash"), ["project", "element"]).withColumns({
+        "_own": F.count(F.lit(1)).over(whole), "_rank": F.row_number().over(by_key)}).withColumn(
+        "place", (F.col("n") - F.col("_own") + F.col("_rank") - 1).cast("int")).filter(F.col("place") < length).select(
+        "project", "element", "key", "n", "place")
+
+
+def _possible(prefix: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The rows of ``prefixes`` that may be the first element an alike pair shares.
+
+    What comes from there on bounds all that two sets share, so the smaller of them holds it early enough to be like a set of
+    its own size.  A list without such a set has no pair, and the others of a list must be alike the smallest of these.
+    """
+    rest, n = F.col("n") - F.col("place"), F.col("n")
+    lows = prefix.groupBy("project", "element").agg(F.min(F.when(alike(rest, n, n, share), n)).alias("low")).filter("low IS NOT NULL")
+    return prefix.join(shuffled(lows), ["project", "element"]).filter(alike(rest, n, F.col("low"), share)).drop("low")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -124,13 +138,14 @@ def alike_components(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     project with Jaccard similarity of at least ``share[0] / share[1]`` that share an element.
     """
     prefix = durable(prefixes(sets, share))
-    lists = prefix.groupBy("project", "element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = durable(prefix.join(lists, ["project", "element"]))
+    kept = durable(_possible(prefix, share))
+    lists = kept.groupBy("project", "element").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = durable(kept.join(shuffled(lists), ["project", "element"]))
     short, long = members.filter(F.col("m") <= LISTED), members.filter(F.col("m") > LISTED)
     # Of all that two sets share, what comes after the first shared element bounds the rest.
     other = short.select("project", "element", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"))
     bound = F.least(F.col("n") - F.col("place"), F.col("bn") - F.col("bp"))
-    listed = short.join(other, ["project", "element"]).filter((F.col("key") < F.col("b")) & alike(bound, F.col("n"), F.col("bn"), share))
+    listed = short.join(shuffled(other), ["project", "element"]).filter((F.col("key") < F.col("b")) & alike(bound, F.col("n"), F.col("bn"), share))
     hubs = long.groupBy("project", "element").agg(F.min(F.struct("key", "n")).alias("h"))
     stars = long.join(hubs, ["project", "element"]).filter("key > h.key").select(
         "project", F.col("h.key").alias("a"), F.col("key").alias("b"), "n", F.col("h.n").alias("bn")).filter(
@@ -142,5 +157,5 @@ def alike_components(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     if not left.isEmpty():
         links = links.unionByName(_cells(left, sets, share))
         labels = connected_components(links)
-    forget(prefix, members, pairs, left)
+    forget(prefix, kept, members, pairs, left)
     return labels

@@ -231,6 +231,24 @@ def test_set_join_is_exact(spark, monkeypatch, listed, block):
     assert similarity_join.alike_components(df.limit(0), (1, 2)).count() == 0
 
 
+def test_long_lists_without_a_possible_pair_are_not_compared(spark, monkeypatch):
+    """Sets that share eight of ten elements are unlike; the element they meet on comes too late in each for a pair."""
+    common = list(range(1, 8))
+    sets = [(0, f"a{i:03d}", [0, 1000 + 2 * i, 1001 + 2 * i] + common) for i in range(100)]
+    sets += [(0, f"b{i:03d}", [5000 + 4 * i + j for j in range(4)] + common) for i in range(50)]
+    df = durable(spark.createDataFrame(sets, "project int, key string, elements array<bigint>"))
+
+    def cells(*_):
+        raise AssertionError("compared")
+
+    monkeypatch.setattr(similarity_join, "_cells", cells)
+    assert similarity_join.alike_components(df, (7, 10)).count() == 0
+    prefix = similarity_join.prefixes(df, (7, 10))
+    assert {(r.element, r.n, r.place) for r in prefix.collect()} == {(0, 10, 2), (1, 10, 3)} and prefix.count() == 200
+    plan = prefix._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(0, f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [(0, "s00", f"s{i:02d}") for i in range(1, 30)] + [(1, "n00", "n09")]
     got = near.connected_components(spark.createDataFrame(edges, "project int, a string, b string")).collect()
