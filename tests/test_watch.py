@@ -56,3 +56,45 @@ def test_a_batch_goes_in_once(spark, tmp_path):
     got = {(r.project, r.locale, r.key, r.text) for r in spark.read.parquet(path).collect()}
     assert got == {(0, "de", "a", "new"), (0, "de", "b", "old"), (0, "es", "a", "newer"), (1, "de", "a", "old"), (2, "fr", "c", "new")}
     assert sorted((tmp_path / "entries" / "project=1").rglob("*.parquet")) == untouched
+
+
+def test_a_project_has_one_timer_however_many_sessions(monkeypatch):
+    calls, held, timers = [], [], set()
+
+    class State:
+        exists = lambda self: bool(held)
+        get = lambda self: iter(held)
+        clear = lambda self: held.clear()
+
+        def put(self, rows):
+            held[:] = list(rows)
+
+    class Handle:
+        getListState = lambda self, *a: State()
+
+        def registerTimer(self, at):
+            calls.append(at)
+            timers.add(at)
+
+        deleteTimer = lambda self, at: timers.remove(at)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: self.ms
+
+    import pandas as pd
+
+    w = watch.RunWatch(1000)
+    w.init(Handle())
+    list(w.handleInputRows((1,), iter([pd.DataFrame({"micros": [i * 10_000 for i in range(5, 55)]})]), At(0)))
+    assert timers == {51} and len(calls) == 1
+    # An older session comes in: the timer moves to it.
+    list(w.handleInputRows((1,), iter([pd.DataFrame({"micros": [0]})]), At(0)))
+    assert timers == {1} and len(held) == 51
+    timers.clear()
+    out = [df for df in w.handleExpiredTimer((1,), At(500), At(1))]
+    assert sum(map(len, out)) == 46 and len(held) == 5 and timers == {501}
+    timers.clear()
+    assert sum(map(len, w.handleExpiredTimer((1,), At(541), At(501)))) == 5 and not held and not timers
