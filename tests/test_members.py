@@ -145,3 +145,24 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path, small_blocks):
     text = (tmp_path / "torn.jsonl").read_text().split("\n")
     got = {r.line_no: r.line for r in lines.filter(F.col("path").endswith("torn.jsonl")).collect()}
     assert got == {i: line for i, line in enumerate(text[:-1], 1)}
+
+
+def test_text_of_files_is_not_dealt_out(spark, tmp_path, small_blocks, monkeypatch):
+    """Members come from scans in order; only what spans blocks is gathered.  Arrow batches end anywhere."""
+    def dealt(pieces):
+        raise AssertionError("the text of files was shuffled")
+
+    monkeypatch.setattr(members, "_in_order", dealt)
+    r = random.Random(4)
+    keys = {f"k,{i}": {"text": r.choice(['a,b "{', "x" * 300, "[,]", "\\"]), "description": ",".join("d" * r.randint(0, 9)) or None} for i in range(300)}
+    (tmp_path / "one.json").write_text(json.dumps({"o,{": {"a": [1, 2]}, "keys": keys, "version": 1, "z": [1, {"a": [2, 3]}]}))
+    want = {k: v["text"] for k, v in keys.items()}
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            rows = members.read_members(spark, str(tmp_path))
+            last = members.of_documents(rows, keys=F.lit(True))
+            found = {x.key: json.loads(x.item)["text"] for x in members.keyed(rows, last, "keys", F.to_json("_v")).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert found == want and last.first().good
