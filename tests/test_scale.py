@@ -11,6 +11,7 @@ from lexilake.operators import audit, cache, coverage, merging, near, planning,
 from lexilake.operators.dedupe import exact_duplicates
 from lexilake.session import durable
 from lexilake.sinks import catalogs, documents, reports
+from lexilake.sources import catalogs as source_catalogs
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -272,3 +273,24 @@ def test_versions_are_dealt_by_key_before_they_are_compared(spark):
     assert -1 < plan.index("Aggregate") < plan.index("RepartitionByExpression [pk")
     files = lake.parts.inputFiles()
     assert len(files) > 1
+
+
+def test_documents_are_written_from_what_tasks_read(spark, tmp_path):
+    """Stored ranges are not dealt again; a range whose file is read by many tasks has many parts, in order."""
+    src = t.source(spark, [(f"k{i:05}", f"text {i} " + "x" * 50, None, {}) for i in range(3000)])
+    for name, value in (("spark.sql.files.maxPartitionBytes", "4096"), ("spark.sql.files.openCostInBytes", "0"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        catalogs.write_sources(src, str(tmp_path / "c"), parts=3)
+        plan = documents._parts_as_read(spark.read.parquet(str(tmp_path / "c" / "_manifest")))._jdf.queryExecution().toString()
+        parts = spark.read.parquet(str(tmp_path / "c" / "_manifest")).orderBy("part").collect()
+        rows, bad = source_catalogs.read_source_catalogs(spark, str(tmp_path / "c"))
+        assert bad.isEmpty() and rows.count() == 3000
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    keys = [(p.first_key, p.last_key) for p in parts if p.first_key]
+    assert sum(p.fragments for p in parts) == 3002 and all(a[1] < b[0] for a, b in zip(keys, keys[1:]))
+    files = {f.parent.name: f for f in (tmp_path / "c").rglob("part-*.txt")}
+    assert len(files) == len(parts) == len(list((tmp_path / "c").rglob("part-*.txt")))
