@@ -9,7 +9,7 @@ from lexilake.diagnostics import diagnose, shape, union_diagnostics
 from lexilake.functions.hashing import source_hash
 from lexilake.functions.text import has_parity, is_blank
 from lexilake.schemas import CACHE_KEY, ENTRY_COLUMNS
-from lexilake.session import durable, shuffled
+from lexilake.session import durable, release, shuffled
 
 
 # A provider's answer is that of one task; a recorded one is that of a text.
@@ -61,6 +61,8 @@ def apply_responses(tasks: DataFrame, responses: DataFrame, source: DataFrame, c
     """
     # Three outputs read the outcomes, so they are stored once.
     done = durable(task_outcomes(tasks, responses, source, source_locale))
+    # What reads them does not need the shuffles of the plan that made them.
+    release(done.sparkSession)
     usable = done.filter(F.col("outcome").isin("cached", "translated"))
     if strict:
         blocked = done.filter(F.col("outcome") == "mismatch").select("project").distinct()

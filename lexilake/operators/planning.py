@@ -19,17 +19,25 @@ def target_grid(source: DataFrame, locales: DataFrame) -> DataFrame:
 
 
 def classify_pairs(source: DataFrame, entries: DataFrame, locales: DataFrame) -> DataFrame:
-    """Grid of keys and locales with the state of each: missing, stale, reviewed_stale, current."""
-    grid = target_grid(source.select("project", "key", "source_hash"), locales)
-    have = entries.select("project", "locale", "key", "reviewed",
-                          F.col("text").alias("_text"), F.col("source_hash").alias("_hash"))
+    """Grid of keys and locales with the state of each: missing, stale, reviewed_stale, current.
+
+    A key's entries, at most one for each target locale, meet the key once, and its locales are told apart in its row:
+    neither the grid nor any text is shuffled.
+    """
+    targets = locales.filter(~F.col("is_source")).select("project", "locale").distinct()
+    listed = targets.groupBy("project").agg(F.collect_list("locale").alias("_targets"))
+    have = entries.join(targets, ["project", "locale"], "left_semi").select("project", "key", F.struct(
+        "locale", "reviewed", is_blank(F.col("text")).alias("blank"), F.col("source_hash").alias("hash")).alias("_e"))
+    gathered = have.groupBy("project", "key").agg(F.collect_list("_e").alias("_have"))
+    keys = source.select("project", "key", "source_hash").join(listed, "project").join(shuffled(gathered), ["project", "key"], "left")
+    grid = keys.select("project", "key", "source_hash", "_have", F.explode("_targets").alias("locale")).select(
+        "project", "locale", "key", "source_hash", F.explode_outer(F.filter("_have", lambda e: e["locale"] == F.col("locale"))).alias("_e"))
     state = (
-        F.when(is_blank(F.col("_text")), F.lit("missing"))
-        .when(F.col("_hash") == F.col("source_hash"), F.lit("current"))
-        .when(F.col("reviewed"), F.lit("reviewed_stale"))
+        F.when(F.coalesce("_e.blank", F.lit(True)), F.lit("missing"))
+        .when(F.col("_e.hash") == F.col("source_hash"), F.lit("current"))
+        .when(F.col("_e.reviewed"), F.lit("reviewed_stale"))
         .otherwise(F.lit("stale")))
-    return grid.join(shuffled(have), ["project", "locale", "key"], "left").select(
-        "project", "locale", "key", "source_hash", state.alias("reason"))
+    return grid.select("project", "locale", "key", "source_hash", state.alias("reason"))
 
 
 def newest_cache(cache: DataFrame, configs: DataFrame) -> DataFrame:

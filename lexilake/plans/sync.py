@@ -18,7 +18,7 @@ from lexilake.operators.restoring import restore_as_of
 from lexilake.operators.rows import live_entries, refresh_stale_flags, removed_entries, snapshot_path_guard
 from lexilake.plans.catalog import Catalog
 from lexilake.providers import PLATFORM_FORMATS
-from lexilake.session import durable
+from lexilake.session import durable, release
 from lexilake.sinks.archive import name_archives
 
 
@@ -59,6 +59,7 @@ def apply_sync(c: Catalog, responses: DataFrame, provider_id: str, now: Column,
         before = before.unionByName(shape(c.reader_findings))
     # One row per blocked project; the gate is settled before anything is planned.
     blocked = durable(has_errors(before).filter("not ok").select("project"))
+    release(blocked.sparkSession)
 
     def passed(df: DataFrame) -> DataFrame:
         return df.join(blocked, "project", "left_anti")
@@ -77,6 +78,7 @@ def apply_sync(c: Catalog, responses: DataFrame, provider_id: str, now: Column,
     if taken is None:
         taken = c.locales.select(F.lit("").alias("name"), F.lit(0).cast("bigint").alias("attempt")).limit(0)
     archive = durable(name_archives(gone.unionByName(orphans.select(*gone.columns)), now, taken).drop("name", "attempt"))
+    release(archive.sparkSession)
     history = archive.groupBy("project", "locale", "archive_name").agg(
         F.max(F.col("reason") == "locale").alias("_gone"), F.count(F.lit(1)).alias("entries")).select(
         "project", F.when(F.col("_gone"), "remove_locale").otherwise("archive_entries").alias("op"),

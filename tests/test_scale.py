@@ -294,3 +294,19 @@ def test_documents_are_written_from_what_tasks_read(spark, tmp_path):
     assert sum(p.fragments for p in parts) == 3002 and all(a[1] < b[0] for a, b in zip(keys, keys[1:]))
     files = {f.parent.name: f for f in (tmp_path / "c").rglob("part-*.txt")}
     assert len(files) == len(parts) == len(list((tmp_path / "c").rglob("part-*.txt")))
+
+
+def test_a_plan_deals_out_keys_and_no_grid(spark):
+    """The grid of keys and locales, and the texts of entries, were shuffled to meet."""
+    src = durable(t.source(spark, [("a", "x", None, {}), ("b", "y", None, {})]))
+    h = {r.key: r.source_hash for r in src.collect()}
+    locales = spark.createDataFrame([(0, "en", True), (0, "de", False), (0, "es", False), (1, "de", False)], "project int, locale string, is_source boolean")
+    ent = durable(spark.createDataFrame(
+        [(0, "de", "a", "A", False, h["a"]), (0, "es", "a", " ", True, h["a"]), (0, "ja", "a", "J", False, "x"), (0, "de", "b", "B", True, "old"),
+         (0, "de", "gone", "G", False, "x"), (0, "es", "b", "B", False, "old"), (0, "es", "b", "B2", True, h["b"]), (1, "de", "a", "A", False, "x")],
+        "project int, locale string, key string, text string, reviewed boolean, source_hash string"))
+    pairs = planning.classify_pairs(src, ent, locales)
+    assert sorted((r.locale, r.key, r.reason) for r in pairs.collect()) == [
+        ("de", "a", "current"), ("de", "b", "reviewed_stale"), ("es", "a", "missing"), ("es", "b", "current"), ("es", "b", "stale")]
+    dealt = [x for x in pairs._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(" in x]
+    assert dealt and not [x for x in dealt if re.search(r"hashpartitioning\([^)]*locale#[^)]*key#", x)]
